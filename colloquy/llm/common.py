@@ -21,7 +21,7 @@ ROOT = str(Path(__file__).resolve().parents[2])
 #: Text bytes that are worked on at once inside a task; only a single longer text exceeds it.
 BLOCK_BYTES = 1 << 20
 #: Rows of an Arrow batch, so that a Python worker holds a few MB of usual texts.
-ARROW_ROWS = 1000
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +51,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Session settings for tasks in Python: small Arrow batches, and workers that can import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{known}".rstrip(":")

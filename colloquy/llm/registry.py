@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from colloquy.llm import line_dedup
+from colloquy.llm import line_dedup, token_files
 
 QUERIES = {
+    "op1_token_files": token_files.op1_token_files,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "pipeline": corpus_pipeline.run,
 }
