@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from colloquy.llm import bpe, line_dedup, token_counts, token_files
+from colloquy.llm import bpe, line_dedup, near_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op5_bpe": bpe.op5_bpe,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "pipeline": corpus_pipeline.run,
