@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from colloquy.llm import bpe, language_id, line_dedup, near_dedup, quality_rules, token_counts, token_files
+from colloquy.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, quality_rules, token_counts, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_language_id": language_id.op2_language_id,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_bpe": bpe.op5_bpe,
     "op6_near_dedup": near_dedup.op6_near_dedup,
