@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from colloquy.llm import bpe, chat, decontaminate, language_id, line_dedup, near_dedup, quality_rules, token_counts, token_files
+from colloquy.llm import bpe, chat, cotraining, decontaminate, language_id, line_dedup, near_dedup, quality_rules, token_counts, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -14,11 +14,13 @@ QUERIES = {
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_chat": chat.op8_chat,
+    "op10_cotraining": cotraining.op10_cotraining,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op8_chat": chat.op8_chat,
+    "op10_cotraining": cotraining.op10_cotraining,
     "op9_line_dedup": line_dedup.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
