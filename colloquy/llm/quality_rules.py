@@ -151,8 +151,10 @@ def usual_path(n: int) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
 
-def anomaly(forest: tuple[np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray, tree_rows: int = TREE_ROWS) -> np.ndarray:
+def anomaly(forest: tuple[np.ndarray, np.ndarray, np.ndarray] | None, rows: np.ndarray, tree_rows: int = TREE_ROWS) -> np.ndarray:
     """Scores from 0 to 1; the shorter the paths, the higher."""
+    if forest is None:
+        return np.zeros(len(rows))
     feature, value, path = forest
     total, index = np.zeros(len(rows)), np.arange(len(rows))
     for f, v, p in zip(feature, value, path, strict=True):
@@ -191,20 +193,20 @@ def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
     return float(np.flatnonzero(gain == gain.max())[-1]) / BINS
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """__id, the counts, base_failed, anomaly, kept of each document."""
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, tuple | None, float]:
+    """(__id, counts, base_failed and anomaly of each document; the forest; the score from which documents go)."""
     spark = docs.sparkSession
     stats = materialise(counted(docs, id_col, text_col).withColumn("base_failed", base_failed()), "rule-counts")
     many = stats.filter("NOT base_failed").count()
     share = min(1.0, 0.9 * SAMPLE / max(many, 1))
     drawn = stats.filter(~F.col("base_failed") & (F.pmod(F.xxhash64("__id", *COUNTS), F.lit(1 << 30)) < int(share * (1 << 30))))
     sample = drawn.orderBy("__id", *COUNTS).limit(SAMPLE).toPandas()
-    forest = spark.sparkContext.broadcast(grow(excesses({c: sample[c].to_numpy(np.int64) for c in COUNTS})) if len(sample) else None)
+    forest = grow(excesses({c: sample[c].to_numpy(np.int64) for c in COUNTS})) if len(sample) else None
+    shared = spark.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = excesses({c: batch.column(c).to_numpy() for c in COUNTS})
-            score = anomaly(forest.value, rows) if forest.value else np.zeros(len(rows))
+            score = anomaly(shared.value, excesses({c: batch.column(c).to_numpy() for c in COUNTS}))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "anomaly"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema.fields)
@@ -214,10 +216,29 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     bins = np.zeros((2, BINS), np.int64)
     for r in known.groupBy(F.least(F.floor(F.col("anomaly") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"), "__good").count().collect():
         bins[int(r["__good"]), r["bin"]] = r["count"]
-    limit = best_threshold(bins[1], bins[0])
+    return scored, forest, best_threshold(bins[1], bins[0])
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """__id, the counts, base_failed, anomaly, kept of each document."""
+    scored, _, limit = fitted(docs, labels, id_col, text_col, label_col)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(limit)))
 
 
+def kept_only(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns as they are; texts are counted again rather than shuffled."""
+    _, forest, limit = fitted(docs, labels, id_col, text_col, label_col)
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, raw, at in blocks(batches, text_col):
+            counts = rule_counts(raw, at)
+            bad = (counts["n_words"] < 10) | (100 * counts["n_repeat_words"] > 20 * counts["n_words"])
+            yield rows.filter(pa.array(~bad & (anomaly(shared.value, excesses(counts)) < limit)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, the contract's counts, base_failed, kept, and the anomaly score."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
