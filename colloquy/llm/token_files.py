@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ from colloquy.llm.memo import MOST, Lists, Memo
 BLOCK_TOKENS = 1 << 18
 #: ASCII punctuation that the pattern joins to runs apart from letters; the apostrophe is special there.
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words that are given to the tokenizer in one text.
+TOGETHER = 64
 #: Ids between the two passes.
 IDS = np.dtype("<u2")
 _workers: dict[str, "Encoder"] = {}
@@ -51,6 +54,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -69,24 +75,39 @@ class Encoder:
         ids, at = self.lists.gather(rows)
         return ids, at[np.concatenate([[0], np.cumsum(counts)])]
 
-    def ids_of(self, words: list[bytes]) -> list[list[int]]:
-        halves, missing = [], {}
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of each word."""
+        known, cores, tails, missing = self.known, [], [], {}
         for word in words:
             core = word.rstrip(PUNCTUATION)
             text = core.decode()
-            if core and text.isalpha() and "Σ" not in text:
-                pair = (text.lower(), word[len(core) :].decode())
+            if text.isalpha() and "Σ" not in text:
+                text, tail = text.lower(), word[len(core) :].decode()
             else:
-                pair = (word.decode(), "")
-            halves.append(pair)
-            for half in pair:
-                if half not in self.known:
-                    missing[half] = None
-        missing = list(missing)
-        for half, code in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.known[half] = code.ids
-        known = self.known
-        return [known[a] + known[b] if b else known[a] for a, b in halves]
+                text, tail = word.decode(), ""
+            cores.append(text)
+            tails.append(tail)
+            if text not in known:
+                missing[text] = None
+            if tail not in known:
+                missing[tail] = None
+        single = [m for m in missing if m.isalpha()]
+        for i in range(0, len(single), TOGETHER):
+            self.learn(single[i : i + TOGETHER])
+        for half in missing:
+            if half not in known:
+                known[half] = array("H", self.tokenizer.encode(half, add_special_tokens=False).ids).tobytes()
+        return [known[a] + known[b] for a, b in zip(cores, tails, strict=True)]
+
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of words of letters, encoded in one text and cut after each token that ends a word."""
+        [code] = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(code.ids, np.uint16)
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 2
+        if len(ends) == len(words):
+            packed = ids.tobytes()
+            self.known.update(zip(words, map(packed.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())), strict=True))
 
 
 def encode_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
