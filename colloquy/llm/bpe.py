@@ -35,6 +35,8 @@ PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{Whi
 PIECES = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
 #: A text without these and without a space at its end has a single space wherever a space is.
 UNUSUAL = [b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
+#: ASCII punctuation but the apostrophe: behind letters it is a pretoken of its own.
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _workers: dict[str, "Bpe"] = {}
 
 
@@ -52,18 +54,20 @@ class Bpe:
         vocab, letters = spec["model"]["vocab"], byte_letters()
         self.added = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         self.split_added = regex.compile(b"(" + b"|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + b")")
-        self.byte_ids = [vocab[c] for c in letters]
+        self.byte_ids = np.array([vocab[c] for c in letters])
         self.ranks: dict[int, int] = {}
         self.merges: list[tuple[int, int, int]] = []
         for rank, (a, b) in enumerate(spec["model"]["merges"]):
             self.merges.append((vocab[a], vocab[b], vocab[a + b]))
             self.ranks.setdefault(vocab[a] << 32 | vocab[b], rank)
+        self.byte_ranks = np.array([[self.ranks.get(int(a) << 32 | int(b), -1) for b in self.byte_ids] for a in self.byte_ids])
         byte = {c: bytes([b]) for b, c in enumerate(letters)}
         self.table = [b""] * (1 + max([*vocab.values(), *self.added.values()]))
         for token, i in vocab.items():
             self.table[i] = b"".join(byte[c] for c in token)
         for token, i in self.added.items():
             self.table[i] = token
+        self.decimal = [b"%d" % i for i in range(len(self.table))]
         self.forget()
 
     def forget(self) -> None:
@@ -71,33 +75,22 @@ class Bpe:
         self.lists = {id(self.spaced): Lists(np.uint32), id(self.raw): Lists(np.uint32)}
         self.text = {id(self.spaced): [], id(self.raw): []}
 
-    def merge(self, pretokens: list[bytes]) -> list[list[int]]:
-        """The ids of each pretoken, by the pair occurrence index over all of them."""
-        ids, ranks, merges = self.byte_ids, self.ranks, self.merges
-        symbols = [ids[b] for p in pretokens for b in p]
-        first, after, before = [], [], []
-        for p in pretokens:
-            at, n = len(after), len(p)
-            first.append(at)
-            after.extend(range(at + 1, at + n))
-            after.append(-1)
-            before.append(-1)
-            before.extend(range(at, at + n - 1))
-        where: dict[int, list[int]] = {}
-        for i, j in enumerate(after):
-            if j >= 0 and (r := ranks.get(symbols[i] << 32 | symbols[j])) is not None:
-                where.setdefault(r, []).append(i)
-        active = list(where)
-        heapify(active)
-
-        def add(i: int, j: int) -> None:
-            if (r := ranks.get(symbols[i] << 32 | symbols[j])) is not None:
-                if r in where:
-                    where[r].append(i)
-                else:
-                    where[r] = [i]
-                    heappush(active, r)
-
+    def merge(self, pretokens: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """(packed ids, ids in decimal joined by commas) of each pretoken, by the pair occurrence index over all of them."""
+        raw = np.frombuffer(b"".join(pretokens), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, pretokens), np.int64, len(pretokens)))
+        if not len(raw):
+            return []
+        linked, following = np.arange(1, len(raw) + 1), np.arange(-1, len(raw) - 1)
+        linked[ends - 1] = following[np.append(0, ends[:-1])] = -1
+        pairs = np.where(linked[:-1] >= 0, self.byte_ranks[raw[:-1], raw[1:]], -1)
+        at = np.flatnonzero(pairs >= 0)
+        at = at[np.argsort(pairs[at], kind="stable")]
+        active, cuts = np.unique(pairs[at], return_index=True)
+        where = {r: p.tolist() for r, p in zip(active.tolist(), np.split(at, cuts[1:]), strict=True)}
+        active = active.tolist()  # ascending, so it is a heap
+        symbols, after, before = self.byte_ids[raw].tolist(), linked.tolist(), following.tolist()
+        rank_of, merges = self.ranks.get, self.merges
         while active:
             rank = heappop(active)
             left, right, whole = merges[rank]
@@ -109,27 +102,45 @@ class Bpe:
                 after[i] = k = after[j]
                 if k >= 0:
                     before[k] = i
-                    add(i, k)
-                if (h := before[i]) >= 0:
-                    add(h, i)
-        out = []
-        for p, i in zip(pretokens, first, strict=True):
-            one = []
-            while i >= 0 and p:
-                one.append(symbols[i])
-                i = after[i]
-            out.append(one)
+                    if (r := rank_of(whole << 32 | symbols[k])) is not None:
+                        if r in where:
+                            where[r].append(i)
+                        else:
+                            where[r] = [i]
+                            heappush(active, r)
+                if (h := before[i]) >= 0 and (r := rank_of(symbols[h] << 32 | whole)) is not None:
+                    if r in where:
+                        where[r].append(h)
+                    else:
+                        where[r] = [h]
+                        heappush(active, r)
+        left_over = np.array(symbols)
+        alive = left_over >= 0
+        ids = left_over[alive].astype(np.uint32)
+        ends = np.cumsum(alive)[ends - 1].tolist()
+        packed, decimal, out, a = ids.tobytes(), list(map(self.decimal.__getitem__, ids.tolist())), [], 0
+        for b in ends:
+            out.append((packed[4 * a : 4 * b], b",".join(decimal[a:b])))
+            a = b
         return out
 
     def learn(self, memo: Memo, lead: str) -> None:
         """Ids of the memo's new pieces, each with ``lead`` before it."""
-        cut = [[p.encode() for p in PRETOKENS.findall(lead + piece.decode())] for piece in memo.new]
-        missing = list({p for pieces in cut for p in pieces} - self.known.keys())
-        self.known.update(zip(missing, self.merge(missing), strict=True))
-        known = self.known
-        ids = [[i for p in pieces for i in known[p]] for pieces in cut]
-        self.lists[id(memo)].extend(ids)
-        self.text[id(memo)].extend([",".join(map(str, one)).encode() for one in ids])
+        known, cut, missing = self.known, [], {}
+        for piece in memo.new:
+            core = piece.rstrip(PUNCTUATION)
+            text = core.decode()
+            if text.isalpha():
+                pieces = [lead + text, piece[len(core) :].decode()] if len(core) < len(piece) else [lead + text]
+            else:
+                pieces = PRETOKENS.findall(lead + piece.decode())
+            cut.append(pieces)
+            for p in pieces:
+                if p not in known:
+                    missing[p] = None
+        known.update(zip(missing, self.merge([p.encode() for p in missing]), strict=True))
+        self.lists[id(memo)].extend([b"".join([known[p][0] for p in pieces]) for pieces in cut])
+        self.text[id(memo)].extend([b",".join([known[p][1] for p in pieces]) for pieces in cut])
         memo.new.clear()
 
     def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, bytes]]:
