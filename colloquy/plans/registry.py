@@ -1,4 +1,6 @@
 """Queries by name, and the SQL of those that SQL can express."""
 
-QUERIES = {}
-ORACLES = {}
+from colloquy.plans import dashboards, standin
+
+QUERIES = {**standin.QUERIES, **dashboards.QUERIES}
+ORACLES = {**standin.ORACLES, **dashboards.ORACLES}
