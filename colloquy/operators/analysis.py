@@ -58,7 +58,7 @@ def get_analyzer(name: str) -> CallAnalyzer:
     return ANALYZERS[name]()
 
 
-def run_analyzer(requests: DataFrame, analyzer: str = "rules") -> DataFrame:
+def run_analyzer(requests: DataFrame, analyzer: str | CallAnalyzer = "rules") -> DataFrame:
     """(call_id, analysis_key, model_version, raw_json, tokens, cost, error) for ``requests`` (call_id, analysis_key, full_text).
 
     Store the result before any second use: a recomputed task asks the provider again. An answer that
@@ -66,7 +66,7 @@ def run_analyzer(requests: DataFrame, analyzer: str = "rules") -> DataFrame:
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = get_analyzer(analyzer)
+        model = get_analyzer(analyzer) if isinstance(analyzer, str) else analyzer
         for frame in frames:
             rows = []
             for call_id, key, text in zip(frame["call_id"], frame["analysis_key"], frame["full_text"], strict=True):
