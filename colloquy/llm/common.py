@@ -40,10 +40,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``narrow`` tables (a few short columns, after a shuffle) go to an eighth of the usual number of files.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if narrow:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,17 +57,18 @@ def prepare(spark: SparkSession) -> None:
     """Session settings for tasks in Python: small Arrow batches, and workers that can import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")  # small stages, few files
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{known}".rstrip(":")
 
 
-def sized_semi_join(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is in ``ids`` (a stored table): broadcast up to ``most`` ids, shuffled beyond."""
+def sized_semi_join(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``ids`` (or, left_anti, is not): broadcast up to ``most`` ids, shuffled beyond."""
     wanted = ids.select(F.col(key).alias("__wanted")).distinct()
     if wanted.limit(most + 1).count() <= most:
         wanted = F.broadcast(wanted)
-    return df.join(wanted, df[key].eqNullSafe(wanted["__wanted"]), "left_semi")
+    return df.join(wanted, df[key].eqNullSafe(wanted["__wanted"]), how)
 
 
 def text_or_empty(name: str) -> Column:

@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from colloquy.llm.common import GOLDEN, blocks, materialise, mix64, prepare, texts_of
+from colloquy.llm.common import blocks, materialise, prepare, texts_of, window_hashes
 from colloquy.llm.memo import MOST, Memo
 
 WINDOW, COVER, SHORTEST, BITS = 8, 13, 5, 1 << 23
@@ -39,6 +40,8 @@ NUMBER = re.compile(r"[$€£+-]?\d[\d.,:/]*(?:st|nd|rd|th)?[%$€£]?")
 NUMBER_WITH_UNIT = re.compile(r"(\d[\d.,]*)([a-z]+)")
 NUMBER_WORDS = set("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 PLACEHOLDERS = {"number": "<number>", "unit": "<unit>", "name": "<name>"}
+#: Marks that may stand around a word.
+AROUND = "!\"#&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LINE_START = b"\x01"
 PLAIN, NAME_IF_INSIDE, SLOT, NOTHING = 0, 1, 2, 3
 _workers: dict[str, "Canon"] = {}
@@ -46,24 +49,23 @@ _workers: dict[str, "Canon"] = {}
 
 def canonical(word: str) -> tuple[str, int]:
     """(canonical form, kind) of a word: kind NAME_IF_INSIDE is a name unless it begins a sentence."""
-    bare = word.strip("".join(c for c in word if not c.isalnum() and c not in "$€£%")) or word
-    if not any(c.isalnum() for c in bare):
-        return "", NOTHING
-    low = bare.lower()
-    with_unit = NUMBER_WITH_UNIT.fullmatch(low)
-    if NUMBER.fullmatch(low) or low in NUMBER_WORDS or (with_unit and with_unit[2] in UNITS):
+    bare = word.strip(AROUND)
+    if not bare.isalpha():
+        bare = word.strip("".join(c for c in word if not c.isalnum() and c not in "$€£%")) or word
+        if not any(c.isalnum() for c in bare):
+            return "", NOTHING
+        low = bare.lower()
+        with_unit = NUMBER_WITH_UNIT.fullmatch(low)
+        if NUMBER.fullmatch(low) or (with_unit and with_unit[2] in UNITS):
+            return PLACEHOLDERS["number"], SLOT
+        low = "".join(c for c in low if c.isalnum() or c in "'-")
+    else:
+        low = bare.lower()
+    if low in NUMBER_WORDS:
         return PLACEHOLDERS["number"], SLOT
-    low = "".join(c for c in low if c.isalnum() or c in "'-")
     if low in UNITS:
         return PLACEHOLDERS["unit"], SLOT
-    return low, NAME_IF_INSIDE if bare[:1].isupper() and bare[1:] == bare[1:].lower() and len(bare) > 1 else PLAIN
-
-
-def text_hash(text: str) -> int:
-    h = 0xCBF29CE484222325
-    for b in text.encode():
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return h
+    return low, NAME_IF_INSIDE if bare[:1].isupper() and bare[1:] == low[1:] and len(bare) > 1 else PLAIN
 
 
 class Canon:
@@ -71,31 +73,25 @@ class Canon:
 
     def __init__(self):
         self.words, self.code, self.kind, self.stop = Memo(), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool)
-        self.name = np.uint64(text_hash(PLACEHOLDERS["name"]))
+        self.name = np.uint64(xxh64_intdigest(PLACEHOLDERS["name"]))
 
-    def scan(self, text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """(words, positions of those that count, their hashes, which of these are slots)."""
-        words = text.replace(b"\n", b" \x01 ").split()
+    def scan(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all texts: (words, positions of those that count, their hashes, which of these are slots, each text's first)."""
+        split = [(b"\x01 " + t.replace(b"\n", b" \x01 ")).split() for t in texts]
+        first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
+        words = [w for own in split for w in own]
         rows = self.words.rows(words)
-        if self.words.new:
-            made = [canonical(w.decode()) if w != LINE_START else ("", NOTHING) for w in self.words.new]
-            self.code = np.concatenate([self.code, np.array([text_hash(form) for form, _ in made], np.uint64)])
-            self.kind = np.concatenate([self.kind, np.array([kind for _, kind in made], np.int8)])
-            self.stop = np.concatenate([self.stop, np.array([w == LINE_START or w[-1:] in b".!?:" for w in self.words.new])])
-            self.words.new.clear()
+        if new := self.words.new:
+            made = [canonical(w.decode()) if w != LINE_START else ("", NOTHING) for w in new]
+            self.code = np.concatenate([self.code, np.fromiter((xxh64_intdigest(form) for form, _ in made), np.uint64, len(made))])
+            self.kind = np.concatenate([self.kind, np.fromiter((kind for _, kind in made), np.int8, len(made))])
+            self.stop = np.concatenate([self.stop, np.fromiter((w == LINE_START or w[-1] in b".!?:" for w in new), bool, len(new))])
+            new.clear()
         kind, begins = self.kind[rows], np.ones(len(rows), bool)
         begins[1:] = self.stop[rows[:-1]]
         name = (kind == NAME_IF_INSIDE) & ~begins
         at = np.flatnonzero(kind != NOTHING)
-        return words, at, np.where(name, self.name, self.code[rows])[at], (name | (kind == SLOT))[at]
-
-
-def rolled(codes: np.ndarray, size: int) -> np.ndarray:
-    n = max(len(codes) - size + 1, 0)
-    h = np.full(n, size, np.uint64)
-    for j in range(size):
-        h = mix64(h * GOLDEN + codes[j : j + n])
-    return h
+        return words, at, np.where(name, self.name, self.code[rows])[at], (name | (kind == SLOT))[at], np.searchsorted(at, first)
 
 
 def windows(table: DataFrame, lengths: list[int] | None, bits: np.ndarray | None) -> DataFrame:
@@ -117,21 +113,23 @@ def windows(table: DataFrame, lengths: list[int] | None, bits: np.ndarray | None
                 canon = _workers["canon"] = Canon()
             layout = layout or pa.schema([("__id", part.schema.field("__id").type), ("length", pa.int64()), ("size", pa.int32()), ("pos", pa.int64()), ("h", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
             out = []
-            for k, text in enumerate(texts_of(raw, at)):
-                words, where, codes, slot = canon.scan(text)
-                for size in [min(WINDOW, len(codes))] if lengths is None else lengths:
-                    if size < SHORTEST:
-                        continue
-                    h = rolled(codes, size)
-                    found = range(len(h)) if shared is None else np.flatnonzero(shared.value[(h & np.uint64(BITS - 1)).astype(np.int64) >> 3] >> (h & np.uint64(7)).astype(np.uint8) & 1).tolist()
-                    if len(found):
-                        key = part.column("__id")[k].as_py()
-                        for p in found:
-                            own = [words[i].decode() for i in where[p : p + size].tolist()]
-                            forms = [canonical(w) for w in own]
-                            is_slot = slot[p : p + size].tolist()
-                            template = [PLACEHOLDERS["name"] if s and kind == NAME_IF_INSIDE else form for (form, kind), s in zip(forms, is_slot, strict=True)]
-                            out.append((key, len(codes), size, p, int(h[p : p + 1].view(np.int64)[0]), " ".join(template), [w.strip(".,;:!?()[]\"'*").lower() for w, s in zip(own, is_slot, strict=True) if s]))
+            words, where, codes, slot, first = canon.scan(texts_of(raw, at))
+            counts = np.diff(first)
+            sizes = lengths if lengths is not None else sorted({int(c) for c in np.minimum(counts, WINDOW)})
+            for size in sizes:
+                if size < SHORTEST:
+                    continue
+                h, text = window_hashes(codes, first, size)
+                if shared is None:
+                    found = np.flatnonzero((text >= 0) & (np.minimum(counts, WINDOW)[text] == size))
+                else:
+                    found = np.flatnonzero((shared.value[(h & np.uint64(BITS - 1)).astype(np.int64) >> 3] >> (h & np.uint64(7)).astype(np.uint8)) & (text >= 0))
+                for p, k in zip(found.tolist(), text[found].tolist(), strict=True):
+                    own, is_slot = [words[i].decode() for i in where[p : p + size].tolist()], slot[p : p + size].tolist()
+                    forms = [canonical(w) for w in own]
+                    template = [PLACEHOLDERS["name"] if s and kind == NAME_IF_INSIDE else form for (form, kind), s in zip(forms, is_slot, strict=True)]
+                    values = [w.strip(AROUND).lower() for w, s in zip(own, is_slot, strict=True) if s]
+                    out.append((part.column("__id")[k].as_py(), int(counts[k]), size, p - int(first[k]), int(h[p : p + 1].view(np.int64)[0]), " ".join(template), values))
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=layout)
 

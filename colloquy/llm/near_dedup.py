@@ -148,14 +148,14 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(links: DataFrame, name: str = "labels") -> DataFrame:
     """(node, label): the smallest node reachable over ``links`` (a, b), for nodes that have any."""
-    ways = materialise(links.union(links.select("b", "a")).distinct(), f"{name}-ways")
-    labels = materialise(ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), name)
+    ways = materialise(links.union(links.select("b", "a")).distinct(), f"{name}-ways", narrow=True)
+    labels = materialise(ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), name, narrow=True)
     while True:
         seen = ways.join(labels, ways["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
         lower = labels.join(seen, labels["node"] == seen["a"]).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("node").alias("__at"), F.col("label").alias("__to"))
         step = lower.join(jump, lower["label"] == jump["__at"]).select("node", "old", F.least("label", "__to").alias("label"))
-        step = materialise(step, name)
+        step = materialise(step, name, narrow=True)
         labels = step.select("node", "label")
         if step.filter("label <> old").isEmpty():
             return labels
@@ -172,9 +172,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     classes = materialise(known.groupBy("f", "g", "n").agg(F.min("__id").alias("rep"), F.first("bands").alias("bands")), "classes")
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
     per_key = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
-    buckets = materialise(buckets.join(per_key.select("key", "low"), "key"), "buckets")
+    order = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
+    buckets = materialise(buckets.select("key", "rep").join(per_key.select("key", "low"), "key").withColumn("rank", order), "buckets", narrow=True)
     sizes = classes.select("rep", "n")
-    wanted = materialise(buckets.select(F.col("rep").alias(id_col)).distinct(), "candidates")
+    wanted = buckets.select(F.col("rep").alias(id_col)).distinct()
     sets = full_sets(sized_semi_join(docs, wanted, id_col), size, id_col, text_col)
     stands = classes.select(F.col("rep").alias("__id"), "f", "g")
     sets = materialise(sets.join(stands, ["__id", "f", "g"], "left_semi").dropDuplicates(["__id"]) if repeated else sets, "sets")
@@ -184,22 +185,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         return similar(pairs.join(a, "a").join(b, "b"), sets, percent)
 
     nearest = buckets.groupBy("rep").agg(F.min("low").alias("b")).filter("b < rep").select(F.col("rep").alias("a"), "b")
-    links = materialise(tested(nearest), "links")
+    links = materialise(tested(nearest), "links", narrow=True)
     labels = components(links)
-    order = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-    ranked = materialise(buckets.select("key", "rep", order.alias("rank")), "ranked")
     low, width = 1, 1
     while True:
-        now = ranked.filter(F.col("rank") >= low).join(labels, F.col("rep") == labels["node"], "left").select("key", "rep", "rank", F.coalesce("label", "rep").alias("comp"))
+        now = buckets.filter(F.col("rank") >= low).join(labels, F.col("rep") == labels["node"], "left").select("key", "rep", "rank", F.coalesce("label", "rep").alias("comp"))
         open_keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-        now = materialise(now.join(open_keys, "key", "left_semi"), "open")
+        now = materialise(now.join(open_keys, "key", "left_semi"), "open", narrow=True)
         if now.isEmpty():
             break
         pivots = now.filter(F.col("rank") < low + width).select("key", F.col("rep").alias("b"), F.col("rank").alias("__p"), F.col("comp").alias("__c"))
         pairs = now.join(pivots, (now["key"] == pivots["key"]) & (now["rank"] > pivots["__p"]) & (now["comp"] != pivots["__c"])).select(F.col("rep").alias("a"), "b").distinct()
-        more = materialise(tested(pairs), "links")
+        more = materialise(tested(pairs), "links", narrow=True)
         if not more.isEmpty():
-            links = materialise(links.union(more), "links")
+            links = links.union(more)
             labels = components(links)
         low, width = low + width, width * 4
     reps = classes.join(labels, classes["rep"] == labels["node"], "left").select("f", "g", "n", F.coalesce("label", "rep").alias("__component"))
