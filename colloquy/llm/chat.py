@@ -133,3 +133,17 @@ def op8_chat(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "chat")
     write_formatted(fold_events(as_events(rows.unionByName(extra))), path)
     return read_formatted(spark, path)
+
+
+ORACLE = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(13 + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '|', '&bar;'))
+                + length(replace(replace(text, '&', '&amp;'), '<', '&lt;'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""

@@ -14,13 +14,12 @@ QUERIES = {
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_chat": chat.op8_chat,
-    "op10_cotraining": cotraining.op10_cotraining,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_cotraining": cotraining.op10_cotraining,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
-    "op8_chat": chat.op8_chat,
-    "op10_cotraining": cotraining.op10_cotraining,
+    "op8_chat": chat.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
