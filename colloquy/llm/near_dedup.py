@@ -15,6 +15,11 @@ those of other components. A bucket is left when all untested pairs in it lie wi
 no link that a bucket shows is lost, and a group of near copies costs a few pairs for each member
 instead of all pairs. Links are confirmed on the full sets. There is no cap on a bucket's size.
 
+Texts on the fringe of a large group stay untied to it, and share buckets with all of it. So after round 0
+what two sets can have in common is bounded before sets are compared: by the shingles that no other class
+tied by open buckets has, and by the shingles common in such a cluster that either class lacks (``bounds``).
+The bound is never below the true size, so it leaves out no link.
+
 Components spread by smallest label with pointer jumping; each round is stored in the shared folder, so
 lineage stays short and lost executors cost one round. Nothing that grows is sent to the driver but counts.
 
@@ -161,6 +166,33 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
+def still_open(rows: DataFrame, labels: DataFrame, low: int) -> DataFrame:
+    """The bucket rows from rank ``low`` on, with their component, of buckets that hold more than one component there."""
+    rows = rows.filter(F.col("rank") >= low).join(labels, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "rep")).drop("node", "label")
+    keys = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
+    return materialise(rows.join(keys, "key", "left_semi"), "open", narrow=True)
+
+
+def bounds(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """(__id, shared, rest, core, m0..m3) of the classes in ``rows``, for a bound on what two sets have in common.
+
+    Classes tied by chains of shared buckets are a cluster. shared: shingles of the class that another of its
+    cluster has too. core: the number of shingles that at least half of the cluster has; m0..m3: the core's
+    shingles that the class lacks, each as one of 256 bits; rest: shared ones outside the core.
+    """
+    least = rows.groupBy("key").agg(F.min("rep").alias("b"))
+    ties = rows.join(least, "key").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct()
+    some = materialise(sets.join(components(ties, "clusters").select(F.col("node").alias("__id"), "label"), "__id").select("__id", "label", "shingles"), "tied")
+    per_shingle = materialise(some.select("__id", "label", F.explode("shingles").alias("s")).groupBy("label", "s").agg(F.count(F.lit(1)).alias("many"), F.min("__id").alias("__id")), "tied-shingles")
+    own = per_shingle.filter("many = 1").groupBy("__id").agg(F.count(F.lit(1)).alias("own"))
+    sizes = some.groupBy("label").agg(F.count(F.lit(1)).alias("of"))
+    core = per_shingle.filter("many > 1").join(sizes, "label").filter("2 * many >= of").groupBy("label").agg(F.collect_list("s").alias("__core"))  # twice the mean set size at most
+    out = some.join(own, "__id", "left").join(core, "label", "left").withColumn("__core", F.coalesce("__core", F.array().cast("array<long>")))
+    out = out.withColumn("lacks", F.array_except("__core", "shingles")).withColumn("shared", F.size("shingles") - F.coalesce("own", F.lit(0)))
+    bits = [F.expr(f"aggregate(lacks, 0L, (a, s) -> CASE WHEN (shiftright(s, 6) & 3) = {j} THEN a | shiftleft(1L, CAST(s & 63 AS INT)) ELSE a END)").alias(f"m{j}") for j in range(4)]
+    return out.select("__id", "shared", (F.col("shared") - F.size("__core") + F.size("lacks")).alias("rest"), F.size("__core").alias("core"), *bits)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: __id, n_shingles, component_id, kept."""
     docs = docs.select(id_col, text_col)
@@ -173,34 +205,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
     per_key = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
     order = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-    buckets = materialise(buckets.select("key", "rep").join(per_key.select("key", "low"), "key").withColumn("rank", order), "buckets", narrow=True)
-    sizes = classes.select("rep", "n")
+    buckets = materialise(buckets.join(per_key.select("key", "low"), "key").withColumn("rank", order), "buckets", narrow=True)
     wanted = buckets.select(F.col("rep").alias(id_col)).distinct()
     sets = full_sets(sized_semi_join(docs, wanted, id_col), size, id_col, text_col)
     stands = classes.select(F.col("rep").alias("__id"), "f", "g")
     sets = materialise(sets.join(stands, ["__id", "f", "g"], "left_semi").dropDuplicates(["__id"]) if repeated else sets, "sets")
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        a, b = sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb"))
-        return similar(pairs.join(a, "a").join(b, "b"), sets, percent)
-
-    nearest = buckets.groupBy("rep").agg(F.min("low").alias("b")).filter("b < rep").select(F.col("rep").alias("a"), "b")
-    links = materialise(tested(nearest), "links", narrow=True)
+    nearest = buckets.groupBy("rep").agg(F.min("low").alias("b"), F.min("n").alias("na")).filter("b < rep").withColumnRenamed("rep", "a")
+    nearest = nearest.join(classes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
+    links = materialise(similar(nearest, sets, percent), "links", narrow=True)
     labels = components(links)
+    now = still_open(buckets.drop("low"), labels, 1)
+    now = materialise(now.join(bounds(sets, now), F.col("rep") == F.col("__id")).drop("__id"), "open", narrow=True)
+    sketch = ["n", "shared", "rest", "m0", "m1", "m2", "m3"]
     low, width = 1, 1
-    while True:
-        now = buckets.filter(F.col("rank") >= low).join(labels, F.col("rep") == labels["node"], "left").select("key", "rep", "rank", F.coalesce("label", "rep").alias("comp"))
-        open_keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-        now = materialise(now.join(open_keys, "key", "left_semi"), "open", narrow=True)
-        if now.isEmpty():
-            break
-        pivots = now.filter(F.col("rank") < low + width).select("key", F.col("rep").alias("b"), F.col("rank").alias("__p"), F.col("comp").alias("__c"))
-        pairs = now.join(pivots, (now["key"] == pivots["key"]) & (now["rank"] > pivots["__p"]) & (now["comp"] != pivots["__c"])).select(F.col("rep").alias("a"), "b").distinct()
-        more = materialise(tested(pairs), "links", narrow=True)
+    while not now.isEmpty():
+        pivots = now.filter(F.col("rank") < low + width).select("key", F.col("rep").alias("b"), F.col("rank").alias("__p"), F.col("comp").alias("__c"), *[F.col(c).alias(f"b_{c}") for c in sketch])
+        lacked = sum((F.bit_count(F.col(f"m{j}").bitwiseOR(F.col(f"b_m{j}"))) for j in range(4)), F.lit(0))
+        most = F.least("shared", "b_shared", F.col("core") - lacked + F.least("rest", "b_rest"))
+        may = most * 100 >= (F.col("n") + F.col("b_n") - most) * percent
+        pairs = now.join(pivots, (now["key"] == pivots["key"]) & (now["rank"] > pivots["__p"]) & (now["comp"] != pivots["__c"]) & may)
+        pairs = pairs.select(F.col("rep").alias("a"), F.col("n").alias("na"), "b", F.col("b_n").alias("nb")).distinct()
+        more = materialise(similar(pairs, sets, percent), "links", narrow=True)
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
         low, width = low + width, width * 4
+        now = still_open(now.drop("comp"), labels, low)
     reps = classes.join(labels, classes["rep"] == labels["node"], "left").select("f", "g", "n", F.coalesce("label", "rep").alias("__component"))
     if repeated:
         own = known.join(reps, ["f", "g", "n"]).select("__id", "n", "__component")
