@@ -87,7 +87,7 @@ class Bpe:
         at = np.flatnonzero(pairs >= 0)
         at = at[np.argsort(pairs[at], kind="stable")]
         active, cuts = np.unique(pairs[at], return_index=True)
-        where = {r: p.tolist() for r, p in zip(active.tolist(), np.split(at, cuts[1:]), strict=True)}
+        where = {r: p.tolist() for r, p in zip(active.tolist(), np.split(at, cuts[1:]), strict=True)} if len(at) else {}
         active = active.tolist()  # ascending, so it is a heap
         symbols, after, before = self.byte_ids[raw].tolist(), linked.tolist(), following.tolist()
         rank_of, merges = self.ranks.get, self.merges
