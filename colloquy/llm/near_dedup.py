@@ -10,7 +10,7 @@ its smallest id; only classes go on, so copies never meet in pairs.
 
 Links. Round 0 tests each class against the smallest class it shares a bucket with: one pair a class.
 What is linked becomes components. Then, while a bucket still holds classes of different components that
-were not tested against each other, 1, 4, 16, ... further classes of each such bucket are tested against
+were not tested against each other, 4, 64, 1024, ... further classes of each such bucket are tested against
 those of other components. A bucket is left when all untested pairs in it lie within one component, so
 no link that a bucket shows is lost, and a group of near copies costs a few pairs for each member
 instead of all pairs. Links are confirmed on the full sets. There is no cap on a bucket's size.
@@ -216,9 +216,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     links = materialise(similar(nearest, sets, percent), "links", narrow=True)
     labels = components(links)
     now = still_open(buckets.drop("low"), labels, 1)
-    now = materialise(now.join(bounds(sets, now), F.col("rep") == F.col("__id")).drop("__id"), "open", narrow=True)
+    lacked = sum((F.bit_count(f"m{j}") for j in range(4)), F.lit(0))
+    alone = F.least("shared", F.col("core") - lacked + F.col("rest")) * 100 < F.col("n") * percent  # too little for any link
+    now = materialise(now.join(bounds(sets, now), F.col("rep") == F.col("__id")).drop("__id").filter(~alone), "open", narrow=True)
     sketch = ["n", "shared", "rest", "m0", "m1", "m2", "m3"]
-    low, width = 1, 1
+    low, width = 1, 4
     while not now.isEmpty():
         pivots = now.filter(F.col("rank") < low + width).select("key", F.col("rep").alias("b"), F.col("rank").alias("__p"), F.col("comp").alias("__c"), *[F.col(c).alias(f"b_{c}") for c in sketch])
         lacked = sum((F.bit_count(F.col(f"m{j}").bitwiseOR(F.col(f"b_m{j}"))) for j in range(4)), F.lit(0))
@@ -230,7 +232,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
-        low, width = low + width, width * 4
+        low, width = low + width, width * 16
         now = still_open(now.drop("comp"), labels, low)
     reps = classes.join(labels, classes["rep"] == labels["node"], "left").select("f", "g", "n", F.coalesce("label", "rep").alias("__component"))
     if repeated:
