@@ -22,7 +22,11 @@ class CallAnalyzer(Protocol):
 
 
 class RuleAnalyzer:
-    """A deterministic stand-in that works offline: counts words and question marks. Its scores say nothing about calls."""
+    """A deterministic stand-in that works offline: counts words and question marks. Its scores say nothing about calls.
+
+    Every line with a comma is an objection and its evidence, whole; ``objections`` and ``evidence`` say the
+    same of rows. A plain text has no times: ``timestamp`` is the line's number.
+    """
 
     model_version = "rules-1"
 
@@ -30,7 +34,8 @@ class RuleAnalyzer:
         words, questions = len(transcript.split()), transcript.count("?")
         score = float(min(100, 20 + words % 61 + 5 * questions))
         lines = [x for x in transcript.split("\n") if x]
-        evidence = [{"timestamp": 0, "speaker": x.split(":")[0], "excerpt": x[:80], "claim": "opening"} for x in lines[:1]]
+        claims = [(i, x, claim) for i, x in enumerate(lines) for claim, holds in (("opening", i == 0), ("objection", "," in x)) if holds]
+        evidence = [{"timestamp": i, "speaker": x.split(":")[0], "excerpt": x, "claim": claim} for i, x, claim in claims]
         dimensions = [{"dimension": d, "score": (score + 7 * i) % 101, "weight": 1.0} for i, d in enumerate(CORE_DIMENSIONS)]
         answer = {
             "overall_score": score,
@@ -39,7 +44,7 @@ class RuleAnalyzer:
             "confidence": round(min(1.0, words / 400), 4),
             "strengths": ["detail"] if words > 200 else [],
             "critical_failures": [] if questions else ["no questions"],
-            "objections": [x[:40] for x in lines if "," in x][:2],
+            "objections": [x for x in lines if "," in x],
             "coaching_actions": [] if questions else ["ask open questions"],
             "dimensions": dimensions,
             "evidence": evidence,
@@ -109,6 +114,29 @@ def explode_evidence(results: DataFrame) -> DataFrame:
     return results.select("call_id", F.inline("result.evidence"))
 
 
+def spoken() -> Column:
+    """A segment as the transcript has it: speaker and text."""
+    return F.concat(F.coalesce("speaker", F.lit("?")), F.lit(": "), F.coalesce("text", F.lit("")))
+
+
+def transcript_lines(segments: DataFrame) -> DataFrame:
+    """(call_id, turn, speaker, line): all lines of the transcripts but empty ones, a row each; none is cut or gathered."""
+    return segments.select("call_id", "turn", "speaker", F.explode(F.split(spoken(), "\n")).alias("line")).filter("line <> ''")
+
+
+def objections(segments: DataFrame) -> DataFrame:
+    """(call_id, turn, speaker, line) of every line with a comma."""
+    return transcript_lines(segments).filter(F.contains(F.col("line"), F.lit(",")))
+
+
+def evidence(segments: DataFrame) -> DataFrame:
+    """(call_id, timestamp, speaker, excerpt, claim): each call's opening and all objections, whole lines. The turn is the time."""
+    first = segments.groupBy("call_id").agg(F.min(F.struct("turn", "speaker", F.coalesce("text", F.lit("")).alias("text"))).alias("s")).select("call_id", "s.*")
+    opening = first.select("call_id", "turn", "speaker", F.split(spoken(), "\n")[0].alias("line"), F.lit("opening").alias("claim"))
+    both = opening.unionByName(objections(segments).withColumn("claim", F.lit("objection")))
+    return both.select("call_id", F.col("turn").cast("int").alias("timestamp"), F.coalesce("speaker", F.lit("?")).alias("speaker"), F.col("line").alias("excerpt"), "claim")
+
+
 def locate_evidence(evidence: DataFrame, segments: DataFrame) -> DataFrame:
     """Evidence with the segment (call_id, start, end) whose span holds its time; an equality on call_id leads the range."""
     s = segments.select(F.col("call_id").alias("__call"), "start", "end", "segment")

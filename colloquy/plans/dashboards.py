@@ -149,12 +149,12 @@ def dc4_feedback(spark, d):
 
 @query()
 def dc5_evidence(spark, d):
-    return analysis.explode_evidence(analysed(spark, d)[1])
+    return analysis.evidence(T.segments(spark, d))
 
 
 @query()
 def dc6_objections(spark, d):
-    return analysed(spark, d)[1].select("call_id", F.explode("result.objections").alias("objection"))
+    return analysis.objections(T.segments(spark, d)).select("call_id", F.col("line").alias("objection"))
 
 
 @query()

@@ -126,6 +126,20 @@ def test_analyzer_failure_is_a_row(spark):
     assert [(r.error, r.raw_json, r.cost) for r in failed] == [("ValueError", None, 0.0)] * 2
 
 
+def test_every_objection_is_kept_whole(spark):
+    long = "but, " + "why " * 60
+    rows = [(1, 0, "a", "hello\nthere, you"), (1, 1, "b", long), (1, 2, None, "x, y"), (1, 3, "a", None), (1, 4, "b", "p, q"), (2, 0, "a", "none")]
+    segments = spark.createDataFrame(rows, "call_id int, turn int, speaker string, text string")
+    lines = [(1, "there, you"), (1, f"b: {long}"), (1, "?: x, y"), (1, "b: p, q")]
+    assert values(analysis.objections(segments), "call_id", "line") == sorted(lines, key=str)
+    found = values(analysis.evidence(segments), "call_id", "excerpt", "claim")
+    assert found == sorted([(1, "a: hello", "opening"), (2, "a: none", "opening"), *((*x, "objection") for x in lines)], key=str)
+    text = "\n".join(f"{s or '?'}: {t or ''}" for i, _, s, t in rows if i == 1)
+    answer = json.loads(analysis.RuleAnalyzer().analyze(text)[0])
+    assert answer["objections"] == [x for _, x in lines]
+    assert sorted((e["excerpt"], e["claim"]) for e in answer["evidence"]) == sorted(x[1:] for x in found if x[0] == 1)
+
+
 def test_metrics(spark):
     calls = spark.createDataFrame([(1, 1, dt.date(2024, 1, 1)), (2, 1, dt.date(2024, 2, 1)), (3, 2, None)], "call_id int, seller_id int, call_date date")
     assert metrics.coverage(calls, spark.createDataFrame([(1,), (1,)], "call_id int")).first()[:] == (3, 1, 1 / 3)
