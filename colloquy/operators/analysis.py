@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.operators.ingest import spoken
 from colloquy.operators.rubric import CORE_DIMENSIONS
 
 
@@ -28,7 +29,7 @@ class RuleAnalyzer:
     same of rows. A plain text has no times: ``timestamp`` is the line's number.
     """
 
-    model_version = "rules-1"
+    model_version = "rules-2"
 
     def analyze(self, transcript: str) -> tuple[str, int, float]:
         words, questions = len(transcript.split()), transcript.count("?")
@@ -85,6 +86,38 @@ def run_analyzer(requests: DataFrame, analyzer: str | CallAnalyzer = "rules") ->
     return requests.select("call_id", "analysis_key", "full_text").mapInPandas(run, f"call_id {kind}, analysis_key string, model_version string, raw_json string, tokens long, cost double, error string")
 
 
+def rule_answers(counts: DataFrame) -> DataFrame:
+    """What RuleAnalyzer answers, from ``counts`` (see ingest.transcript_counts): (call_id, model_version, raw_json, tokens, cost, error).
+
+    The lists of objections and evidence, as long as the call, are empty here: ``rule_items`` has an item a row.
+    """
+    words, questions = F.col("n_words"), F.col("n_questions")
+    score = F.least(F.lit(100), 20 + words % 61 + 5 * questions).cast("double")
+    tags = lambda holds, tag: F.when(holds, F.array(F.lit(tag))).otherwise(F.array().cast("array<string>"))
+    answer = {
+        "overall_score": score,
+        "opportunity_quality": F.when(words > 100, "qualified").otherwise("unclear"),
+        "call_status": F.when(questions > 0, "follow_up").otherwise("lost_by_closer"),
+        "confidence": F.round(F.least(F.lit(1.0), words / 400), 4),
+        "strengths": tags(words > 200, "detail"),
+        "critical_failures": tags(questions == 0, "no questions"),
+        "objections": F.array().cast("array<string>"),
+        "coaching_actions": tags(questions == 0, "ask open questions"),
+        "dimensions": F.array(*(F.struct(F.lit(d).alias("dimension"), ((score + 7 * i) % 101).alias("score"), F.lit(1.0).alias("weight")) for i, d in enumerate(CORE_DIMENSIONS))),
+        "evidence": F.array().cast("array<string>"),
+        "requires_human_review": words < 30,
+    }
+    raw = F.to_json(F.struct(*(c.alias(n) for n, c in answer.items())))
+    model = F.lit(RuleAnalyzer.model_version).alias("model_version")
+    return counts.select("*", model, raw.alias("raw_json"), (words + 50).alias("tokens"), F.round(words * 1e-6, 6).alias("cost"), F.lit(None).cast("string").alias("error"))
+
+
+def rule_items(segments: DataFrame) -> DataFrame:
+    """(call_id, raw_json): each objection and each evidence of a call as an answer that holds it alone."""
+    ev = evidence(segments).select("call_id", F.to_json(F.struct(F.array(F.struct("timestamp", "speaker", "excerpt", "claim")).alias("evidence")), {"ignoreNullFields": "false"}).alias("raw_json"))
+    return objections(segments).select("call_id", F.to_json(F.struct(F.array("line").alias("objections"))).alias("raw_json")).unionByName(ev)
+
+
 def append_run(runs: DataFrame, path: str) -> None:
     """Runs are only ever added; what was written before is left as it is."""
     runs.write.mode("append").parquet(path)
@@ -114,11 +147,6 @@ def explode_evidence(results: DataFrame) -> DataFrame:
     return results.select("call_id", F.inline("result.evidence"))
 
 
-def spoken() -> Column:
-    """A segment as the transcript has it: speaker and text."""
-    return F.concat(F.coalesce("speaker", F.lit("?")), F.lit(": "), F.coalesce("text", F.lit("")))
-
-
 def transcript_lines(segments: DataFrame) -> DataFrame:
     """(call_id, turn, speaker, line): all lines of the transcripts but empty ones, a row each; none is cut or gathered."""
     return segments.select("call_id", "turn", "speaker", F.explode(F.split(spoken(), "\n")).alias("line")).filter("line <> ''")

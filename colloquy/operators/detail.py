@@ -1,4 +1,4 @@
-"""One call in full: metadata, transcript, result, evidence and history, children nested before the joins."""
+"""One call: metadata, transcript, result; children bounded in size can be nested before joins."""
 
 from __future__ import annotations
 
@@ -10,9 +10,11 @@ def nest_children(df: DataFrame, key: str, name: str, *columns: str) -> DataFram
     return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
 
 
-def call_detail(calls: DataFrame, transcripts: DataFrame, results: DataFrame) -> DataFrame:
-    """Calls with their transcript and parsed current result; one row a call."""
-    t = transcripts.select("call_id", "n_segments", "speakers", "full_text")
-    fields = ["overall_score", "opportunity_quality", "call_status", "confidence", "strengths", "critical_failures", "objections", "coaching_actions", "evidence", "requires_human_review"]
-    r = results.select("call_id", "model_version", "tokens", "cost", "valid", *(F.col(f"result.{f}").alias(f) for f in fields))
-    return calls.join(t, "call_id", "left").join(r, "call_id", "left")
+def call_detail(results: DataFrame) -> DataFrame:
+    """Calls with their transcript's counts and digest and parsed current result; one row a call.
+
+    What grows with the call (turns, objections, evidence) stays in rows of its own, joined by call_id; here are their numbers.
+    """
+    fields = ["overall_score", "opportunity_quality", "call_status", "confidence", "strengths", "critical_failures", "coaching_actions", "requires_human_review"]
+    counts = ["n_segments", "speakers", "n_words", "n_questions", "text_sha256", "n_objections", (F.col("n_objections") + 1).alias("n_evidence")]
+    return results.select("call_id", *counts, "model_version", "tokens", "cost", "valid", *(F.col(f"result.{f}").alias(f) for f in fields))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,12 +77,52 @@ def transcription_worklist(artifacts: DataFrame) -> DataFrame:
     return artifacts.filter(F.col("role") == "recording").join(needs_transcription(artifacts), "call_id", "left_semi").select("call_id", "artifact_id", "uri")
 
 
+def spoken() -> Column:
+    """A segment as the transcript has it: speaker and text."""
+    return F.concat(F.coalesce("speaker", F.lit("?")), F.lit(": "), F.coalesce("text", F.lit("")))
+
+
+def transcript_counts(segments: DataFrame, call: str = "call_id") -> DataFrame:
+    """One row a call: numbers of segments, words, questions and lines with a comma, and speakers in order of name. No text is gathered."""
+    lines = F.size(F.filter(F.split(spoken(), "\n"), lambda x: F.contains(x, F.lit(","))))
+    counts = {"n_words": F.regexp_count(spoken(), F.lit(r"(?U)\S+")), "n_questions": F.regexp_count(spoken(), F.lit(r"\?")), "n_objections": lines}
+    sums = [F.sum(c).cast("long").alias(n) for n, c in counts.items()]
+    return segments.groupBy(call).agg(F.count(F.lit(1)).alias("n_segments"), F.array_sort(F.collect_set("speaker")).alias("speakers"), *sums)
+
+
+def transcript_digests(segments: DataFrame, call: str = "call_id") -> DataFrame:
+    """(call, text_sha256): SHA-256 of each call's transcript, its segments in turn order (then speaker, text) one a line.
+
+    A call's segments stream through one task in order; its text is never one string.
+    """
+    rows = segments.select(F.col(call).alias("__call"), "turn", "speaker", F.coalesce("text", F.lit("")).alias("text"), spoken().alias("__line"))
+    ordered = rows.repartition("__call").sortWithinPartitions("__call", "turn", "speaker", "text").select("__call", "__line")
+    kind = rows.schema["__call"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest, layout = None, None, None
+        for batch in batches:
+            layout, done = pa.schema([("__call", batch.schema.field("__call").type), ("text_sha256", pa.string())]), []
+            for own, line in zip(batch.column("__call").to_pylist(), batch.column("__line").to_pylist(), strict=True):
+                if digest is not None and own == key:
+                    digest.update(b"\n")
+                else:
+                    if digest is not None:
+                        done.append({"__call": key, "text_sha256": digest.hexdigest()})
+                    key, digest = own, hashlib.sha256()
+                digest.update(line.encode())
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=layout)
+        if digest is not None:
+            yield pa.RecordBatch.from_pylist([{"__call": key, "text_sha256": digest.hexdigest()}], schema=layout)
+
+    return ordered.mapInArrow(run, f"__call {kind}, text_sha256 string").withColumnRenamed("__call", call)
+
+
 def normalise_transcript(segments: DataFrame, call: str = "call_id") -> DataFrame:
-    """One row a call: number of segments, speakers in order of name, full text with speakers, in turn order."""
-    parts = F.array_sort(F.collect_list(F.struct("turn", "speaker", F.coalesce("text", F.lit("")).alias("text"))))
-    rows = segments.groupBy(call).agg(parts.alias("segments"), F.array_sort(F.collect_set("speaker")).alias("speakers"))
-    line = lambda s: F.concat(F.coalesce(s["speaker"], F.lit("?")), F.lit(": "), s["text"])
-    return rows.select(call, F.size("segments").cast("long").alias("n_segments"), "speakers", F.array_join(F.transform("segments", line), "\n").alias("full_text"), "segments")
+    """One row a call: the counts and speakers of ``transcript_counts`` and the digest of the text. The text stays one row a turn."""
+    digests = transcript_digests(segments, call).withColumnRenamed(call, "__call")
+    return transcript_counts(segments, call).join(digests, F.col(call).eqNullSafe(F.col("__call"))).drop("__call")
 
 
 def artifact_reference(df: DataFrame) -> DataFrame:

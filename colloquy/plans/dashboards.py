@@ -110,26 +110,29 @@ def ds6_coaching(spark, d):
     return metrics.recent(n, "seller_id", [F.desc("n"), F.col("action")], 2).drop("recency")
 
 
-# --- call: from transcripts, by the offline analyzer
+# --- call: from transcripts, by text rules; their scores mean nothing
 
 
-def analysed(spark, d):
-    """(transcripts, parsed results) of all conversations. The analyzer is a text rule: its scores mean nothing."""
-    transcripts = ingest.normalise_transcript(T.segments(spark, d))
-    key = analysis_key(F.col("call_id"), F.sha2("full_text", 256), F.lit("rubric-1"), F.lit("prompt-1"), F.lit("rules-1"))
-    return transcripts, parse_output(analysis.run_analyzer(transcripts.withColumn("analysis_key", key)))
+def scored(spark, d):
+    """Parsed results of all conversations, from their counts alone."""
+    return parse_output(analysis.rule_answers(ingest.transcript_counts(T.segments(spark, d))))
+
+
+def versioned(spark, d):
+    """The same with each transcript's digest and the key of its analysis."""
+    key = analysis_key(F.col("call_id"), F.col("text_sha256"), F.lit("rubric-1"), F.lit("prompt-1"), F.col("model_version"))
+    return parse_output(analysis.rule_answers(ingest.normalise_transcript(T.segments(spark, d))).withColumn("analysis_key", key))
 
 
 @query()
 def call_detail(spark, d):
-    transcripts, parsed = analysed(spark, d)
-    return detail.call_detail(transcripts.select("call_id"), transcripts, parsed)
+    results = versioned(spark, d)
+    return detail.call_detail(results)
 
 
 @query()
 def dc1_metadata(spark, d):
-    _, parsed = analysed(spark, d)
-    return parsed.select("call_id", "analysis_key", "model_version", "tokens", "cost", "error")
+    return versioned(spark, d).select("call_id", "analysis_key", "model_version", "tokens", "cost", "error")
 
 
 @query("SELECT conv_id AS call_id, turn, role AS speaker, text FROM conversations")
@@ -139,12 +142,12 @@ def dc2_transcript(spark, d):
 
 @query()
 def dc3_score(spark, d):
-    return analysed(spark, d)[1].select("call_id", "result.overall_score", "result.confidence", "result.call_status", "result.opportunity_quality")
+    return scored(spark, d).select("call_id", "result.overall_score", "result.confidence", "result.call_status", "result.opportunity_quality")
 
 
 @query()
 def dc4_feedback(spark, d):
-    return analysed(spark, d)[1].select("call_id", "result.strengths", "result.critical_failures", "result.coaching_actions")
+    return scored(spark, d).select("call_id", "result.strengths", "result.critical_failures", "result.coaching_actions")
 
 
 @query()
@@ -159,12 +162,16 @@ def dc6_objections(spark, d):
 
 @query()
 def dc7_failures(spark, d):
-    return analysed(spark, d)[1].select("call_id", F.explode("result.critical_failures").alias("failure"))
+    return scored(spark, d).select("call_id", F.explode("result.critical_failures").alias("failure"))
 
 
 @query()
 def dc8_versions(spark, d):
-    return analysis.json_history(analysed(spark, d)[1])
+    """An answer's head (its long lists empty), then a row for each item of the lists."""
+    heads, items = versioned(spark, d), analysis.rule_items(T.segments(spark, d)).withColumnRenamed("call_id", "__call")
+    keys = heads.select("call_id", "analysis_key", "model_version")
+    rows = keys.join(items, F.col("call_id").eqNullSafe(F.col("__call")))
+    return analysis.json_history(heads).unionByName(analysis.json_history(rows))
 
 
 @query("""SELECT o_custkey AS customer_id, o_orderkey AS call_id, row_number() OVER w AS run_number, c_mktsegment AS reviewer, round(o_totalprice - lag(o_totalprice) OVER w, 9) AS delta
@@ -177,13 +184,16 @@ def dc9_history(spark, d):
 
 @query()
 def output_validation(spark, d):
-    parsed = analysed(spark, d)[1]
-    return evidence_gaps(parsed.select("call_id", "valid", "problems", F.col("result.evidence").alias("evidence"), needs_review(F.col("result.requires_human_review"), F.col("result.confidence")).alias("to_review"))).drop("evidence")
+    parsed = scored(spark, d)
+    items = analysis.evidence(T.segments(spark, d)).select(F.col("call_id").alias("__call"), F.array(F.struct("timestamp", "speaker", "excerpt", "claim")).alias("evidence"))
+    gaps = evidence_gaps(items).groupBy("__call").agg(F.sum("evidence_gaps").cast("int").alias("evidence_gaps"))
+    rows = parsed.select("call_id", "valid", "problems", needs_review(F.col("result.requires_human_review"), F.col("result.confidence")).alias("to_review"))
+    return rows.join(gaps, F.col("call_id").eqNullSafe(F.col("__call")), "left").select(*rows.columns, F.coalesce("evidence_gaps", F.lit(0)).alias("evidence_gaps"))
 
 
 @query()
 def analysis_dimensions(spark, d):
-    return analysis.explode_dimensions(analysed(spark, d)[1])
+    return analysis.explode_dimensions(scored(spark, d))
 
 
 # --- administration

@@ -58,7 +58,7 @@ def pick_by_priority(spark, d):
   sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS text_sha256 FROM conversations GROUP BY conv_id""")
 def transcript_assembly(spark, d):
     rows = ingest.normalise_transcript(T.segments(spark, d))
-    return rows.select("call_id", "n_segments", F.array_join("speakers", ",").alias("speakers"), F.sha2("full_text", 256).alias("text_sha256"))
+    return rows.select("call_id", "n_segments", F.array_join("speakers", ",").alias("speakers"), "text_sha256")
 
 
 @query("SELECT doc_id, sha256(text) AS version FROM documents")

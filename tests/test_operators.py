@@ -140,6 +140,28 @@ def test_every_objection_is_kept_whole(spark):
     assert sorted((e["excerpt"], e["claim"]) for e in answer["evidence"]) == sorted(x[1:] for x in found if x[0] == 1)
 
 
+def test_transcripts_are_counted_and_digested_without_gathering_them(spark):
+    import hashlib
+
+    rows = [(1, 1, "b", "yes?\nand, so"), (1, 0, "a", "x\u00a0y"), (1, 1, "b", "again"), (1, 2, None, None), (2, None, "a", ""), (None, 0, "c", "z, z")]
+    segments = spark.createDataFrame(rows, "call_id int, turn int, speaker string, text string").repartition(3)
+    ordered = {i: sorted((r for r in rows if r[0] == i), key=lambda r: (r[1] is not None, r[1], r[2] or "", r[3] or "")) for i in (1, 2, None)}
+    texts = {i: "\n".join(f"{s or '?'}: {t or ''}" for _, _, s, t in own) for i, own in ordered.items()}
+    want = [(i, len(ordered[i]), len(t.split()), t.count("?"), sum("," in x for x in t.split("\n")), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts.items()]
+    out = ingest.normalise_transcript(segments)
+    assert values(out, "call_id", "n_segments", "n_words", "n_questions", "n_objections", "text_sha256") == sorted(want, key=str)
+    assert "collect_list" not in out._jdf.queryExecution().toString() and "full_text" not in out.columns
+    answers = {r.call_id: r for r in parse_output(analysis.rule_answers(out)).collect()}
+    for i, t in texts.items():
+        raw, tokens, cost = analysis.RuleAnalyzer().analyze(t)
+        same = {k: v for k, v in json.loads(raw).items() if k not in ("objections", "evidence")}
+        mine = answers[i].result.asDict(recursive=True)
+        assert answers[i].valid and (answers[i].tokens, answers[i].cost) == (tokens, cost) and {k: mine[k] for k in same} == same
+        parts = [json.loads(r.raw_json) for r in analysis.rule_items(segments).filter(F.col("call_id").eqNullSafe(F.lit(i))).collect()]
+        assert sorted(x for p in parts for x in p.get("objections", [])) == sorted(json.loads(raw)["objections"])
+        assert sorted(e["excerpt"] for p in parts for e in p.get("evidence", [])) == sorted(e["excerpt"] for e in json.loads(raw)["evidence"])
+
+
 def test_metrics(spark):
     calls = spark.createDataFrame([(1, 1, dt.date(2024, 1, 1)), (2, 1, dt.date(2024, 2, 1)), (3, 2, None)], "call_id int, seller_id int, call_date date")
     assert metrics.coverage(calls, spark.createDataFrame([(1,), (1,)], "call_id int")).first()[:] == (3, 1, 1 / 3)
