@@ -1,8 +1,9 @@
 """Quality rules: counts by fixed rules, then an isolation forest over what passes their tolerances.
 
 Counts are made in one pass over the texts and stored (one narrow row a document). The forest is grown
-on a hash sample of at most ``SAMPLE`` of these rows: each tree splits ``TREE_ROWS`` of them at random
-features and values. A document's score falls with its mean path length; the threshold is the score
+on a hash sample of at most ``SAMPLE`` of these rows, and ``RARE`` rows (all, if fewer) of each rule that any
+document of the corpus exceeds: each tree splits ``TREE_ROWS`` of the sample at random features and values, and one row
+more for each such rule that these lack, so every rule is split on at every size of the corpus. A document's score falls with its mean path length; the threshold is the score
 that best separates good from bad among *all* labelled rows, found on a histogram of scores.
 
 Defined cases: a null or empty text has no words and fails the base rules; without both good and bad
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import GOLDEN, SPACE, blocks, materialise, mix64, prepare, span_hashes, window_hashes, word_spans
 
-#: The forest's bounds: rows of the sample, trees, rows a tree, and levels (log2 of the latter).
-SAMPLE, TREES, TREE_ROWS, LEVELS = 8192, 128, 256, 8
+#: The forest's bounds: rows of the sample, rows a rule beside it, trees, rows a tree, and levels (log2 of the latter).
+SAMPLE, RARE, TREES, TREE_ROWS, LEVELS = 8192, 64, 128, 256, 8
 BINS = 2000
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 UPPER = np.isin(np.arange(256), list(range(65, 91)))
@@ -106,6 +107,8 @@ def rule_counts(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
 #: Usual tolerances of the rules: mean word length from 3 to 10; symbols and !? marks a word; shares of
 #: repeated lines, words in repeated windows, words that double the one before, capital letters.
 WORD_LENGTH, SYMBOL_RATE, MARK_RATE, LINE_SHARE, REPEAT_SHARE, DOUBLE_SHARE, UPPER_SHARE = (3.0, 10.0), 0.1, 0.3, 0.5, 0.2, 0.2, 0.3
+#: The number of rules, which are the forest's features.
+RULES = 7
 
 
 def excesses(counts: dict[str, np.ndarray]) -> np.ndarray:
@@ -124,13 +127,20 @@ def excesses(counts: dict[str, np.ndarray]) -> np.ndarray:
     return np.maximum(np.stack(beyond, 1), 0)
 
 
-def grow(rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, levels: int = LEVELS, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, value, path length) of the nodes of each tree, children of i at 2i+1 and 2i+2; feature -1 at leaves."""
+def grow(rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, levels: int = LEVELS, seed: int = 7, rare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, value, path length) of the nodes of each tree, children of i at 2i+1 and 2i+2; feature -1 at leaves.
+
+    A tree whose rows lack a feature that ``rows`` or ``rare`` have above 0 gets one such row beside them.
+    """
     rng = np.random.default_rng(seed)
     size = (2 << levels) - 1
     feature, value, path = np.full((trees, size), -1, np.int8), np.zeros((trees, size)), np.zeros((trees, size))
+    known = rows if rare is None else np.vstack([rows, rare])
+    holders = [np.flatnonzero(known[:, f] > 0) for f in range(known.shape[1])]
     for t in range(trees):
-        todo = [(0, 0, rows[rng.permutation(len(rows))[:tree_rows]])]
+        own = rows[rng.permutation(len(rows))[:tree_rows]]
+        lacks = [f for f, at in enumerate(holders) if len(at) and not (own[:, f] > 0).any()]
+        todo = [(0, 0, np.vstack([own, *(known[[rng.choice(holders[f])]] for f in lacks)]))]
         while todo:
             node, depth, own = todo.pop()
             low, high = (own.min(0), own.max(0)) if len(own) else (np.zeros(1), np.zeros(1))
@@ -168,16 +178,17 @@ def anomaly(forest: tuple[np.ndarray, np.ndarray, np.ndarray] | None, rows: np.n
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """__id and the rule counts of each whole text."""
+    """__id and the rule counts of each whole text, and in the bits of ``passed`` the rules whose tolerance it passes."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, at in blocks(batches, "__text"):
             counts = rule_counts(raw, at)
-            yield pa.RecordBatch.from_arrays([rows.column("__id"), *(pa.array(counts[c], pa.int64()) for c in COUNTS)], ["__id", *COUNTS])
+            passed = (excesses(counts) > 0) @ (1 << np.arange(RULES))
+            yield pa.RecordBatch.from_arrays([rows.column("__id"), *(pa.array(counts[c], pa.int64()) for c in COUNTS), pa.array(passed, pa.int64())], ["__id", *COUNTS, "passed"])
 
     picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    return picked.mapInArrow(run, f"__id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return picked.mapInArrow(run, f"__id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in [*COUNTS, "passed"]))
 
 
 def base_failed():
@@ -193,15 +204,26 @@ def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
     return float(np.flatnonzero(gain == gain.max())[-1]) / BINS
 
 
+def grown_on(stats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the hash sample, and of at most RARE rows a rule (the first by hash) that pass its tolerance, of all rows of ``stats``."""
+    rows = stats.filter("NOT base_failed")
+    bits = [F.sum(F.col("passed").bitwiseAND(F.lit(1 << f)).cast("boolean").cast("long")).alias(f"r{f}") for f in range(RULES)]
+    n = rows.agg(F.count(F.lit(1)).alias("n"), *bits).first()
+    share, order = min(1.0, 0.9 * SAMPLE / max(n["n"], 1)), F.xxhash64("__id", *COUNTS)
+    parts = [rows.filter(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("__id", *COUNTS).limit(SAMPLE)]
+    if share < 1:
+        parts += [rows.filter(F.col("passed").bitwiseAND(F.lit(1 << f)) != 0).orderBy(order, "__id", *COUNTS).limit(RARE) for f in range(RULES) if n[f"r{f}"]]
+    got = [p.select(*COUNTS).toPandas() for p in parts]
+    made = [excesses({c: p[c].to_numpy(np.int64) for c in COUNTS}) for p in got]
+    return made[0], np.vstack([np.zeros((0, RULES)), *made[1:]])
+
+
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, tuple | None, float]:
     """(__id, counts, base_failed and anomaly of each document; the forest; the score from which documents go)."""
     spark = docs.sparkSession
     stats = materialise(counted(docs, id_col, text_col).withColumn("base_failed", base_failed()), "rule-counts")
-    many = stats.filter("NOT base_failed").count()
-    share = min(1.0, 0.9 * SAMPLE / max(many, 1))
-    drawn = stats.filter(~F.col("base_failed") & (F.pmod(F.xxhash64("__id", *COUNTS), F.lit(1 << 30)) < int(share * (1 << 30))))
-    sample = drawn.orderBy("__id", *COUNTS).limit(SAMPLE).toPandas()
-    forest = grow(excesses({c: sample[c].to_numpy(np.int64) for c in COUNTS})) if len(sample) else None
+    sample, rare = grown_on(stats)
+    forest = grow(sample, rare=rare) if len(sample) + len(rare) else None
     shared = spark.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +232,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "anomaly"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema.fields)
-    scored = materialise(stats.mapInArrow(run, f"{kinds}, anomaly double"), "scored")
+    scored = materialise(stats.mapInArrow(run, f"{kinds}, anomaly double").drop("passed"), "scored")
     marks = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__marked"), (F.col(label_col) == 1).alias("__good"))
     known = scored.filter("NOT base_failed").join(marks, F.col("__id") == F.col("__marked"))
     bins = np.zeros((2, BINS), np.int64)

@@ -161,6 +161,23 @@ def test_isolation_forest_isolates():
     assert score.argmax() == 500 and 0 < score.min() and score.max() < 1
 
 
+def test_a_rare_kind_of_junk_is_split_on(spark):
+    import numpy as np
+
+    clean = {"n_words": 100, "word_chars": 500, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0, "n_lines": 5, "n_upper": 5, "n_letters": 480, "n_marks": 0, "n_doubled": 0}
+    columns = [(F.when(F.col("id") == 7, 90) if c == "n_marks" else F.when(F.col("id") % 50 == 1, 40) if c == "n_symbols" else F.lit(None)).cast("long") for c in quality_rules.COUNTS]
+    counts = [F.coalesce(x, F.lit(clean[c])).cast("long").alias(c) for x, c in zip(columns, quality_rules.COUNTS, strict=True)]
+    marks, symbols = F.col("id") == 7, F.col("id") % 50 == 1  # rules 2 and 1
+    passed = (F.when(marks, 4).otherwise(0) + F.when(symbols, 2).otherwise(0)).cast("long").alias("passed")
+    stats = spark.range(200000).select(F.col("id").alias("__id"), *counts, passed, F.lit(False).alias("base_failed"))
+    sample, rare = quality_rules.grown_on(stats)
+    assert len(sample) <= quality_rules.SAMPLE and not (sample[:, 2] > 0).any() and (rare[:, 2] > 0).sum() == 1
+    ordinary, odd, usual = (quality_rules.excesses({c: np.array([v]) for c, v in {**clean, **more}.items()}) for more in ({}, {"n_marks": 90}, {"n_symbols": 40}))
+    forest = quality_rules.grow(sample, rare=rare)
+    low, high, known = (quality_rules.anomaly(forest, x)[0] for x in (ordinary, odd, usual))
+    assert high > low + 0.1 and known > low and (forest[0] == 2).any(1).mean() > 0.9
+
+
 # 5
 def test_bpe(spark, docs, rows, empty):
     out = bpe.bpe_digests(docs, P.path("byte_bpe_50k.json"))
