@@ -9,7 +9,8 @@ where each slot value of the item has one value in the document throughout, and
 item, and where it covers the item or ``COVER`` of its words.
 
 A name is a capitalised word inside a sentence; sentences begin at a text's or line's start and after
-one of . ! ? : at a word's end. Words that are only marks are no words here.
+one of . ! ? : at a word's end. Words that are only marks are no words here. An item's capitalised first word
+may stand inside a sentence of a document: its first window is there as a word and as a name, the latter for the same word only.
 
 Defined cases: a null or empty text matches nothing; an item with fewer than ``SHORTEST`` words can't be
 told from chance and is never matched, one with fewer than ``WINDOW`` is one window; null items and ids are left
@@ -95,15 +96,16 @@ class Canon:
 
 
 def windows(table: DataFrame, lengths: list[int] | None, bits: np.ndarray | None) -> DataFrame:
-    """(__id, length, size, pos, h, template, slots) of the windows of ``table`` (__id, __text); null texts are empty.
+    """(__id, length, size, pos, h, template, slots, exact) of the windows of ``table`` (__id, __text); null texts are empty.
 
-    Without ``lengths``: benchmark items, windows of WINDOW words or the whole shorter item. With them:
-    documents, windows of those lengths that ``bits`` lets through.
+    Without ``lengths``: benchmark items, windows of WINDOW words or the whole shorter item; where an item begins
+    with a capitalised word, its first window in both forms, ``exact`` where that word is then a slot that must be the same.
+    With them: documents, windows of those lengths that ``bits`` lets through.
     """
     prepare(table.sparkSession)
     shared = table.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
     kind = table.schema["__id"].dataType.simpleString()
-    names = ["__id", "length", "size", "pos", "h", "template", "slots"]
+    names = ["__id", "length", "size", "pos", "h", "template", "slots", "exact"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = _workers.get("canon") or _workers.setdefault("canon", Canon())
@@ -111,7 +113,7 @@ def windows(table: DataFrame, lengths: list[int] | None, bits: np.ndarray | None
         for part, raw, at in blocks(batches, "__text"):
             if len(canon.words) > MOST:
                 canon = _workers["canon"] = Canon()
-            layout = layout or pa.schema([("__id", part.schema.field("__id").type), ("length", pa.int64()), ("size", pa.int32()), ("pos", pa.int64()), ("h", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
+            layout = layout or pa.schema([("__id", part.schema.field("__id").type), ("length", pa.int64()), ("size", pa.int32()), ("pos", pa.int64()), ("h", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string())), ("exact", pa.bool_())])
             out = []
             words, where, codes, slot, first = canon.scan(texts_of(raw, at))
             counts = np.diff(first)
@@ -129,11 +131,19 @@ def windows(table: DataFrame, lengths: list[int] | None, bits: np.ndarray | None
                     forms = [canonical(w) for w in own]
                     template = [PLACEHOLDERS["name"] if s and kind == NAME_IF_INSIDE else form for (form, kind), s in zip(forms, is_slot, strict=True)]
                     values = [w.strip(AROUND).lower() for w, s in zip(own, is_slot, strict=True) if s]
-                    out.append((part.column("__id")[k].as_py(), int(counts[k]), size, p - int(first[k]), int(h[p : p + 1].view(np.int64)[0]), " ".join(template), values))
+                    row = (part.column("__id")[k].as_py(), int(counts[k]), size, p - int(first[k]))
+                    out.append((*row, int(h[p : p + 1].view(np.int64)[0]), " ".join(template), values, False))
+                    if shared is None and p == first[k] and forms[0][1] == NAME_IF_INSIDE:
+                        other = codes[p : p + size].copy()
+                        other[0] = xxh64_intdigest(forms[0][0]) if is_slot[0] else canon.name
+                        again = int(window_hashes(other, np.array([0, size]), size)[0].view(np.int64)[0])
+                        template[0] = forms[0][0] if is_slot[0] else PLACEHOLDERS["name"]
+                        values = values[1:] if is_slot[0] else [own[0].strip(AROUND).lower(), *values]
+                        out.append((*row, again, " ".join(template), values, not is_slot[0]))
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=layout)
 
-    return table.select("__id", "__text").mapInArrow(run, f"__id {kind}, length long, size int, pos long, h long, template string, slots array<string>")
+    return table.select("__id", "__text").mapInArrow(run, f"__id {kind}, length long, size int, pos long, h long, template string, slots array<string>, exact boolean")
 
 
 def bit_table(items: DataFrame) -> np.ndarray:
@@ -152,8 +162,8 @@ def alignments(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     lengths = [r["size"] for r in items.select("size").distinct().orderBy("size").collect()]  # WINDOW - SHORTEST + 1 at most
     named = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     found = materialise(windows(named, lengths, bit_table(items)) if lengths else windows(named.limit(0), [], None), "hits")
-    known = items.select(F.col("__id").alias("__item"), F.col("length").alias("item_words"), F.col("pos").alias("item_pos"), "size", "h", "template", F.col("slots").alias("item_slots"))
-    both = found.join(known, ["h", "size", "template"]).withColumn("diagonal", F.col("pos") - F.col("item_pos"))
+    known = items.select(F.col("__id").alias("__item"), F.col("length").alias("item_words"), F.col("pos").alias("item_pos"), "size", "h", "template", F.col("slots").alias("item_slots"), "exact")
+    both = found.drop("exact").join(known, ["h", "size", "template"]).filter("NOT exact OR slots[0] = item_slots[0]").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
     line = ["__id", "__item", "item_words", "diagonal"]
     both = both.dropDuplicates([*line, "pos"])
     slots = both.select(*line, F.explode(F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y"))).alias("s")).select(*line, "s.*").distinct()

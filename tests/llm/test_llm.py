@@ -126,6 +126,17 @@ def test_slots_must_agree(spark):
     assert got(decontaminate.contaminated(frame(spark, [(1, same), (2, odd)]), benchmark), "__id") == [(1,)]
 
 
+def test_a_short_item_is_found_inside_a_sentence(spark):
+    benchmark = spark.createDataFrame([(1, "What is the capital of France?"), (2, "- Name the first king of all Norway and Sweden, please")], "item_id long, text string")
+    cases = [
+        (1, "- What is the capital of France?"), (2, "1) What is the capital of France?"), (3, "They asked (What is the capital of France?) twice"), (4, "Yes. What is the capital of France?"),
+        (5, "and what is the capital of France?"), (6, "they say Paris is the capital of France, of course"), (7, "Well. Name the first king of all Norway and Sweden, please"), (8, "he said Name the first king of all Norway and Sweden, please"),
+        (9, "We asked: - What is the capital of Spain?"),
+    ]
+    hits = decontaminate.contaminated(frame(spark, cases), benchmark)
+    assert got(hits, "__id", "items") == [(1, [1]), (2, [1]), (3, [1]), (4, [1]), (5, [1]), (7, [2]), (8, [2]), (9, [1])]
+
+
 def test_whole_items_in_texts_are_found(spark):
     import re
 
