@@ -5,8 +5,9 @@ become typed placeholders, and their values go to slots. Windows of ``WINDOW`` c
 on both sides. A fixed-size bit table of the benchmark's hashes (``BITS`` bits, whatever its size) lets
 tasks pass over nearly all document windows; the rest is joined with the benchmark's windows by hash and
 compared by template. Windows of a document and an item on one diagonal are one alignment. It counts
-where each slot value of the item has one value in the document throughout, and each of those one in the
-item, and where it covers the item or ``COVER`` of its words.
+where it covers the item or ``COVER`` of its words: by windows with the item's own slot values, whatever stands
+beside them, or by all its windows where each slot value of the item has one value in the document throughout
+(two of the item's may have become the same).
 
 A name is a capitalised word inside a sentence; sentences begin at a text's or line's start and after
 one of . ! ? : at a word's end. Words that are only marks are no words here. An item's capitalised first word
@@ -167,12 +168,15 @@ def alignments(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     line = ["__id", "__item", "item_words", "diagonal"]
     both = both.dropDuplicates([*line, "pos"])
     slots = both.select(*line, F.explode(F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y"))).alias("s")).select(*line, "s.*").distinct()
-    odd = slots.groupBy(*line, "x").count().filter("count > 1").select(*line).union(slots.groupBy(*line, "y").count().filter("count > 1").select(*line))
-    before = F.lag("pos").over(Window.partitionBy(*line).orderBy("pos"))
-    steps = both.select(*line, "size", F.least(F.col("size"), F.coalesce(F.col("pos") - before, F.col("size"))).alias("new"))
-    covered = steps.groupBy(*line).agg(F.sum("new").alias("covered"))
-    enough = covered.filter(F.col("covered") >= F.least(F.col("item_words"), F.lit(COVER)))
-    return enough.join(odd.distinct(), line, "left_anti").select("__id", "__item", "covered", "item_words")
+    odd = slots.groupBy(*line, "x").count().filter("count > 1").select(*line).distinct().withColumn("odd", F.lit(True))
+    earlier = Window.partitionBy(*line).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("same", F.col("slots") == F.col("item_slots"))
+    new = lambda at: F.least(F.col("size"), F.coalesce(F.col("pos") - F.last(at, True).over(earlier), F.col("size")))
+    steps = both.select(*line, new(F.col("pos")).alias("new"), F.when(F.col("same"), new(F.when(F.col("same"), F.col("pos")))).otherwise(0).alias("copied"))
+    covered = steps.groupBy(*line).agg(F.sum("new").alias("covered"), F.sum("copied").alias("copied"))
+    need = F.least(F.col("item_words"), F.lit(COVER))
+    enough = covered.filter(F.col("covered") >= need).join(odd, line, "left").filter(F.col("odd").isNull() | (F.col("copied") >= need))
+    return enough.select("__id", "__item", F.when(F.col("odd"), F.col("copied")).otherwise(F.col("covered")).alias("covered"), "item_words")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

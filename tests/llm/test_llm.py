@@ -126,6 +126,15 @@ def test_slots_must_agree(spark):
     assert got(decontaminate.contaminated(frame(spark, [(1, same), (2, odd)]), benchmark), "__id") == [(1,)]
 
 
+def test_a_changed_slot_beside_a_copy_rejects_nothing(spark):
+    text = "in one day the crew of that old ship could load every crate and barrel left on the long wooden pier before the next day began"
+    sums = "if 5 apples cost 8 coins then what do 5 apples and 8 pears cost in all there"
+    benchmark = spark.createDataFrame([(1, text), (2, sums)], "item_id long, text string")
+    cases = [(1, text.replace("next day", "next week")), (2, sums.replace("5", "6").replace("8", "6")), (3, sums.replace("do 5", "do 7"))]
+    hits = decontaminate.contaminated(frame(spark, cases), benchmark)
+    assert got(hits, "__id", "items", "covered") == [(1, [1], 24), (2, [2], 18), (3, [2], 17)]
+
+
 def test_a_short_item_is_found_inside_a_sentence(spark):
     benchmark = spark.createDataFrame([(1, "What is the capital of France?"), (2, "- Name the first king of all Norway and Sweden, please")], "item_id long, text string")
     cases = [
