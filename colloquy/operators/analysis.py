@@ -166,10 +166,16 @@ def evidence(segments: DataFrame) -> DataFrame:
 
 
 def locate_evidence(evidence: DataFrame, segments: DataFrame) -> DataFrame:
-    """Evidence with the segment (call_id, start, end) whose span holds its time; an equality on call_id leads the range."""
-    s = segments.select(F.col("call_id").alias("__call"), "start", "end", "segment")
-    here = (F.col("call_id") == F.col("__call")) & (F.col("timestamp") >= F.col("start")) & (F.col("timestamp") < F.col("end"))
-    return evidence.join(s, here, "left").drop("__call")
+    """Evidence with the segment (call_id, start, end) whose span holds its time; the spans of a call are disjoint.
+
+    Each row takes the last start before it, in one sorted pass over a call, so no pairs are made.
+    """
+    spans = segments.filter("start < end").select("call_id", F.col("start").alias("__at"), F.lit(0).alias("__kind"), F.struct("start", "end", "segment").alias("__span"))
+    rows = evidence.withColumns({"__at": F.col("timestamp"), "__kind": F.lit(1)}).unionByName(spans, allowMissingColumns=True)
+    before = Window.partitionBy("call_id").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = rows.withColumn("__span", F.last("__span", True).over(before)).filter("__kind = 1")
+    inside = F.when(F.col("call_id").isNotNull() & (F.col("timestamp") < F.col("__span.end")), F.col("__span"))
+    return last.withColumn("__span", inside).select(*evidence.columns, "__span.start", "__span.end", "__span.segment")
 
 
 def apply_rules(results: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

@@ -162,6 +162,15 @@ def test_transcripts_are_counted_and_digested_without_gathering_them(spark):
         assert sorted(e["excerpt"] for p in parts for e in p.get("evidence", [])) == sorted(e["excerpt"] for e in json.loads(raw)["evidence"])
 
 
+def test_evidence_is_located_without_pairs(spark):
+    spans = spark.createDataFrame([(1, 0, 5, "a"), (1, 5, 5, "none"), (1, 5, 9, "b"), (1, 12, None, "open"), (2, 0, 3, "c"), (None, 0, 9, "d")], "call_id int, start int, end int, segment string")
+    times = [(1, 0), (1, 4), (1, 5), (1, 9), (1, 13), (2, 1), (3, 1), (None, 1), (1, None), (1, -1)]
+    out = analysis.locate_evidence(spark.createDataFrame(times, "call_id int, timestamp int"), spans)
+    found = {(1, 0): "a", (1, 4): "a", (1, 5): "b", (2, 1): "c"}
+    assert values(out, "call_id", "timestamp", "segment") == sorted(((*t, found.get(t)) for t in times), key=str)
+    assert out.columns == ["call_id", "timestamp", "start", "end", "segment"] and "Join" not in out._jdf.queryExecution().toString()
+
+
 def test_metrics(spark):
     calls = spark.createDataFrame([(1, 1, dt.date(2024, 1, 1)), (2, 1, dt.date(2024, 2, 1)), (3, 2, None)], "call_id int, seller_id int, call_date date")
     assert metrics.coverage(calls, spark.createDataFrame([(1,), (1,)], "call_id int")).first()[:] == (3, 1, 1 / 3)
