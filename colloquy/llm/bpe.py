@@ -145,7 +145,7 @@ class Bpe:
 
     def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, bytes]]:
         """(ids, the ids in decimal joined by commas) of each text."""
-        if max(len(self.spaced), len(self.raw), len(self.known)) > MOST:
+        if self.spaced.full() or self.raw.full() or len(self.known) > MOST:
             self.forget()
         plan = []
         for text in texts:

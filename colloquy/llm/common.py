@@ -22,6 +22,8 @@ ROOT = str(Path(__file__).resolve().parents[2])
 BLOCK_BYTES = 1 << 20
 #: Rows of an Arrow batch, so that a Python worker holds a few MB of usual texts.
 ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+#: What a table may have at most to be broadcast, as counted by ``is_small``.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,21 +42,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    ``narrow`` tables (a few short columns, after a shuffle) go to an eighth of the usual number of files.
-    """
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors. AQE sizes the files."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    if narrow:
-        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a materialised table that nothing reads any more."""
+    spark, folders = df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def prepare(spark: SparkSession) -> None:
-    """Session settings for tasks in Python: small Arrow batches, and workers that can import this package."""
+    """Session settings for tasks in Python, which stay set: small Arrow batches, and workers that can import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")  # small stages, few files
@@ -63,14 +68,33 @@ def prepare(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{known}".rstrip(":")
 
 
-def sized_semi_join(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000, how: str = "left_semi") -> DataFrame:
-    """Rows of ``df`` whose ``key`` is in ``ids`` (or, left_anti, is not): broadcast up to ``most`` ids, shuffled beyond."""
-    wanted = ids.select(F.col(key).alias("__wanted")).distinct()
-    if wanted.limit(most + 1).count() <= most:
-        wanted = F.broadcast(wanted)
+def is_small(stored: DataFrame, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored table, counted in rows and the bytes of their strings and arrays, may be broadcast."""
+    wide = {"string": F.octet_length, "binary": F.octet_length}
+    sizes = [F.coalesce(wide[kind](c), F.lit(0)) if kind in wide else 16 * F.greatest(F.size(c), F.lit(0)) if kind.startswith("array") else F.lit(16) for c, kind in stored.dtypes]
+    row = stored.agg(F.sum(sum(sizes, F.lit(16)).cast("long"))).first()
+    return (row[0] or 0) <= most_bytes
+
+
+def broadcast_if_small(stored: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    return F.broadcast(stored) if is_small(stored, most_bytes) else stored
+
+
+def sized_semi_join(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``ids`` (or, left_anti, is not): broadcast if small, shuffled beyond."""
+    wanted = broadcast_if_small(ids.select(F.col(key).alias("__wanted")).distinct())
     return df.join(wanted, df[key].eqNullSafe(wanted["__wanted"]), how)
 
 
+def vocabulary(name: str) -> str:
+    """A vocabulary file's path: a bare name is looked up where this is called, in the task that opens it."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -83,7 +107,20 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return raw[at[0] : at[-1]], at - at[0]
+    return whole_characters(raw[at[0] : at[-1]], at - at[0])
+
+
+def whole_characters(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same texts, with U+FFFD for what is no UTF-8 (a string column can hold any bytes)."""
+    begins = at[:-1][at[:-1] < at[1:]]
+    try:
+        if not ((raw[begins] & 0xC0) == 0x80).any():
+            str(memoryview(raw), "utf-8")
+            return raw, at
+    except UnicodeDecodeError:
+        pass
+    texts = [t.decode("utf-8", "replace").encode() for t in texts_of(raw, at)]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
 def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -115,21 +152,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
-_BASE, _powers = int(GOLDEN) | 1, {}
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE**i and its inverse**i mod 2**64 for i < n at least; kept by the worker up to a block's size."""
-    have = _powers.get("t")
-    if have is None or len(have[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size <= 4 * BLOCK_BYTES:
-            _powers["t"] = have
-    return have
 
 
 def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,15 +167,6 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, at)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one running sum over the block; equal spans have equal hashes."""
-    up, down = _power_table(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    table = _BYTE if not seed else mix64(_BYTE + np.uint64(seed) * MIX_A)
-    np.cumsum(table[raw] * up[: len(raw)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
 def window_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each window of ``size`` words, its text) where no window spans two texts."""
     n = len(words) - size + 1

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from colloquy.llm.common import blocks, materialise, prepare, texts_of, window_hashes
-from colloquy.llm.memo import MOST, Memo
+from colloquy.llm.memo import Memo
 
 WINDOW, COVER, SHORTEST, BITS = 8, 13, 5, 1 << 23
 #: Units of measure, time and money that become a placeholder (fixed values).
@@ -112,7 +112,7 @@ def windows(table: DataFrame, lengths: list[int] | None, bits: np.ndarray | None
         canon = _workers.get("canon") or _workers.setdefault("canon", Canon())
         layout = None
         for part, raw, at in blocks(batches, "__text"):
-            if len(canon.words) > MOST:
+            if canon.words.full():
                 canon = _workers["canon"] = Canon()
             layout = layout or pa.schema([("__id", part.schema.field("__id").type), ("length", pa.int64()), ("size", pa.int32()), ("pos", pa.int64()), ("h", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string())), ("exact", pa.bool_())])
             out = []

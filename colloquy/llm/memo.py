@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
-#: Distinct strings kept at once; beyond it the memory starts afresh, so a worker's memory is bounded.
-MOST = 600_000
+#: Distinct strings, and their bytes, kept at once; beyond either the memory starts afresh, so a worker's memory is bounded.
+MOST, MOST_BYTES = 600_000, 32 << 20
 
 
 class Memo(dict):
@@ -13,16 +15,38 @@ class Memo(dict):
 
     def __init__(self):
         self.new: list[bytes] = []
+        self.bytes = 0
 
     def __missing__(self, key: bytes) -> int:
         self[key] = n = len(self)
         self.new.append(key)
+        self.bytes += len(key)
         return n
 
+    def full(self) -> bool:
+        return len(self) > MOST or self.bytes > MOST_BYTES
+
     def rows(self, keys: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
 
 
+class WordHashes:
+    """64-bit BLAKE2b hashes of distinct words: no construction gives two words one hash."""
+
+    def __init__(self):
+        self.words, self.hashes = Memo(), np.zeros(0, np.uint64)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if self.words.full():
+            self.__init__()
+        rows = self.words.rows(words)
+        if new := self.words.new:
+            made = np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in new]), "<u8")
+            self.hashes = np.concatenate([self.hashes, made])
+            new.clear()
+        return self.hashes[rows]
+
+
 class Lists:
     """Integer lists one after another, by row number, in growing arrays."""
 

@@ -37,21 +37,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import GOLDEN, MIX_A, blocks, materialise, mix64, prepare, sized_semi_join, span_hashes, word_spans
+from colloquy.llm.common import GOLDEN, MIX_A, blocks, broadcast_if_small, discard, materialise, mix64, prepare, sized_semi_join, texts_of
+from colloquy.llm.memo import WordHashes
 
 BANDS, ROWS = 42, 6
+#: Rows of a bucket that are numbered in one task.
+PART = 1 << 16
 #: Odd multipliers of the second permutation (fixed values).
 PI_A, PI_B = np.uint32(0x7FEB352D), np.uint32(0x846CA68B)
 #: Shingles that are permuted at once, so that the work stays in a core's cache.
 CACHED = 1 << 13
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
+_workers: dict[str, WordHashes] = {}
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(ascending distinct shingle hashes of each text, one after another; where each text's begin and the end)."""
-    starts, ends, first = word_spans(raw, at)
-    words = span_hashes(FOLD[raw], starts, ends)
+    known = _workers.get("words") or _workers.setdefault("words", WordHashes())
+    split = [t.split() for t in texts_of(FOLD[raw], at)]
+    first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
+    words = known.of([w for own in split for w in own])
     n = max(len(words) - size + 1, 0)
     rolled = np.zeros(n, np.uint64)
     for j in range(size):
@@ -153,24 +159,40 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(links: DataFrame, name: str = "labels") -> DataFrame:
     """(node, label): the smallest node reachable over ``links`` (a, b), for nodes that have any."""
-    ways = materialise(links.union(links.select("b", "a")).distinct(), f"{name}-ways", narrow=True)
-    labels = materialise(ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), name, narrow=True)
+    ways = materialise(links.union(links.select("b", "a")).distinct(), f"{name}-ways")
+    step = materialise(ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), name)
     while True:
+        labels = step.select("node", "label")
         seen = ways.join(labels, ways["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
         lower = labels.join(seen, labels["node"] == seen["a"]).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("node").alias("__at"), F.col("label").alias("__to"))
-        step = lower.join(jump, lower["label"] == jump["__at"]).select("node", "old", F.least("label", "__to").alias("label"))
-        step = materialise(step, name, narrow=True)
-        labels = step.select("node", "label")
+        after = materialise(lower.join(jump, lower["label"] == jump["__at"]).select("node", "old", F.least("label", "__to").alias("label")), name)
+        discard(step)
+        step = after
         if step.filter("label <> old").isEmpty():
-            return labels
+            discard(ways)
+            return step.select("node", "label")
+
+
+def ranked(buckets: DataFrame) -> DataFrame:
+    """``buckets`` (rep, n, key, low, many) with a number ``rank`` from 1 for each row of a key.
+
+    A large bucket is numbered in parts of about ``PART`` rows, dealt by hash, and each part begins where the one before ends.
+    """
+    parts = F.ceil(F.col("many") / PART)
+    dealt = buckets.withColumn("part", F.when(F.col("many") <= PART, 0).otherwise(F.pmod(F.xxhash64("rep"), parts)).cast("int"))
+    own = F.row_number().over(Window.partitionBy("key", "part").orderBy("rep"))
+    large = dealt.filter(F.col("many") > PART).groupBy("key", "part").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = large.select("key", "part", before.alias("before"))  # one row a part
+    return dealt.withColumn("own", own).join(starts, ["key", "part"], "left").select("rep", "n", "key", "low", (F.col("own") + F.coalesce("before", F.lit(0))).alias("rank"))
 
 
 def still_open(rows: DataFrame, labels: DataFrame, low: int) -> DataFrame:
     """The bucket rows from rank ``low`` on, with their component, of buckets that hold more than one component there."""
     rows = rows.filter(F.col("rank") >= low).join(labels, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "rep")).drop("node", "label")
     keys = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-    return materialise(rows.join(keys, "key", "left_semi"), "open", narrow=True)
+    return materialise(rows.join(keys, "key", "left_semi"), "open")
 
 
 def bounds(sets: DataFrame, rows: DataFrame) -> DataFrame:
@@ -187,6 +209,7 @@ def bounds(sets: DataFrame, rows: DataFrame) -> DataFrame:
     own = per_shingle.filter("many = 1").groupBy("__id").agg(F.count(F.lit(1)).alias("own"))
     sizes = some.groupBy("label").agg(F.count(F.lit(1)).alias("of"))
     core = per_shingle.filter("many > 1").join(sizes, "label").filter("2 * many >= of").groupBy("label").agg(F.collect_list("s").alias("__core"))  # twice the mean set size at most
+    core = broadcast_if_small(materialise(core, "cores"))  # one row a cluster; joined on its own, a large cluster's rows can be split
     out = some.join(own, "__id", "left").join(core, "label", "left").withColumn("__core", F.coalesce("__core", F.array().cast("array<long>")))
     out = out.withColumn("lacks", F.array_except("__core", "shingles")).withColumn("shared", F.size("shingles") - F.coalesce("own", F.lit(0)))
     bits = [F.expr(f"aggregate(lacks, 0L, (a, s) -> CASE WHEN (shiftright(s, 6) & 3) = {j} THEN a | shiftleft(1L, CAST(s & 63 AS INT)) ELSE a END)").alias(f"m{j}") for j in range(4)]
@@ -203,9 +226,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         known = materialise(known.groupBy("__id").agg(F.max(F.struct("n", "f", "g", "bands")).alias("x")).select("__id", "x.*"), "one-row")
     classes = materialise(known.groupBy("f", "g", "n").agg(F.min("__id").alias("rep"), F.first("bands").alias("bands")), "classes")
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
-    per_key = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
-    order = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-    buckets = materialise(buckets.join(per_key.select("key", "low"), "key").withColumn("rank", order), "buckets", narrow=True)
+    per_key = materialise(buckets.groupBy("key").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("many")).filter("many > 1"), "keys")
+    shared = materialise(buckets.join(broadcast_if_small(per_key), "key"), "shared")
+    buckets = materialise(ranked(shared), "buckets")
     wanted = buckets.select(F.col("rep").alias(id_col)).distinct()
     sets = full_sets(sized_semi_join(docs, wanted, id_col), size, id_col, text_col)
     stands = classes.select(F.col("rep").alias("__id"), "f", "g")
@@ -213,12 +236,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     nearest = buckets.groupBy("rep").agg(F.min("low").alias("b"), F.min("n").alias("na")).filter("b < rep").withColumnRenamed("rep", "a")
     nearest = nearest.join(classes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-    links = materialise(similar(nearest, sets, percent), "links", narrow=True)
+    links = materialise(similar(nearest, sets, percent), "links")
     labels = components(links)
     now = still_open(buckets.drop("low"), labels, 1)
     lacked = sum((F.bit_count(f"m{j}") for j in range(4)), F.lit(0))
     alone = F.least("shared", F.col("core") - lacked + F.col("rest")) * 100 < F.col("n") * percent  # too little for any link
-    now = materialise(now.join(bounds(sets, now), F.col("rep") == F.col("__id")).drop("__id").filter(~alone), "open", narrow=True)
+    done = [per_key, shared, sets, now]
+    now = materialise(now.join(bounds(sets, now), F.col("rep") == F.col("__id")).drop("__id").filter(~alone), "open")
     sketch = ["n", "shared", "rest", "m0", "m1", "m2", "m3"]
     low, width = 1, 4
     while not now.isEmpty():
@@ -228,12 +252,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         may = most * 100 >= (F.col("n") + F.col("b_n") - most) * percent
         pairs = now.join(pivots, (now["key"] == pivots["key"]) & (now["rank"] > pivots["__p"]) & (now["comp"] != pivots["__c"]) & may)
         pairs = pairs.select(F.col("rep").alias("a"), F.col("n").alias("na"), "b", F.col("b_n").alias("nb")).distinct()
-        more = materialise(similar(pairs, sets, percent), "links", narrow=True)
+        more = materialise(similar(pairs, sets, percent), "links")
         if not more.isEmpty():
             links = links.union(more)
+            done.append(labels)
             labels = components(links)
         low, width = low + width, width * 16
+        done.append(now)
         now = still_open(now.drop("comp"), labels, low)
+    for table in [*done, now, buckets, links]:
+        discard(table)
     reps = classes.join(labels, classes["rep"] == labels["node"], "left").select("f", "g", "n", F.coalesce("label", "rep").alias("__component"))
     if repeated:
         own = known.join(reps, ["f", "g", "n"]).select("__id", "n", "__component")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import blocks, prepare, texts_of
-from colloquy.llm.memo import MOST, Memo
+from colloquy.llm.memo import Memo
 
 MARK = "▁"
 #: What an unknown character costs below the lowest score (a fixed value of the library).
@@ -80,7 +80,7 @@ class UnigramCounter:
         return pieces[-1]
 
     def counts_of(self, texts: list[bytes]) -> list[int]:
-        if len(self.words) > MOST:
+        if self.words.full():
             self.forget()
         rows, sizes = [], []
         for text in texts:

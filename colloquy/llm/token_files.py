@@ -64,7 +64,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, where each text's begin and the end)."""
-        if len(self.words) > MOST or len(self.known) > MOST:
+        if self.words.full() or len(self.known) > MOST:
             self.forget()
         split = [t.split() for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
