@@ -1,31 +1,36 @@
-"""Quality rules: counts by fixed rules, then an isolation forest over what passes their tolerances.
+"""Quality rules: counts by fixed rules, then an isolation forest over the rule statistics themselves.
 
-Counts are made in one pass over the texts and stored (one narrow row a document). The forest is grown
-on a hash sample of at most ``SAMPLE`` of these rows, and ``RARE`` rows (all, if fewer) of each rule that any
-document of the corpus exceeds: each tree splits ``TREE_ROWS`` of the sample at random features and values, and one row
-more for each such rule that these lack, so every rule is split on at every size of the corpus. A document's score falls with its mean path length; the threshold is the score
-that best separates good from bad among *all* labelled rows, found on a histogram of scores.
+Counts are made in one pass over the texts and stored (one narrow row a document); words, windows and lines
+are compared as they are, not by hash alone. The forest has ``TREES`` trees for each statistic, each splitting
+``TREE_ROWS`` values at random places; a document's score in a statistic falls with its mean path length. Trees
+are grown on a hash sample of at most ``SAMPLE`` rows and, every one, on the ends of the statistic over all documents,
+so they reach as far at every size of the corpus. Each statistic's threshold is the score that best separates bad
+from good among *all* labelled rows, found on a histogram of scores, where a share of good ones lost counts
+``GOOD_COST`` times as much as the same share of bad ones kept; statistics are taken in the order of what they gain
+beside those before, and one that gains nothing rejects nothing.
 
 Defined cases: a null or empty text has no words and fails the base rules; without both good and bad
 labels the forest rejects nothing; labels that are null or have no document are left out; rows with one
-id are judged each, and each counts for a label of that id; ties between thresholds keep more documents;
+id, or none, are judged each, and each counts for a label of that id; ties between thresholds keep more documents;
 other columns are untouched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import GOLDEN, SPACE, blocks, materialise, mix64, prepare, span_hashes, window_hashes, word_spans
+from colloquy.llm.common import GOLDEN, SPACE, blocks, materialise, mix64, prepare, texts_of, window_hashes
+from colloquy.llm.memo import Memo
 
-#: The forest's bounds: rows of the sample, rows a rule beside it, trees, rows a tree, and levels (log2 of the latter).
-SAMPLE, RARE, TREES, TREE_ROWS, LEVELS = 8192, 64, 128, 256, 8
-BINS = 2000
+#: The forest's bounds: rows of the sample, trees a statistic, rows a tree, and levels (log2 of the latter).
+SAMPLE, TREES, TREE_ROWS, LEVELS = 8192, 64, 256, 8
+BINS, GOOD_COST = 2000, 5.0
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 UPPER = np.isin(np.arange(256), list(range(65, 91)))
 LETTER = UPPER | np.isin(np.arange(256), list(range(97, 123)))
@@ -33,6 +38,7 @@ MARKS = np.isin(np.arange(256), list(b"!?"))
 #: Code points begin at bytes that are no UTF-8 continuation.
 LEADS = (np.arange(256) & 0xC0) != 0x80
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_doubled"]
+_workers: dict[str, Memo] = {}
 
 
 def per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -41,21 +47,27 @@ def per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return sums[at[1:]] - sums[at[:-1]]
 
 
-def repeated(keys: np.ndarray) -> np.ndarray:
-    """Which keys occur twice or more."""
-    ordered = np.sort(keys)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    if not len(twice):
-        return np.zeros(len(keys), bool)
-    return twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys
-
-
 def repeat_words(words: np.ndarray, first: np.ndarray, size: int = 5) -> np.ndarray:
-    """Words of each text in windows of ``size`` words that its text has twice or more."""
-    windows, text = window_hashes(words, first, size)
-    inside = text >= 0
+    """Words of each text in windows of ``size`` words (here numbers, one a distinct word) that its text has twice or more."""
+    windows, text = window_hashes(words.astype(np.uint64), first, size)
+    at = np.flatnonzero(text >= 0)
+    keys = mix64(windows[at] + text[at].astype(np.uint64) * GOLDEN)
+    order = np.argsort(keys, kind="stable")
+    at, keys = at[order], keys[order]
+    same = np.flatnonzero(keys[1:] == keys[:-1])
+    x, y = at[same], at[same + 1]
+    equal = text[x] == text[y]
+    for j in range(size):
+        equal &= words[x + j] == words[y + j]
     again = np.zeros(len(windows), bool)
-    again[inside] = repeated(mix64(windows[inside] + text[inside].astype(np.uint64) * GOLDEN))
+    if equal.all():
+        again[x] = again[y] = True
+    else:  # two windows share a hash: compare the windows themselves
+        seen: dict[tuple, int] = {}
+        for i in at.tolist():
+            j = seen.setdefault((int(text[i]), *words[i : i + size].tolist()), i)
+            if j != i:
+                again[i] = again[j] = True
     covered = np.zeros(len(words), bool)
     for j in range(size):
         covered[j : j + len(again)] |= again
@@ -70,26 +82,24 @@ def doubled_words(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return per_text(same, first)
 
 
-def lines_of(raw: np.ndarray, at: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def lines_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(lines that have a word, those of them equal to an earlier line) of each text."""
-    cuts = np.flatnonzero(raw == 10)
-    starts = np.sort(np.concatenate([at[:-1], cuts + 1]))
-    ends = np.sort(np.concatenate([at[1:], cuts]))
-    sums = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(solid, out=sums[1:])
-    full = sums[ends] > sums[starts]
-    starts, ends = starts[full], ends[full]
-    text = np.searchsorted(at, starts, "right") - 1
-    n = np.bincount(text, minlength=len(at) - 1)
-    keys = mix64(span_hashes(raw, starts, ends) + text.astype(np.uint64) * GOLDEN)
-    _, index = np.unique(keys, return_index=True)
-    return n, n - np.bincount(text[index], minlength=len(at) - 1)
+    full = [[x for x in t.split(b"\n") if x.strip()] for t in texts]
+    n, distinct = (np.fromiter(x, np.int64, len(texts)) for x in (map(len, full), (len(set(x)) for x in full)))
+    return n, n - distinct
 
 
 def rule_counts(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-    starts, ends, first = word_spans(raw, at)
-    words, solid = span_hashes(raw, starts, ends), ~SPACE[raw]
-    lines, dup = lines_of(raw, at, solid)
+    texts = texts_of(raw, at)
+    split = [t.split() for t in texts]
+    first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
+    known = _workers.get("words")
+    if known is None or known.full():
+        known = _workers["words"] = Memo()
+    words = known.rows([w for own in split for w in own])
+    known.new.clear()
+    solid = ~SPACE[raw]
+    lines, dup = lines_of(texts)
     return {
         "n_words": np.diff(first),
         "word_chars": per_text(solid & LEADS[raw], at),
@@ -104,56 +114,43 @@ def rule_counts(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-#: Usual tolerances of the rules: mean word length from 3 to 10; symbols and !? marks a word; shares of
-#: repeated lines, words in repeated windows, words that double the one before, capital letters.
-WORD_LENGTH, SYMBOL_RATE, MARK_RATE, LINE_SHARE, REPEAT_SHARE, DOUBLE_SHARE, UPPER_SHARE = (3.0, 10.0), 0.1, 0.3, 0.5, 0.2, 0.2, 0.3
-#: The number of rules, which are the forest's features.
-RULES = 7
+#: The rule statistics, which are the forest's features: letters a word, symbols and !? marks a word; shares of repeated
+#: lines, of words in repeated windows, of words that double the one before, of capital letters.
+RULES = ["word_length", "symbol_rate", "mark_rate", "line_share", "repeat_share", "double_share", "upper_share"]
 
 
-def excesses(counts: dict[str, np.ndarray]) -> np.ndarray:
-    """The forest's features: by how much each rule's ratio passes its tolerance. Usual texts are near 0 in all."""
+def statistics(counts: dict[str, np.ndarray]) -> np.ndarray:
+    """A row of RULES for each text, as they are; lengths over 40 and rates over 4 count as these."""
     words, lines, letters = (np.maximum(counts[k], 1).astype(float) for k in ("n_words", "n_lines", "n_letters"))
-    length = counts["word_chars"] / words
-    beyond = [
-        np.minimum(np.maximum(WORD_LENGTH[0] - length, length - WORD_LENGTH[1]) / 10, 4),
-        np.minimum(counts["n_symbols"] / words, 4) - SYMBOL_RATE,
-        np.minimum(counts["n_marks"] / words, 4) - MARK_RATE,
-        counts["n_dup_lines"] / lines - LINE_SHARE,
-        counts["n_repeat_words"] / words - REPEAT_SHARE,
-        counts["n_doubled"] / words - DOUBLE_SHARE,
-        counts["n_upper"] / letters - UPPER_SHARE,
-    ]
-    return np.maximum(np.stack(beyond, 1), 0)
-
-
-def grow(rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, levels: int = LEVELS, seed: int = 7, rare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, value, path length) of the nodes of each tree, children of i at 2i+1 and 2i+2; feature -1 at leaves.
-
-    A tree whose rows lack a feature that ``rows`` or ``rare`` have above 0 gets one such row beside them.
+    rates = [np.minimum(counts["word_chars"] / words, 40), *(np.minimum(counts[k] / words, 4) for k in ("n_symbols", "n_marks"))]
+    shares = [counts["n_dup_lines"] / lines, counts["n_repeat_words"] / words, counts["n_doubled"] / words, counts["n_upper"] / letters]
+    return np.stack([*rates, *shares], 1)
+
+
+def grow(values: np.ndarray, reach: tuple[float, float], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(cuts, mean path between them, one more) of TREES random trees over one statistic.
+
+    A tree splits TREE_ROWS of ``values`` and the two ends of the corpus (``reach``) at random places. As it
+    looks at one number, it is a step function; so is the mean of all of them.
     """
-    rng = np.random.default_rng(seed)
-    size = (2 << levels) - 1
-    feature, value, path = np.full((trees, size), -1, np.int8), np.zeros((trees, size)), np.zeros((trees, size))
-    known = rows if rare is None else np.vstack([rows, rare])
-    holders = [np.flatnonzero(known[:, f] > 0) for f in range(known.shape[1])]
-    for t in range(trees):
-        own = rows[rng.permutation(len(rows))[:tree_rows]]
-        lacks = [f for f, at in enumerate(holders) if len(at) and not (own[:, f] > 0).any()]
-        todo = [(0, 0, np.vstack([own, *(known[[rng.choice(holders[f])]] for f in lacks)]))]
-        while todo:
-            node, depth, own = todo.pop()
-            low, high = (own.min(0), own.max(0)) if len(own) else (np.zeros(1), np.zeros(1))
-            open_ = np.flatnonzero(high > low)
-            if depth == levels or not len(open_):
-                path[t, node] = depth + usual_path(len(own))
-                continue
-            f = rng.choice(open_)
-            cut = rng.uniform(low[f], high[f])
-            feature[t, node], value[t, node] = f, cut
-            left = own[:, f] < cut
-            todo += [(2 * node + 1, depth + 1, own[left]), (2 * node + 2, depth + 1, own[~left])]
-    return feature, value, path
+    steps = []
+    for _ in range(TREES):
+        own = np.sort(np.concatenate([values[rng.permutation(len(values))[:TREE_ROWS]], reach]))
+        cuts, paths, todo = [], [], [(0, len(own), 0)]
+        while todo:  # depth first, left before right, so cuts and paths come out in order
+            low, high, depth = todo.pop()
+            if depth < 0:
+                cuts.append(low)
+            elif depth == LEVELS or own[low] == own[high - 1]:
+                paths.append(depth + usual_path(high - low))
+            else:
+                cut = rng.uniform(own[low], own[high - 1])
+                middle = min(max(int(np.searchsorted(own, cut, "right")), low + 1), high - 1)
+                todo += [(middle, high, depth + 1), (cut, 0, -1), (low, middle, depth + 1)]
+        steps.append((np.array(cuts), np.array(paths)))
+    edges = np.unique(np.concatenate([c for c, _ in steps]))
+    inside = np.concatenate([[-np.inf], edges])  # an interval takes the values above its edge, up to the next
+    return edges, np.mean([p[np.searchsorted(c, inside, "right")] for c, p in steps], 0)
 
 
 def usual_path(n: int) -> float:
@@ -161,108 +158,135 @@ def usual_path(n: int) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
 
-def anomaly(forest: tuple[np.ndarray, np.ndarray, np.ndarray] | None, rows: np.ndarray, tree_rows: int = TREE_ROWS) -> np.ndarray:
-    """Scores from 0 to 1; the shorter the paths, the higher."""
+def anomalies(forest: list[tuple[np.ndarray, np.ndarray]] | None, rows: np.ndarray) -> np.ndarray:
+    """A score from 0 to 1 for each text and statistic; the shorter the mean path, the higher."""
     if forest is None:
-        return np.zeros(len(rows))
-    feature, value, path = forest
-    total, index = np.zeros(len(rows)), np.arange(len(rows))
-    for f, v, p in zip(feature, value, path, strict=True):
-        node = np.zeros(len(rows), np.int64)
-        for _ in range(LEVELS):
-            split = f[node]
-            down = 2 * node + 1 + (rows[index, split] >= v[node])
-            node = np.where(split >= 0, down, node)
-        total += p[node]
-    return 2.0 ** (-total / len(feature) / max(usual_path(tree_rows), 1.0))
+        return np.zeros(rows.shape)
+    paths = np.stack([p[np.searchsorted(edges, rows[:, k], "left")] for k, (edges, p) in enumerate(forest)], 1)
+    return 2.0 ** (-paths / max(usual_path(TREE_ROWS), 1.0))
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """__id and the rule counts of each whole text, and in the bits of ``passed`` the rules whose tolerance it passes."""
+    """__id and the rule counts of each whole text."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, at in blocks(batches, "__text"):
             counts = rule_counts(raw, at)
-            passed = (excesses(counts) > 0) @ (1 << np.arange(RULES))
-            yield pa.RecordBatch.from_arrays([rows.column("__id"), *(pa.array(counts[c], pa.int64()) for c in COUNTS), pa.array(passed, pa.int64())], ["__id", *COUNTS, "passed"])
+            yield pa.RecordBatch.from_arrays([rows.column("__id"), *(pa.array(counts[c], pa.int64()) for c in COUNTS)], ["__id", *COUNTS])
 
     picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    return picked.mapInArrow(run, f"__id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in [*COUNTS, "passed"]))
+    return picked.mapInArrow(run, f"__id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def base_failed():
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
-    """The bin edge at and above which documents are rejected: most of (share of bad - share of good) there."""
-    if not good.sum() or not bad.sum():
-        return np.inf
-    above = lambda x: np.append(np.cumsum(x[::-1])[::-1], 0) / x.sum()
-    gain = above(bad) - above(good)
-    return float(np.flatnonzero(gain == gain.max())[-1]) / BINS
+def best_threshold(good: np.ndarray, bad: np.ndarray, cost: float = 1.0, of: tuple[int, int] | None = None) -> tuple[float, float]:
+    """(gain, edge): the bin edge at and above which documents go, for most of (share of bad - cost * share of good) there.
+
+    Shares are of all good and bad rows ``of`` which these are left; without any gain the edge is infinite.
+    """
+    n_good, n_bad = of or (int(good.sum()), int(bad.sum()))
+    if not n_good or not n_bad:
+        return 0.0, np.inf
+    above = lambda x: np.append(np.cumsum(x[::-1])[::-1], 0)
+    gain = above(bad) / n_bad - cost * above(good) / n_good
+    best = int(np.flatnonzero(gain == gain.max())[-1])
+    return (float(gain[best]), best / BINS) if gain[best] > 0 else (0.0, np.inf)
 
 
-def grown_on(stats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the hash sample, and of at most RARE rows a rule (the first by hash) that pass its tolerance, of all rows of ``stats``."""
+def forest_of(stats: DataFrame) -> list[tuple[np.ndarray, np.ndarray]] | None:
+    """The forest over the rows of ``stats`` that pass the base rules: at most SAMPLE by hash, and the ends of all."""
     rows = stats.filter("NOT base_failed")
-    bits = [F.sum(F.col("passed").bitwiseAND(F.lit(1 << f)).cast("boolean").cast("long")).alias(f"r{f}") for f in range(RULES)]
-    n = rows.agg(F.count(F.lit(1)).alias("n"), *bits).first()
-    share, order = min(1.0, 0.9 * SAMPLE / max(n["n"], 1)), F.xxhash64("__id", *COUNTS)
-    parts = [rows.filter(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("__id", *COUNTS).limit(SAMPLE)]
-    if share < 1:
-        parts += [rows.filter(F.col("passed").bitwiseAND(F.lit(1 << f)) != 0).orderBy(order, "__id", *COUNTS).limit(RARE) for f in range(RULES) if n[f"r{f}"]]
-    got = [p.select(*COUNTS).toPandas() for p in parts]
-    made = [excesses({c: p[c].to_numpy(np.int64) for c in COUNTS}) for p in got]
-    return made[0], np.vstack([np.zeros((0, RULES)), *made[1:]])
-
-
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, tuple | None, float]:
-    """(__id, counts, base_failed and anomaly of each document; the forest; the score from which documents go)."""
+    ends = [f(r).alias(f"{n}_{r}") for r in RULES for n, f in (("low", F.min), ("high", F.max))]
+    n = rows.agg(F.count(F.lit(1)).alias("n"), *ends).first()
+    if not n["n"]:
+        return None
+    share, order = min(1.0, 0.9 * SAMPLE / n["n"]), F.xxhash64("__id", *COUNTS)
+    drawn = rows.filter(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("__id", *COUNTS).limit(SAMPLE).select(*RULES).toPandas()
+    rng = np.random.default_rng(7)
+    return [grow(drawn[r].to_numpy(float), (n[f"low_{r}"], n[f"high_{r}"]), rng) for r in RULES]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, list | None, np.ndarray]:
+    """(__id, counts, base_failed and the scores of each document; the forest; the score of each statistic from which documents go)."""
     spark = docs.sparkSession
-    stats = materialise(counted(docs, id_col, text_col).withColumn("base_failed", base_failed()), "rule-counts")
-    sample, rare = grown_on(stats)
-    forest = grow(sample, rare=rare) if len(sample) + len(rare) else None
-    shared = spark.sparkContext.broadcast(forest)
+    stats = counted(docs, id_col, text_col)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = statistics({c: batch.column(c).to_numpy() for c in COUNTS})
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in made.T)], [*batch.schema.names, *RULES])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema.fields)
+    stats = materialise(stats.mapInArrow(measure, f"{kinds}, " + ", ".join(f"{r} double" for r in RULES)).withColumn("base_failed", base_failed()), "rule-counts")
+    forest = forest_of(stats)
+    shared = spark.sparkContext.broadcast(forest)  # TREES * TREE_ROWS steps a statistic at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = anomaly(shared.value, excesses({c: batch.column(c).to_numpy() for c in COUNTS}))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "anomaly"])
+            scores = anomalies(shared.value, np.stack([batch.column(r).to_numpy() for r in RULES], 1))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(scores.reshape(-1)), len(RULES)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "scores"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema.fields)
-    scored = materialise(stats.mapInArrow(run, f"{kinds}, anomaly double").drop("passed"), "scored")
+    scored = materialise(stats.mapInArrow(run, f"{kinds}, scores array<double>"), "scored")
     marks = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__marked"), (F.col(label_col) == 1).alias("__good"))
-    known = scored.filter("NOT base_failed").join(marks, F.col("__id") == F.col("__marked"))
-    bins = np.zeros((2, BINS), np.int64)
-    for r in known.groupBy(F.least(F.floor(F.col("anomaly") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"), "__good").count().collect():
-        bins[int(r["__good"]), r["bin"]] = r["count"]
-    return scored, forest, best_threshold(bins[1], bins[0])
+    known = materialise(scored.filter("NOT base_failed").join(marks, F.col("__id") == F.col("__marked")).select("__good", "scores"), "known")
+    return scored, forest, thresholds(known)
+
+
+def thresholds(known: DataFrame) -> np.ndarray:
+    """The score of each statistic from which documents go, from all labelled rows (__good, scores).
+
+    The statistic that gains most comes first; the next ones count only what it leaves, until none gains.
+    """
+    limits, total = np.full(len(RULES), np.inf), None
+    while True:
+        left = known.filter(~odd(limits)).select("__good", F.posexplode("scores").alias("rule", "score"))
+        bins = np.zeros((len(RULES), 2, BINS), np.int64)
+        for r in left.groupBy("rule", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"), "__good").count().collect():
+            bins[r["rule"], int(r["__good"]), r["bin"]] = r["count"]
+        total = total or (int(bins[0, 1].sum()), int(bins[0, 0].sum()))
+        found = [best_threshold(b[1], b[0], GOOD_COST, total) if limits[k] == np.inf else (0.0, np.inf) for k, b in enumerate(bins)]
+        gain, k = max((g, -k) for k, (g, _) in enumerate(found))
+        if gain <= 0:
+            return limits
+        limits[-k] = found[-k][1]
+
+
+def odd(limits: np.ndarray) -> Column:
+    """Whether a document's scores reach any threshold."""
+    reached = [F.col("scores")[k] >= F.lit(float(x)) for k, x in enumerate(limits) if np.isfinite(x)]
+    return reduce(lambda a, b: a | b, reached, F.lit(False))
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """__id, the counts, base_failed, anomaly, kept of each document."""
-    scored, _, limit = fitted(docs, labels, id_col, text_col, label_col)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(limit)))
+    """__id, the counts, base_failed, anomaly (the largest score against its threshold; 1 and more is rejected), kept of each document."""
+    scored, _, limits = fitted(docs, labels, id_col, text_col, label_col)
+    against = [F.col("scores")[k] / F.lit(float(x)) for k, x in enumerate(limits) if np.isfinite(x)]
+    worst = F.greatest(F.lit(0.0), *against) if against else F.lit(0.0)
+    return scored.withColumn("anomaly", worst).withColumn("kept", ~F.col("base_failed") & ~odd(limits)).drop("scores", *RULES)
 
 
 def kept_only(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they are; texts are counted again rather than shuffled."""
-    _, forest, limit = fitted(docs, labels, id_col, text_col, label_col)
+    _, forest, limits = fitted(docs, labels, id_col, text_col, label_col)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, at in blocks(batches, text_col):
             counts = rule_counts(raw, at)
             bad = (counts["n_words"] < 10) | (100 * counts["n_repeat_words"] > 20 * counts["n_words"])
-            yield rows.filter(pa.array(~bad & (anomaly(shared.value, excesses(counts)) < limit)))
+            yield rows.filter(pa.array(~bad & ~(anomalies(shared.value, statistics(counts)) >= limits).any(1)))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """One row per document: doc_id, the contract's counts, base_failed, kept, and the anomaly score."""
+    """One row per document: doc_id, the contract's counts, base_failed, kept, and the anomaly."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly"]
     return judged(docs, labels).select(F.col("__id").alias("doc_id"), *columns)

@@ -176,26 +176,46 @@ def test_quality_rules(spark, docs, rows, empty):
 def test_isolation_forest_isolates():
     import numpy as np
 
-    rows = np.vstack([np.random.default_rng(1).normal(0, 1, (500, 3)), [[9, 9, 9]]])
-    score = quality_rules.anomaly(quality_rules.grow(rows), rows)
+    rng = np.random.default_rng(1)
+    rows = np.append(rng.normal(0, 1, 500), 9.0)
+    forest = [quality_rules.grow(rows, (rows.min(), rows.max()), rng)]
+    score = quality_rules.anomalies(forest, rows[:, None])[:, 0]
     assert score.argmax() == 500 and 0 < score.min() and score.max() < 1
+    assert quality_rules.anomalies([quality_rules.grow(np.ones(5), (1.0, 1.0), rng)], np.ones((3, 1))).shape == (3, 1)
 
 
 def test_a_rare_kind_of_junk_is_split_on(spark):
+    """One document in 200,000 has its marks; the sample lacks it, the forest still reaches as far."""
     import numpy as np
 
-    clean = {"n_words": 100, "word_chars": 500, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0, "n_lines": 5, "n_upper": 5, "n_letters": 480, "n_marks": 0, "n_doubled": 0}
-    columns = [(F.when(F.col("id") == 7, 90) if c == "n_marks" else F.when(F.col("id") % 50 == 1, 40) if c == "n_symbols" else F.lit(None)).cast("long") for c in quality_rules.COUNTS]
-    counts = [F.coalesce(x, F.lit(clean[c])).cast("long").alias(c) for x, c in zip(columns, quality_rules.COUNTS, strict=True)]
-    marks, symbols = F.col("id") == 7, F.col("id") % 50 == 1  # rules 2 and 1
-    passed = (F.when(marks, 4).otherwise(0) + F.when(symbols, 2).otherwise(0)).cast("long").alias("passed")
-    stats = spark.range(200000).select(F.col("id").alias("__id"), *counts, passed, F.lit(False).alias("base_failed"))
-    sample, rare = quality_rules.grown_on(stats)
-    assert len(sample) <= quality_rules.SAMPLE and not (sample[:, 2] > 0).any() and (rare[:, 2] > 0).sum() == 1
-    ordinary, odd, usual = (quality_rules.excesses({c: np.array([v]) for c, v in {**clean, **more}.items()}) for more in ({}, {"n_marks": 90}, {"n_symbols": 40}))
-    forest = quality_rules.grow(sample, rare=rare)
-    low, high, known = (quality_rules.anomaly(forest, x)[0] for x in (ordinary, odd, usual))
-    assert high > low + 0.1 and known > low and (forest[0] == 2).any(1).mean() > 0.9
+    usual = {"word_length": 5.0, "symbol_rate": 0.0, "mark_rate": 0.0, "line_share": 0.0, "repeat_share": 0.0, "double_share": 0.0, "upper_share": 0.02}
+    columns = [F.when(F.col("id") == 7, 0.9).otherwise(0.0).alias(r) if r == "mark_rate" else F.lit(v).alias(r) for r, v in usual.items()]
+    stats = spark.range(200000).select(F.col("id").alias("__id"), *columns, *(F.col("id").alias(c) for c in quality_rules.COUNTS), F.lit(False).alias("base_failed"))
+    forest = quality_rules.forest_of(stats)
+    at = quality_rules.RULES.index("mark_rate")
+    low, high = quality_rules.anomalies(forest, np.array([list(usual.values()), [0.9 if r == "mark_rate" else v for r, v in usual.items()]]))[:, at]
+    assert high > low + 0.3
+
+
+def test_thresholds_follow_the_labels(spark):
+    """A statistic is held against labelled rows, and a second one only with what the first leaves."""
+    rows = [(k % 10 != 0, [0.9 if k % 10 == 0 else 0.4, 0.9 if k % 10 == 0 or k % 7 == 0 else 0.4, *[0.4] * 5]) for k in range(400)]
+    limits = quality_rules.thresholds(spark.createDataFrame(rows, "__good boolean, scores array<double>"))
+    assert 0.4 < limits[0] <= 0.9 and not [x for x in limits[1:] if x < 1]
+
+
+#: Two different words of 1,024 letters whose running polynomial hashes agree in every base modulo 2**64.
+ABBA = ["".join("ab"[(i.bit_count() + flip) % 2] for i in range(1024)) for flip in (0, 1)]
+
+
+def test_words_alike_to_a_polynomial_are_told_apart(spark):
+    tail = " and ".join(["one", "two", "three", "four", "five", "six", "seven"])
+    pairs = frame(spark, [(1, f"{ABBA[0]} {tail}"), (2, f"{ABBA[1]} {tail}"), (3, "\n".join(ABBA) + " " + tail), (4, f"{ABBA[0]} " * 3), (5, f"{ABBA[1]} " * 3)])
+    want = brute.near([(r.doc_id, r.text) for r in pairs.collect()], 2)
+    assert got(near_dedup.near_duplicates(pairs, 2), "__id", "n_shingles", "component_id", "kept") == want and want[4][2] == 5
+    out = {r["__id"]: r for r in quality_rules.judged(pairs, marks(spark, [])).collect()}
+    for r in pairs.collect():
+        assert (out[r.doc_id].n_words, out[r.doc_id].n_dup_lines, out[r.doc_id].n_repeat_words) == tuple(brute.rules(r.text)[k] for k in (0, 3, 4))
 
 
 # 5
