@@ -1,20 +1,23 @@
 """A quality classifier by co-training two views of a document.
 
-The text view sees the text's bytes alone: shares of hashed byte trigrams. The page view sees metadata and
-layout: source, language, length, lines, words, and shares of character classes. Each is a logistic regression.
-They start from labelled rows; in each round each view labels the pool rows it is surest of, in the
-labels' proportion, for the other one's training. Labelled rows set aside calibrate each view (Platt); a
-document's score is the logistic of the mean of the two calibrated log odds. The threshold for ``kept`` is
-the score that best separates all labelled rows, over a histogram.
-
-Bounds: ``LABELLED`` labelled rows for fitting (two fifths of them for calibration) and ``POOL`` unlabelled
-rows for the exchange, both hash samples. Everything else covers all rows; scoring is one pass without a
-shuffle, and its model has a fixed size.
-
-Defined cases: null texts, sources and languages are empty ones; labels that are null or without a
-document are left out, and a document with several labels has the lowest; without both classes among the
-labels every score is 0.5 and all are kept; an empty pool means plain training of each view; rows with one
-id are scored each; other columns are ignored.
+The text view sees the text's bytes alone: shares of hashed byte trigrams. The page view sees metadata alone:
+source, language (or what columns are named) and the power of two of the length. Each is a naive Bayes model, whose
+weights follow from counts of fixed size, so every pass over the corpus adds to it whatever it is sure of.
+
+Both start from labelled rows. In each round the whole corpus is scored by both views; a document that one
+view is sure of, by its calibrated odds, is counted with that label in the other view, for as many documents
+as there are. Labelled rows set aside calibrate each view (Platt); a document's log odds are those of both views
+less the prior's, which both contain. The threshold for ``kept`` is the score that best separates all labelled rows,
+over a histogram, at ``GOOD_COST`` (see quality_rules).
+
+Bounds: at most ``LABELLED`` labelled ids for fitting, drawn by hash, two fifths of them for calibration. All else
+covers all rows, and no pass shuffles texts. Metadata values are hashed to ``PAGE`` weights: of k values, one shares its weight
+with another with a chance of k / PAGE at most. Counts are integers, so results don't depend on how rows are dealt out.
+
+Defined cases: null texts and values are empty ones; labels that are null or without a document are left out,
+and a document with several labels has the lowest; without both classes among the labels every score is 0.5 and
+all are kept; where no row is unlabelled, each view is trained plainly; an empty text has an undecided text view; rows with
+one id are scored each, and are each counted with its label; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,15 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import blocks, materialise, prepare, span_hashes, word_spans
-from colloquy.llm.quality_rules import BINS, LEADS, LETTER, MARKS, SYMBOLS, UPPER, best_threshold, doubled_words, per_text
+from colloquy.llm.common import blocks, materialise, prepare
+from colloquy.llm.quality_rules import BINS, GOOD_COST, best_threshold
 
-LABELLED, POOL, ROUNDS, SURE_ROWS, SURE = 2048, 2048, 5, 64, 0.9
-TRIGRAMS, SOURCES, LANGS = 2048, 64, 16
-DIGIT = np.isin(np.arange(256), list(b"0123456789"))
+LABELLED, ROUNDS, SURE = 4096, 3, 0.95
+#: Weights of the views: hashed trigrams, hashed metadata values.
+TRIGRAMS, PAGE = 1 << 13, 1 << 18
+#: Trigram shares are counted in these units, so that their sums are exact.
+UNITS = 1 << 24
 #: Odd multipliers of the trigram hash (fixed values).
 TRI = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -46,172 +51,187 @@ def trigrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.maximum(np.diff(at) - 2, 0)
     ends = np.concatenate([[0], np.cumsum(sizes)])
     inside = np.repeat(at[:-1] - ends[:-1], sizes) + np.arange(ends[-1])
-    return (h[inside] >> np.uint32(32 - 11)).astype(np.int64), ends
-
-
-def layout(raw: np.ndarray, at: np.ndarray, source: np.ndarray, lang: np.ndarray) -> np.ndarray:
-    """The page view's features of each text."""
-    chars = per_text(LEADS[raw], at)
-    some, lines = np.maximum(chars, 1), per_text(raw == 10, at) + 1
-    letters = np.maximum(per_text(LETTER[raw], at), 1)
-    starts, ends, first = word_spans(raw, at)
-    words = np.maximum(np.diff(first), 1)
-    doubled = doubled_words(span_hashes(raw, starts, ends), first)
-    dense = np.stack([np.log1p(chars), np.log1p(lines), np.log1p(chars / lines), per_text(UPPER[raw], at) / letters, *(per_text(t[raw], at) / some for t in (SYMBOLS, MARKS, DIGIT)), words / some, doubled / words], 1)
-    hot = np.zeros((len(chars), SOURCES + LANGS))
-    hot[np.arange(len(chars)), source] = 1
-    hot[np.arange(len(chars)), SOURCES + lang] = 1
-    return np.hstack([dense, hot])
+    return (h[inside] >> np.uint32(32 - 13)).astype(np.int64), ends
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 150, l2: float = 1e-3) -> np.ndarray:
-    """Weights, the constant last, for features as they are; fitted on standardised ones by accelerated descent."""
-    mean, std = x.mean(0), np.maximum(x.std(0), 1e-6)
-    z = np.hstack([(x - mean) / std, np.ones((len(x), 1))]).astype(np.float32)
-    weight = np.where(y > 0.5, 0.5 / max((y > 0.5).sum(), 1), 0.5 / max((y <= 0.5).sum(), 1)).astype(np.float32)
-    v = np.ones(z.shape[1], np.float32)
-    for _ in range(20):  # the largest curvature, by power iteration
-        v = z.T @ (weight * (z @ v))
-        v /= (curve := np.linalg.norm(v)) + 1e-30
-    rate = 1.0 / (0.25 * 1.1 * curve + l2)
-    w = ahead = np.zeros(z.shape[1], np.float32)
-    for k in range(steps):
-        slope = z.T @ ((sigmoid(z @ ahead) - y) * weight).astype(np.float32)
-        new = ahead - np.float32(rate) * (slope + np.float32(l2) * ahead)
-        w, ahead = new, new + np.float32(k / (k + 3)) * (new - w)
-    w = w.astype(np.float64)
-    return np.append(w[:-1] / std, w[-1] - (w[:-1] / std * mean).sum())
-
-
-def logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return x @ w[:-1] + w[-1]
-
-
-def cotrain(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray]) -> list[np.ndarray]:
-    """Weights of each view after the rounds."""
-    train = [[x] for x in views]
-    known = [[y.astype(float)] for _ in views]
-    left = np.arange(len(pool[0]))
-    for _ in range(ROUNDS):
-        weights = [fit_logistic(np.vstack(x), np.concatenate(t)) for x, t in zip(train, known, strict=True)]
-        taken = np.zeros(len(left), bool)
-        for v, w in enumerate(weights):
-            if not len(left):
-                break
-            p = sigmoid(logits(pool[v][left], w))
-            good = max(1, round(SURE_ROWS * float(y.mean())))
-            order = np.argsort(p, kind="stable")
-            low, high = order[: max(1, SURE_ROWS - good)], order[::-1][:good]
-            picked = np.concatenate([low[p[low] <= 1 - SURE], high[p[high] >= SURE]])
-            train[1 - v].append(pool[1 - v][left[picked]])
-            known[1 - v].append((p[picked] > 0.5).astype(float))
-            taken[picked] = True
-        left = left[~taken]
-    return [fit_logistic(np.vstack(x), np.concatenate(t)) for x, t in zip(train, known, strict=True)]
-
-
-def platt(scores: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and constant that calibrate log odds; the slope is not negative."""
+def platt(scores: np.ndarray, y: np.ndarray, balanced: bool = False) -> tuple[float, float]:
+    """Slope and constant that turn scores to log odds, by log loss; the slope is not negative. Balanced: both classes weigh the same."""
     if not len(y) or y.min() == y.max():
-        return 1.0, 0.0
-    target = np.where(y > 0.5, ((y > 0.5).sum() + 1) / ((y > 0.5).sum() + 2), 1 / ((y <= 0.5).sum() + 2))
+        return 0.0, 0.0
+    n = np.array([(y <= 0.5).sum(), (y > 0.5).sum()], float)
+    target = np.where(y > 0.5, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    weight = np.where(y > 0.5, n.sum() / 2 / n[1], n.sum() / 2 / n[0]) if balanced else np.ones(len(y))
     scale = max(float(np.abs(scores).max()), 1e-9)
-    a, b = 1.0, 0.0
+    s, at = scores / scale, np.zeros(2)
     for _ in range(500):
-        p = sigmoid(a * scores / scale + b)
-        g, h = p - target, np.maximum(p * (1 - p), 1e-6)
-        s = scores / scale
+        p = sigmoid(at[0] * s + at[1])
+        g, h = weight * (p - target), weight * np.maximum(p * (1 - p), 1e-6)
         hess = np.array([[(h * s * s).sum() + 1e-6, (h * s).sum()], [(h * s).sum(), h.sum() + 1e-6]])
         step = np.linalg.solve(hess, [(g * s).sum(), g.sum()])
-        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
-        a, b = a - step[0], b - step[1]
+        at -= step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-9:
             break
-    return max(a, 0.0) / scale, b
+    if at[0] > 0:
+        return at[0] / scale, at[1]
+    prior = 0.5 if balanced else float(target.mean())
+    return 0.0, float(np.log(prior / (1 - prior)))
+
+
+def rows_of(docs: DataFrame, id_col: str, text_col: str, page_cols: tuple[str, ...], size_col: str) -> DataFrame:
+    """(__id, __text, __page): the page view as an array of weights' numbers, one for each metadata column."""
+    here = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in page_cols if c in docs.columns}
+    size = F.col(size_col).cast("double") if size_col in docs.columns else F.char_length(text_col).cast("double")
+    here["length"] = F.floor(F.log2(1 + F.greatest(F.coalesce(size, F.lit(0.0)), F.lit(0.0)))).cast("string")
+    number: list[Column] = [F.pmod(F.xxhash64(F.lit(name), value), F.lit(PAGE)).cast("int") for name, value in here.items()]
+    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.array(*number).alias("__page"))
+
+
+class Model:
+    """Weights of both views and their calibrations (slope, constant): for being sure, and for the final odds."""
+
+    def __init__(self, text: np.ndarray, page: np.ndarray):
+        self.text, self.page = text, page
+        self.sure = self.odds = ((0.0, 0.0), (0.0, 0.0))
+        self.prior = 0.0
+
+    def scores(self, h: np.ndarray, ends: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Raw scores of the text view (mean weight of the trigrams) and of the page view (sum of its weights)."""
+        sizes, text = np.diff(ends), np.zeros(len(ends) - 1)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            text[full] = np.add.reduceat(self.text[h], ends[:-1][full]) / sizes[full]
+        return text, self.page[page].sum(1)
+
+    @staticmethod
+    def of(counts: np.ndarray) -> "Model":
+        """From counts (label, feature): trigram shares, metadata values, and at the end the documents of each view."""
+        made = []
+        for part, n, usual in ((counts[:, :TRIGRAMS], counts[:, -2] * UNITS, UNITS / TRIGRAMS), (counts[:, TRIGRAMS:-2], counts[:, -1], 1.0)):
+            share = (part + usual) / (n + (UNITS if usual != 1.0 else 2))[:, None]
+            made.append(np.log(share[1]) - np.log(share[0]))
+        return Model(*made)
+
+
+def page_rows(batch: pa.RecordBatch) -> np.ndarray:
+    column = batch.column("__page")
+    return column.flatten().to_numpy().reshape(len(batch), -1)
+
+
+def counted(rows: DataFrame, model: Model | None) -> np.ndarray:
+    """Counts (see Model.of) over ``rows`` (rows_of, and __good: 1, 0, null for unlabelled ones, which ``model`` judges)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # TRIGRAMS + PAGE weights
+    width = TRIGRAMS + PAGE + 2
+    limit = float(np.log(SURE / (1 - SURE)))
 
-
-def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    source, lang = (F.pmod(F.xxhash64(F.coalesce(c, F.lit(""))), F.lit(n)).cast("int") for c, n in (("source", SOURCES), ("lang", LANGS)))
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), source.alias("__source"), lang.alias("__lang"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, now = np.zeros((2, width), np.int64), shared.value
+        for part, raw, at in blocks(batches, "__text"):
+            h, ends = trigrams(raw, at)
+            page = page_rows(part)
+            good = part.column("__good").fill_null(-1).to_numpy()
+            labels = [good, good]  # what each view learns
+            if now is not None:
+                judged = [a * s + b for (a, b), s in zip(now.sure, now.scores(h, ends, page), strict=True)]
+                said = [np.where(x >= limit, 1, np.where(x <= -limit, 0, -1)) for x in judged]
+                labels = [np.where(good >= 0, good, said[1]), np.where(good >= 0, good, said[0])]
+            sizes = np.diff(ends)
+            for k in (0, 1):
+                for label in (0, 1):
+                    took = np.flatnonzero(labels[k] == label)
+                    total[label, width - 2 + k] += len(took)
+                    if k:
+                        total[label, TRIGRAMS : width - 2] += np.bincount(page[took].reshape(-1), minlength=PAGE)
+                    elif len(took):
+                        inside = np.repeat(labels[k] == label, sizes)
+                        units = np.repeat(np.rint(UNITS / np.maximum(sizes, 1)), sizes)
+                        total[label, :TRIGRAMS] += np.bincount(h[inside], units[inside], TRIGRAMS).astype(np.int64)
+        label, feature = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int64()), pa.array(feature, pa.int64()), pa.array(total[label, feature])], ["label", "feature", "n"])
+
+    out = np.zeros((2, width), np.int64)
+    got = rows.select("__text", "__page", "__good").mapInArrow(run, "label long, feature long, n long").groupBy("label", "feature").agg(F.sum("n").alias("n")).toArrow()
+    out[got.column("label").to_numpy(), got.column("feature").to_numpy()] = got.column("n").to_numpy()
+    return out
 
 
-def features(rows: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
-    """(ids, text view, page view) of a bounded table of documents, as dense rows."""
+def raw_scores(rows: DataFrame, model: Model) -> DataFrame:
+    """(__id, text, page): raw scores of both views."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, at in blocks(batches, "__text"):
-            h, ends = trigrams(raw, at)
-            text = [(np.bincount(h[a:b], minlength=TRIGRAMS) / max(b - a, 1)).astype("<f4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            page = [x.astype("<f4").tobytes() for x in layout(raw, at, part.column("__source").to_numpy(), part.column("__lang").to_numpy())]
-            yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array(text, pa.binary()), pa.array(page, pa.binary())], ["__id", "text", "page"])
+            text, page = shared.value.scores(*trigrams(raw, at), page_rows(part))
+            yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array(text), pa.array(page)], ["__id", "text", "page"])
 
-    got = rows.mapInArrow(run, f"__id {rows.schema['__id'].dataType.simpleString()}, text binary, page binary").orderBy("__id").collect()
-    view = lambda c, n: np.frombuffer(b"".join(bytes(r[c]) for r in got), "<f4").reshape(len(got), n)
-    return [r["__id"] for r in got], view("text", TRIGRAMS), view("page", 9 + SOURCES + LANGS)
+    return rows.select("__id", "__text", "__page").mapInArrow(run, f"__id {rows.schema['__id'].dataType.simpleString()}, text double, page double")
 
 
 def drawn(ids: DataFrame, most: int) -> DataFrame:
     """At most ``most`` of the distinct ids, by hash."""
     n = ids.count()
     share = int(min(1.0, 1.5 * most / max(n, 1)) * (1 << 30))
-    return ids.filter(F.pmod(F.xxhash64("__id", F.lit("draw")), F.lit(1 << 30)) <= share).orderBy(F.xxhash64("__id", F.lit("draw")), "__id").limit(most)
-
-
-def fit(docs: DataFrame, marks: DataFrame) -> list[np.ndarray] | None:
-    """Calibrated weights of both views, from ``docs`` (see rows_of) and ``marks`` (__id, good)."""
-    ids = docs.select("__id").filter("__id IS NOT NULL").distinct()
-    labelled = materialise(drawn(marks.join(ids, "__id", "left_semi"), LABELLED), "labelled")
-    pool = materialise(drawn(ids.join(marks.select("__id"), "__id", "left_anti"), POOL), "pool")
-    known = {r["__id"]: r["good"] for r in labelled.collect()}
-    got, text, page = features(docs.join(F.broadcast(labelled.select("__id")), "__id", "left_semi"))  # LABELLED ids at most
-    y = np.array([known[i] for i in got], int)
-    if not len(y) or y.min() == y.max():
+    order = F.xxhash64("__id", F.lit("draw"))
+    return ids.filter(F.pmod(order, F.lit(1 << 30)) <= share).orderBy(order, "__id").limit(most)
+
+
+def calibrate(model: Model, apart: DataFrame) -> None:
+    """Fit the model's calibrations on the rows set aside: one mean score an id, LABELLED ids at most."""
+    got = raw_scores(apart, model).join(apart.select("__id", "__good").distinct(), "__id").groupBy("__id", "__good").agg(F.avg("text").alias("text"), F.avg("page").alias("page")).orderBy("__id").collect()
+    y = np.array([r["__good"] for r in got], float)
+    views = [np.array([r[c] for r in got], float) for c in ("text", "page")]
+    model.sure = tuple(platt(s, y, True) for s in views)
+    model.odds = tuple(platt(s, y) for s in views)
+    share = (y.sum() + 1) / (len(y) + 2)
+    model.prior = float(np.log(share / (1 - share)))
+
+
+def fit(rows: DataFrame, marks: DataFrame) -> Model | None:
+    """The calibrated model after all rounds, from ``rows`` (see rows_of) and ``marks`` (__id, good)."""
+    ids = rows.select("__id").filter("__id IS NOT NULL").distinct()
+    few = materialise(drawn(marks.join(ids, "__id", "left_semi"), LABELLED), "labelled")
+    if few.agg(F.count_distinct("good").alias("n")).first()["n"] < 2:
         return None
-    _, pool_text, pool_page = features(docs.join(F.broadcast(pool), "__id", "left_semi"))  # POOL ids at most
-    apart = np.arange(len(y)) % 5 >= 3
-    if min(np.bincount(y[~apart], minlength=2)) == 0:
-        apart[:] = False
-    weights = cotrain([text[~apart], page[~apart]], y[~apart], [pool_text, pool_page])
-    out = []
-    for x, w in zip((text, page), weights, strict=True):
-        a, b = platt(logits(x[apart], w), y[apart])
-        out.append(np.append(w[:-1] * a, w[-1] * a + b))
-    return out
+    label = F.broadcast(few.select(F.col("__id").alias("__marked"), F.col("good").alias("__good"), (F.pmod(F.xxhash64("__id", F.lit("apart")), F.lit(5)) >= 3).alias("__apart")))  # LABELLED ids at most
+    same = F.col("__id") == F.col("__marked")
+    known = materialise(rows.join(label, same).drop("__marked"), "labelled-rows")
+    teach, apart = known.filter("NOT __apart"), known.filter("__apart")
+    if min(t.agg(F.count_distinct("__good").alias("n")).first()["n"] for t in (teach, apart)) < 2:
+        teach = apart = known
+    everything = rows.join(label, same, "left").filter("__apart IS NULL OR NOT __apart") if apart is not known else rows.join(label, same, "left")
+    model = Model.of(counted(teach, None))
+    calibrate(model, apart)
+    for _ in range(ROUNDS):
+        model, last = Model.of(counted(everything, model)), model
+        calibrate(model, apart)
+        if np.array_equal(model.text, last.text) and np.array_equal(model.page, last.page):
+            break
+    return model
 
 
-def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", page_cols: tuple[str, ...] = ("source", "lang"), size_col: str = "n_chars") -> DataFrame:
     """id, text_score, page_score, score, kept of each document."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = rows_of(docs, id_col, text_col)
+    rows = rows_of(docs, id_col, text_col, page_cols, size_col)
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg((F.min(label_col) == 1).cast("int").alias("good"))
-    shared = spark.sparkContext.broadcast(fit(rows, marks))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shared.value
-        for part, raw, at in blocks(batches, "__text"):
-            text, page = np.zeros(len(at) - 1), np.zeros(len(at) - 1)
-            if weights:
-                h, ends = trigrams(raw, at)
-                full = np.flatnonzero(np.diff(ends))
-                if len(full):
-                    text[full] = np.add.reduceat(weights[0][h], ends[:-1][full]) / np.diff(ends)[full]
-                text += weights[0][-1]
-                page = logits(layout(raw, at, part.column("__source").to_numpy(), part.column("__lang").to_numpy()), weights[1])
-            scores = [sigmoid(text), sigmoid(page), sigmoid((text + page) / 2)]
-            yield pa.RecordBatch.from_arrays([part.column("__id"), *map(pa.array, scores)], ["__id", "text_score", "page_score", "score"])
-
-    scored = materialise(rows.mapInArrow(run, f"__id {rows.schema['__id'].dataType.simpleString()}, text_score double, page_score double, score double"), "scores")
+    model = fit(rows, marks)
+    if model is None:
+        half = F.lit(0.5)
+        return rows.select(F.col("__id").alias(id_col), half.alias("text_score"), half.alias("page_score"), half.alias("score"), F.lit(True).alias("kept"))
+    odds = [F.col(c) * F.lit(float(a)) + F.lit(float(b)) for c, (a, b) in zip(("text", "page"), model.odds, strict=True)]
+    chance = lambda x: 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(40.0)), F.lit(-40.0))))
+    scored = raw_scores(rows, model).select("__id", chance(odds[0]).alias("text_score"), chance(odds[1]).alias("page_score"), chance(odds[0] + odds[1] - F.lit(model.prior)).alias("score"))
+    scored = materialise(scored, "scores")
     bins = np.zeros((2, BINS), np.int64)
     risk = F.least(F.floor((1 - F.col("score")) * BINS), F.lit(BINS - 1)).cast("int")
     for r in scored.join(marks, "__id").groupBy(risk.alias("bin"), "good").count().collect():
         bins[r["good"], r["bin"]] = r["count"]
-    limit = best_threshold(bins[1], bins[0])
-    return scored.select(F.col("__id").alias(id_col), "text_score", "page_score", "score", (F.floor((1 - F.col("score")) * BINS) / BINS < F.lit(limit)).alias("kept"))
+    _, limit = best_threshold(bins[1], bins[0], GOOD_COST)
+    return scored.select(F.col("__id").alias(id_col), "text_score", "page_score", "score", (risk / BINS < F.lit(limit)).alias("kept"))
 
 
 def op10_cotraining(spark, sf_dir: str) -> DataFrame:
