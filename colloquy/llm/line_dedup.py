@@ -5,11 +5,16 @@ documents lose their lines everywhere but in the largest id that holds them; wha
 together again by position.
 
 Only hashes, ids and positions are shuffled for counting (36 bytes a line). A hot line is counted in
-two steps, by (key, document) and then by key, so no task gets all its rows. Keys are 128 bits.
+two steps, by (key, document) and then by key with partial sums. Keys that meet in one place otherwise, for finding the
+lines that go, are split by ``marked``: no more than 2**20 keys can each have more than a 2**20th of the lines, so these
+are broadcast, and the rest is joined by key. Keys are 128 bits.
+
+Rows travel with all their columns in one struct, so no name can clash. Texts that lose lines are found by a join on
+(id, hash of the text); where the table of what goes is small it is broadcast and texts are not shuffled.
 
 Defined cases: a null or empty text is one empty line, which never counts; a null id is one document,
 smaller than all others, and loses common lines like them; rows with the same id count as one document,
-each with its own text; the same id and text twice give two equal rows; other columns are untouched.
+each with its own text; the same id and text twice give two equal rows; other columns, of any name, are untouched.
 """
 
 from __future__ import annotations
@@ -17,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import materialise, text_or_empty
+from colloquy.llm.common import broadcast_if_small, materialise, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
+#: Keys that are broadcast at most (40 bytes each).
+HEAVY = 1 << 20
 
 
 def line_key(line: Column) -> Column:
@@ -29,6 +36,17 @@ def line_key(line: Column) -> Column:
     return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
+def marked(lines: DataFrame, common: DataFrame) -> DataFrame:
+    """``lines`` with the ``__last`` of their key, where it is one of the keys in ``common`` (stored: __h, __g, __docs, __last)."""
+    keys, total = ["__h", "__g"], lines.count()
+    own = lines.dtypes[0][1] in ("bigint", "int", "smallint", "tinyint")  # ids of a fixed size
+    if own and common.count() <= HEAVY:
+        return lines.join(F.broadcast(common.drop("__docs")), keys)
+    heavy = broadcast_if_small(common.filter(F.col("__docs") * HEAVY >= total))
+    light = common.filter(F.col("__docs") * HEAVY < total).drop("__docs")
+    return lines.join(heavy.drop("__docs"), keys).unionByName(lines.join(light, keys))
+
+
 def dropped_positions(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
     """(__id, __tk, __drop): positions, ascending from 0, of the lines that go, for texts that lose any."""
     text = text_or_empty(text_col)
@@ -37,9 +55,9 @@ def dropped_positions(docs: DataFrame, id_col: str, text_col: str, min_chars: in
     lines = materialise(lines.select("__id", "__tk", "__pos", F.xxhash64("__key").alias("__h"), F.xxhash64(F.lit("second"), "__key").alias("__g")), "lines")
     once = lines.groupBy("__h", "__g", "__id").count()
     common = once.groupBy("__h", "__g").agg(F.count(F.lit(1)).alias("__docs"), F.max("__id").alias("__last"))
-    common = common.filter(F.col("__docs") >= min_docs).drop("__docs")
-    gone = lines.join(common, ["__h", "__g"]).filter(~F.col("__id").eqNullSafe(F.col("__last")))
-    return gone.groupBy("__id", "__tk").agg(F.array_sort(F.collect_set("__pos")).alias("__drop"))
+    common = materialise(common.filter(F.col("__docs") >= min_docs), "common-lines")
+    gone = marked(lines, common).filter(~F.col("__id").eqNullSafe(F.col("__last")))
+    return materialise(gone.groupBy("__id", "__tk").agg(F.array_sort(F.collect_set("__pos")).alias("__drop")), "lines-that-go")
 
 
 def without_lines(text: Column, drop: Column) -> Column:
@@ -52,19 +70,20 @@ def without_lines(text: Column, drop: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """All rows and columns of ``docs`` with common lines taken out of the text, and __n_lines, __n_dropped."""
-    gone = dropped_positions(docs, id_col, text_col, min_chars, min_docs).withColumnsRenamed({"__id": "__gone_id", "__tk": "__gone_tk"})
-    rows = docs.withColumn("__text", text_or_empty(text_col))
-    rows = rows.join(gone, rows[id_col].eqNullSafe(gone["__gone_id"]) & (F.xxhash64("__text") == gone["__gone_tk"]), "left")
-    kept = F.when(F.col("__drop").isNull(), F.col("__text")).otherwise(without_lines(F.col("__text"), F.col("__drop")))
-    n_lines = F.char_length("__text") - F.char_length(F.replace("__text", F.lit("\n"), F.lit(""))) + 1
-    return rows.withColumns({text_col: kept, "__n_lines": n_lines.cast("long"), "__n_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("long")}).drop("__text", "__drop", "__gone_id", "__gone_tk")
+    """(row, n_lines, n_dropped): all rows of ``docs`` as one struct, with common lines taken out of the text."""
+    gone = broadcast_if_small(dropped_positions(docs, id_col, text_col, min_chars, min_docs))
+    quoted = f"`{text_col}`"
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key"), text_or_empty(text_col).alias("body"))
+    rows = rows.join(gone, F.col("key").eqNullSafe(F.col("__id")) & (F.xxhash64("body") == F.col("__tk")), "left")
+    kept = F.when(F.col("__drop").isNull(), F.col("body")).otherwise(without_lines(F.col("body"), F.col("__drop")))
+    n_lines = F.char_length("body") - F.char_length(F.replace("body", F.lit("\n"), F.lit(""))) + 1
+    return rows.select(F.col("row").withField(quoted, kept).alias("row"), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, kept_sha256."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return line_dedup(docs).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+    return line_dedup(docs).select("row.doc_id", "n_lines", "n_dropped", F.sha2("row.text", 256).alias("kept_sha256"))
 
 
 ORACLE = r"""

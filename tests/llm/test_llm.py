@@ -297,12 +297,27 @@ def test_chat_folds_events(spark):
 def test_line_dedup(spark, docs, rows, empty):
     want = brute.line_dedup(rows)
     out = line_dedup.line_dedup(docs)
-    assert got(out, "doc_id", "__n_lines", "__n_dropped", "text") == sorted((i, *x) for i, x in want.items())
-    assert [c for c in out.columns if not c.startswith("__")] == docs.columns
+    assert got(out, "row.doc_id", "n_lines", "n_dropped", "row.text") == sorted((i, *x) for i, x in want.items())
+    assert out.select("row.*").columns == docs.columns
     assert line_dedup.line_dedup(empty).count() == 0
     line = "a line of more than twenty letters"
     again = line_dedup.line_dedup(frame(spark, [(None, line), (1, line), (1, f"x\n{line}"), (2, line), (2, line)]))
-    assert sorted(r.text for r in again.collect()) == ["", "", line, line, "x"]
+    assert sorted(r.row.text for r in again.collect()) == ["", "", line, line, "x"]
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    line = "a line of more than twenty letters"
+    names = ["__drop", "__text", "__n_lines", "__id", "__tk", "row", "key", "body", "n_lines", "a.b"]
+    rows = spark.createDataFrame([(i, f"{line}\n{i}", *[f"{n}{i}" for n in names]) for i in range(4)], ["doc_id", "text", *names])
+    out = line_dedup.line_dedup(rows).select("row.*")
+    assert out.columns == rows.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(i, f"{line}\n{i}" if i == 3 else str(i), *[f"{n}{i}" for n in names]) for i in range(4)]
+
+
+def test_hot_and_other_lines_are_found_alike(spark, docs, monkeypatch):
+    want = got(line_dedup.line_dedup(docs), "row.doc_id", "n_dropped", "row.text")
+    monkeypatch.setattr(line_dedup, "HEAVY", 4)
+    assert got(line_dedup.line_dedup(docs), "row.doc_id", "n_dropped", "row.text") == want
 
 
 def test_line_dedup_matches_sql(spark):
@@ -339,7 +354,7 @@ def test_pipeline_stages(spark, rows, docs):
         if name == "lines":
             kept = {i: t for i, (_, _, t) in brute.line_dedup(kept.items()).items()}
         if name == "near":
-            kept = {i: kept[i] for i, _, _, first in brute.near(kept.items(), 5) if first}
+            kept = {i: kept[i] for i, _, _, first in brute.near(kept.items(), 2) if first}
         if name == "decontaminate":
             hits = {r[0] for r in decontaminate.contaminated(frame(spark, kept.items()), spark.read.parquet(f"{SF}/benchmark.parquet")).select("__id").collect()}
             kept = {i: t for i, t in kept.items() if i not in hits}
