@@ -20,15 +20,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that three or more hold; n_chars follows the text."""
-    out = line_dedup(docs)
+    out = line_dedup(docs).select("row.*")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the smallest id."""
-    others = materialise(near_duplicates(docs).filter("NOT kept").select(F.col("__id").alias("doc_id")), "near-copies")
+    """One document of each group of near-duplicates (as op6: two-word shingles, similarity 0.8): the smallest id."""
+    others = materialise(near_duplicates(docs, size=2).filter("NOT kept").select(F.col("__id").alias("doc_id")), "near-copies")
     return sized_semi_join(docs, others, "doc_id", how="left_anti")
 
 
