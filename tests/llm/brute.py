@@ -80,3 +80,25 @@ def line_dedup(docs):
         kept = [x for x in lines if len(held[key(x)]) < 3 or i == max(held[key(x)])]
         out[i] = (len(lines), len(lines) - len(kept), "\n".join(kept))
     return out
+
+
+def fold(events):
+    """(conv, pos, role, text) of the final messages of (conv, seq, message, kind, role, text)."""
+    first = lambda x: (x is not None, x if x is not None else 0)
+    replaces = lambda kind: kind in ("edit", "regenerate")
+    out = []
+    for conv in {e[0] for e in events}:
+        own, pos = [e for e in events if e[0] == conv], 0
+        for message in sorted({e[2] for e in own}, key=first):
+            cuts = [e[1] for e in own if first(e[2]) < first(message) and e[3] == "regenerate" and e[1] is not None]
+            here = sorted((e for e in own if e[2] == message), key=lambda e: (first(e[1]), not replaces(e[3]), e[3] is not None, e[3] or "", e[5] or ""))
+            parts, who, seen = [], None, set()
+            for _, seq, _, kind, role, text in here:
+                if seq in seen or (seq is not None and cuts and seq < max(cuts)):
+                    continue
+                seen |= {seq} - {None}
+                parts, who = [*([] if replaces(kind) else parts), text or ""], role or ""
+            if parts:
+                out.append((conv, pos, who, "".join(parts)))
+                pos += 1
+    return out

@@ -290,7 +290,39 @@ def test_chat_folds_events(spark):
     ]
     random.Random(3).shuffle(e)
     out = chat.fold_events(spark.createDataFrame(e, "conv long, seq long, message long, kind string, role string, text string"))
-    assert got(out, "conv", "pos", "role", "text") == [(1, 0, "user", "hello"), (1, 1, "assistant", "good"), (1, 3, "user", "new"), (2, 0, "user", "bc")]
+    assert got(out, "conv", "pos", "role", "text") == [(1, 0, "user", "hello"), (1, 1, "assistant", "good"), (1, 2, "user", "new"), (2, 0, "user", "bc")]
+
+
+def test_chat_folds_any_log_as_the_plain_fold(spark):
+    """Random logs with redeliveries, ties, events without numbers, null texts and roles, and an edit and a delta of one number."""
+    draw, e = random.Random(9), []
+    for conv in [None, *range(40)]:
+        for seq in range(draw.randrange(1, 30)):
+            own = (conv, draw.choice([seq, seq, seq, None]), draw.choice([None, 0, 1, 2, 3]), draw.choice(["delta"] * 6 + ["edit", "regenerate", None]), draw.choice(["user", "assistant", None]), draw.choice([f"t{seq} ", "", None]))
+            e += [own] * draw.choice([1, 1, 2])
+            if draw.random() < 0.1 and own[1] is not None:
+                e.append((*own[:3], "edit", "user", "same number"))
+    want = brute.fold(e)
+    draw.shuffle(e)
+    out = chat.fold_events(spark.createDataFrame(e, "conv long, seq long, message long, kind string, role string, text string"))
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(want, key=str)
+    assert len(want) > 60
+    assert chat.fold_events(spark.createDataFrame([], "conv long, seq long, message long, kind string, role string, text string")).count() == 0
+
+
+def test_chat_log_of_turns(spark):
+    """The log has every kind of event, and a very long text, ties, null turns and other columns of like names come back whole."""
+    rows = [(1, k, "user" if k % 2 else "assistant", f"text {k} of some length", "x") for k in range(9)] + [(2, 1, None, LONG, "y"), (3, 0, "user", "b", "x"), (3, 0, "user", "a", "x"), (3, 0, "user", "a", "x"), (3, None, "user", "n", "x"), (3, 1, "assistant", "z", "x"), (None, 1 << 60, "user", "far", "x")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq string").withColumns({c: F.lit("k") for c in ("kind", "message", "conv", "pos")})
+    log = chat.as_events(table)
+    assert {r.kind for r in log.select("kind").collect()} == {"delta", "edit", "regenerate"}
+    assert log.filter("seq IS NOT NULL").count() > log.filter("seq IS NOT NULL").select("conv", "seq").distinct().count()
+    back = sorted(((r.conv, r.pos, r.role, r.text) for r in chat.fold_events(log).collect()), key=str)
+    want, at = [], {}
+    for conv, turn, role, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3])):
+        want.append((conv, at.setdefault(conv, 0), role or "", text))
+        at[conv] += 1
+    assert back == sorted(want, key=str)
 
 
 # 9
