@@ -102,3 +102,62 @@ def fold(events):
                 out.append((conv, pos, who, "".join(parts)))
                 pos += 1
     return out
+
+
+def contaminated(docs, items, canonical, window=8, cover=13, shortest=5):
+    """{id: (sorted items, covered)} by comparing all windows; ``canonical`` gives (form, kind, plain) of a word: kind 1 is a name inside a sentence, 2 a slot, 3 nothing."""
+    def words(text):
+        out = []
+        for k, line in enumerate((text or "").split("\n")):
+            begins = True
+            for w in WORD.findall(line):
+                form, kind, plain = canonical(w)
+                if kind != 3:
+                    value = w.strip("!\"#&'()*+,-./:;<=>?@[\\]^_`{|}~").lower()
+                    named = kind == 1 and not begins
+                    out.append({"typed": "<name>" if named else form, "slot": value if named or kind == 2 else None, "plain": plain, "line": k, "form": form, "kind": kind, "value": value})
+                begins = w[-1] in ".!?:"
+        return out
+
+    index = defaultdict(list)
+    for item, text in items:
+        own = words(text)
+        size = min(window, len(own))
+        for q in range(len(own) - size + 1 if own and item is not None else 0):
+            part = own[q : q + size]
+            index["plain", tuple(w["plain"] for w in part)].append((item, len(own), q, [], None))
+            readings = [(tuple(w["typed"] for w in part), [w["slot"] for w in part if w["slot"] is not None], None)]
+            if q == 0 and part[0]["kind"] == 1:
+                rest, values = tuple(w["typed"] for w in part[1:]), [w["slot"] for w in part[1:] if w["slot"] is not None]
+                readings.append(((part[0]["form"], *rest), values, None) if part[0]["slot"] is not None else (("<name>", *rest), [part[0]["value"], *values], part[0]["value"]))
+            for key, values, must in readings:
+                if size >= shortest:
+                    index["typed", key].append((item, len(own), q, values, must))
+    sizes = {len(k[1]) for k in index}
+    out = {}
+    for i, text in docs:
+        own, lines = words(text), defaultdict(dict)
+        by_line = Counter(w["line"] for w in own)
+        for size in sizes:
+            for p in range(len(own) - size + 1):
+                part = own[p : p + size]
+                whole = len({w["line"] for w in part}) == 1 and by_line[part[0]["line"]] == size
+                for form in ("plain", "typed"):
+                    for item, n, q, values, must in index.get((form, tuple(w[form] for w in part)), []):
+                        mine = [] if form == "plain" else [w["slot"] for w in part if w["slot"] is not None]
+                        if (size < shortest and not whole) or (must is not None and mine[0] != must):
+                            continue
+                        here = lines[item, n, p - q].setdefault((p, size), [False, set()])
+                        here[0] |= mine == values
+                        here[1] |= set(zip(values, mine))
+        for (item, n, _), hits in lines.items():
+            need = min(n, cover)
+            span = lambda some: len({j for p, size in some for j in range(p, p + size)})
+            covered, copied = span(hits), span([k for k, v in hits.items() if v[0]])
+            pairs = {x for v in hits.values() for x in v[1]}
+            odd = len(pairs) > len({a for a, _ in pairs})
+            if covered >= need and (not odd or copied >= need) and i is not None:
+                have = out.setdefault(i, (set(), []))
+                have[0].add(item)
+                have[1].append(copied if odd else covered)
+    return {i: (sorted(a), max(b)) for i, (a, b) in out.items()}

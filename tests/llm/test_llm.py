@@ -111,7 +111,7 @@ def test_decontamination(spark, empty):
     filler = "Nothing of note was said on that day by anyone in the room. "
     cases = {
         1: ITEMS[0][1], 2: f"{filler}{ITEMS[0][1].upper()} {filler}", 3: filler + ITEMS[0][1].replace("Boston", "Chicago").replace("60", "75").replace("3 hours", "4 hours"),
-        4: f"{filler} Five words, are quite enough!", 5: filler * 20, 6: None, 7: "", 8: "too short", 9: "A train leaves Boston at 60 miles", 10: LONG + " " + ITEMS[0][1],
+        4: f"{filler} Five words, are quite enough!", 5: filler * 20, 6: None, 7: "", 8: "not too short", 9: "A train leaves Boston at 60 miles", 10: LONG + " " + ITEMS[0][1],
     }
     hits = decontaminate.contaminated(frame(spark, [*cases.items(), (1, ITEMS[0][1]), (None, ITEMS[0][1])]), benchmark)
     assert got(hits, "__id", "items") == [(1, [1]), (2, [1]), (3, [1]), (4, [4]), (10, [1])]
@@ -146,6 +146,30 @@ def test_a_short_item_is_found_inside_a_sentence(spark):
     assert got(hits, "__id", "items") == [(1, [1]), (2, [1]), (3, [1]), (4, [1]), (5, [1]), (7, [2]), (8, [2]), (9, [1])]
 
 
+def test_a_verbatim_item_is_found_in_any_writing(spark):
+    """Names in every window: only their case, or the marks around them, differ."""
+    text = "Ask whether Anna met Boris near Calais before Denis saw Elena leave Florence with Georg and Hannah for Innsbruck"
+    benchmark = spark.createDataFrame([(1, text), (2, "What is 2+2?"), (3, "Straße nach Köln über Bonn")], "item_id long, text string")
+    cases = [(1, text.lower()), (2, text.upper()), (3, f"- {text.title()}!"), (4, "so: what is 2+2? no"), (5, "well\nWHAT is 2+2\nfour"), (6, "STRASSE NACH KÖLN ÜBER BONN"), (7, text.replace("Boris", "boring").replace("Elena", "elephants"))]
+    hits = decontaminate.contaminated(frame(spark, cases), benchmark)
+    assert got(hits, "__id", "items") == [(1, [1]), (2, [1]), (3, [1]), (5, [2]), (6, [3])]
+
+
+def test_decontamination_matches_the_plain_version(spark, base):
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()] + [(90, "If Tom has 5 apples and Ann gives Tom 7 more apples how many has Tom got"), (91, "Yes or no?"), (92, ""), (93, None), (90, "the same id with other words in it for once")]
+    draw, texts = random.Random(4), []
+    for k in range(60):
+        own = draw.choice(items[:41])[1].split()
+        for _ in range(draw.randrange(4)):
+            own[draw.randrange(len(own))] = draw.choice(["7", "Tom", "tom", "miles", "x"])
+        lead = draw.choice(["", "he said ", "- ", "1) "])
+        texts.append((20_000 + k, draw.choice([f"{lead}{' '.join(own)} and so on", " ".join(own).upper(), f"one\n{lead}{' '.join(own[: draw.randrange(1, len(own))])}\nYes or NO\nend"])))
+    rows = base + texts + [(texts[0][0], "again"), (None, items[0][1])]
+    hits = decontaminate.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute.contaminated(rows, items, decontaminate.canonical)
+    assert {r["__id"]: (r["items"], r.covered) for r in hits.collect()} == want and len(want) > 30
+
+
 def test_whole_items_in_texts_are_found(spark):
     import re
 
