@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +28,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from colloquy.llm.common import blocks, materialise, new_path, prepare, texts_of
+from colloquy.llm.common import blocks, materialise, new_path, prepare, texts_of, vocabulary
 from colloquy.llm.memo import MOST, Lists, Memo
 
 #: Tokens of a block, unless one document has more.
@@ -39,8 +40,10 @@ BLOCK_TOKENS = 1 << 18
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words that are given to the tokenizer in one text.
 TOGETHER = 64
-#: Ids between the two passes.
-IDS = np.dtype("<u2")
+#: The query's vocabulary.
+TOKENIZER = "word_bpe_49k.json"
+#: Ids between the two passes: 16 bits where they suffice, else 32.
+NARROW, WIDE = np.dtype("<u2"), np.dtype("<u4")
 _workers: dict[str, "Encoder"] = {}
 
 
@@ -51,16 +54,17 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(vocabulary(path))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
+        self.ids = NARROW if len(self.ends_word) <= 1 << 16 else WIDE
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.parts, self.lists, self.known = Memo(), {}, Lists(np.uint16), {}
+        self.words, self.lists, self.known = Memo(), Lists(self.ids), {}
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, where each text's begin and the end)."""
@@ -96,45 +100,47 @@ class Encoder:
             self.learn(single[i : i + TOGETHER])
         for half in missing:
             if half not in known:
-                known[half] = array("H", self.tokenizer.encode(half, add_special_tokens=False).ids).tobytes()
+                known[half] = np.array(self.tokenizer.encode(half, add_special_tokens=False).ids, self.ids).tobytes()
         return [known[a] + known[b] for a, b in zip(cores, tails, strict=True)]
 
-
     def learn(self, words: list[str]) -> None:
         """Ids of words of letters, encoded in one text and cut after each token that ends a word."""
         [code] = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
-        ids = np.array(code.ids, np.uint16)
-        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 2
+        ids = np.array(code.ids, self.ids)
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.ids.itemsize
         if len(ends) == len(words):
             packed = ids.tobytes()
             self.known.update(zip(words, map(packed.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())), strict=True))
 
 
+def id_type(tokenizer: str, end_id: int) -> np.dtype:
+    return NARROW if max(Encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else WIDE
+
+
 def encode_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__id, __ids): the ids of each whole text and the end id, as little-endian unsigned 16-bit integers."""
+    """(__id, __ids): the ids of each whole text and the end id, as little-endian unsigned integers (see ``id_type``)."""
     prepare(docs.sparkSession)
-    if max(Encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1) > 1 << 16:
-        raise ValueError("ids above 65535 need a wider type between the two passes")
+    dtype = id_type(tokenizer, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _workers.get(tokenizer) or _workers.setdefault(tokenizer, Encoder(tokenizer))
         for rows, raw, at in blocks(batches, "__text"):
             ids, bounds = encoder.encode(texts_of(raw, at))
-            out = [np.append(ids[a:b], np.uint16(end_id)).astype(IDS).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            out = [np.append(ids[a:b], dtype.type(end_id)).astype(dtype).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column("__id"), pa.array(out, pa.binary())], ["__id", "__ids"])
 
     picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     return picked.mapInArrow(run, f"__id {docs.schema[id_col].dataType.simpleString()}, __ids binary")
 
 
-def token_counts(tokens: DataFrame) -> DataFrame:
+def token_counts(tokens: DataFrame, dtype: np.dtype = NARROW) -> DataFrame:
     """(token, n) over all documents; each task sends a row for each id it has seen."""
 
     def run(batches):
         seen = np.zeros(0, np.int64)
         for batch in batches:
             raw, _ = _binary(batch.column("__ids"))
-            here = np.bincount(raw.view(IDS))
+            here = np.bincount(np.frombuffer(raw, dtype))
             if len(here) > len(seen):
                 here[: len(seen)] += seen
                 seen = here
@@ -178,11 +184,11 @@ def unpack(control: bytes, codes: bytes, n: int) -> np.ndarray:
     return (raw[at] | raw[at + 1] << 8 | raw[at + 2] << 16 | raw[at + 3] << 24) & MASKS[size]
 
 
-def write_token_files(tokens: DataFrame, path: str) -> None:
-    """Write the blocks and the rank table of ``tokens`` (__id, __ids) under ``path``, in ascending id order."""
+def write_token_files(tokens: DataFrame, path: str, dtype: np.dtype = NARROW) -> None:
+    """Write the blocks and the rank table of ``tokens`` (__id, __ids of ``dtype``) under ``path``, in ascending id order."""
     spark = tokens.sparkSession
     rank = Window.orderBy(F.desc("n"), "token")  # over the vocabulary, at most one row an id
-    token_counts(tokens).select("token", (F.row_number().over(rank) - 1).alias("rank")).coalesce(1).write.parquet(f"{path}/ranks")
+    token_counts(tokens, dtype).select("token", (F.row_number().over(rank) - 1).alias("rank")).coalesce(1).write.parquet(f"{path}/ranks")
     table = rank_table(spark, path)
     to_rank = np.zeros(int(table.max(initial=0)) + 1, np.uint32)
     to_rank[table] = np.arange(len(table), dtype=np.uint32)
@@ -192,39 +198,39 @@ def write_token_files(tokens: DataFrame, path: str) -> None:
     def run(batches):
         shard, number, start, ranks_of = TaskContext.get().partitionId(), 0, 0, shared.value
 
-        def block(ids, sizes, raw):
+        def block(parts):
             nonlocal number, start
-            flat = np.frombuffer(b"".join(raw), IDS)
+            ids, sizes, raw = zip(*parts, strict=True)
+            flat = np.frombuffer(b"".join(raw), dtype)
             control, codes = pack(ranks_of[flat])
-            row = {"shard": shard, "block": number, "start": start, "ids": ids, "sizes": sizes, "control": control, "codes": codes}
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.concat_arrays(ids), pa.array(np.concatenate(sizes), pa.int64()))]
+            row = [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([start], pa.int64()), *lists, pa.array([control], pa.binary()), pa.array([codes], pa.binary())]
             number, start = number + 1, start + len(flat)
-            return pa.RecordBatch.from_pylist([row], schema=layout)
+            return pa.RecordBatch.from_arrays(row, ["shard", "block", "start", "ids", "sizes", "control", "codes"])
 
-        ids, sizes, raw, held = [], [], [], 0
+        parts, held = [], 0
         for batch in batches:
-            for key, code in zip(batch.column("__id").to_pylist(), batch.column("__ids"), strict=True):
-                code = code.as_py()
-                if ids and held + len(code) // IDS.itemsize > BLOCK_TOKENS:
-                    yield block(ids, sizes, raw)
-                    ids, sizes, raw, held = [], [], [], 0
-                held += len(code) // IDS.itemsize
-                ids.append(key)
-                sizes.append(len(code) // IDS.itemsize)
-                raw.append(code)
-        if ids:
-            yield block(ids, sizes, raw)
-
-    layout = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("ids", pa.list_(_arrow_type(kind))), ("sizes", pa.list_(pa.int64())), ("control", pa.binary()), ("codes", pa.binary())])
+            raw, at = _binary(batch.column("__ids"))
+            sizes, first = np.diff(at) // dtype.itemsize, 0
+            while first < len(sizes):  # as many of the batch's documents as the block has room for
+                room = np.searchsorted(np.cumsum(sizes[first:]), BLOCK_TOKENS - held, "right")
+                last = first + max(int(room), int(not parts))
+                if last > first:
+                    parts.append((batch.column("__id").slice(first, last - first), sizes[first:last], raw[at[first] : at[last]].tobytes()))
+                    held += int(sizes[first:last].sum())
+                if last < len(sizes):
+                    yield block(parts)
+                    parts, held = [], 0
+                first = last
+        if parts:
+            yield block(parts)
+
     schema = f"shard int, block int, start long, ids array<{kind}>, sizes array<long>, control binary, codes binary"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = tokens.repartitionByRange(n, F.asc_nulls_first("__id")).sortWithinPartitions(F.asc_nulls_first("__id"), "__ids")
     ordered.mapInArrow(run, schema).write.parquet(f"{path}/blocks")
 
 
-def _arrow_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def rank_table(spark: SparkSession, path: str) -> np.ndarray:
     """Ids in the order of their ranks: at most one for each id of the vocabulary."""
     return np.array([r.token for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], np.int64)
@@ -234,21 +240,22 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(__id, start, n_tokens, ids_crc32) of each document, decoded from the files."""
     shared = spark.sparkContext.broadcast(rank_table(spark, path).astype("<u4"))
     stored = spark.read.parquet(f"{path}/blocks")
-    kind = stored.schema["ids"].dataType.elementType.simpleString()
+    kind: DataType = stored.schema["ids"].dataType.elementType
 
     def run(batches):
         to_id = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = to_id[unpack(row["control"], row["codes"], sum(row["sizes"]))]
-                ends = np.cumsum(row["sizes"])
-                crc = [zlib.crc32(ids[b - n : b].tobytes()) for b, n in zip(ends.tolist(), row["sizes"], strict=True)]
-                n = len(crc)
-                columns = [pa.array(row["ids"], _arrow_type(kind)), pa.array([row["shard"]] * n, pa.int32()), pa.array(row["start"] + ends - row["sizes"], pa.int64()), pa.array(row["sizes"], pa.int64()), pa.array(crc, pa.int64())]
+            for k in range(len(batch)):
+                own, sizes = batch.column("ids")[k].values, batch.column("sizes")[k].values.to_numpy()
+                ids = to_id[unpack(batch.column("control")[k].as_py(), batch.column("codes")[k].as_py(), int(sizes.sum()))]
+                ends = np.cumsum(sizes)
+                crc = [zlib.crc32(ids[b - n : b].tobytes()) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                shard = np.full(len(sizes), batch.column("shard")[k].as_py(), np.int32)
+                columns = [own.cast(to_arrow_type(kind)), pa.array(shard), pa.array(batch.column("start")[k].as_py() + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["__id", "shard", "within", "n_tokens", "ids_crc32"])
 
     prepare(spark)
-    docs = stored.mapInArrow(run, f"__id {kind}, shard int, within long, n_tokens long, ids_crc32 long")
+    docs = stored.mapInArrow(run, f"__id {kind.simpleString()}, shard int, within long, n_tokens long, ids_crc32 long")
     totals = stored.select("shard", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b).alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a shard
     base = totals.select("shard", before.alias("base"))
@@ -257,9 +264,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 def op1_token_files(spark, sf_dir: str) -> DataFrame:
     """One row per document, from the files read back: doc_id, start, n_tokens, ids_crc32."""
-    import public_tokenizers
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = new_path(spark, "token-files")
-    write_token_files(materialise(encode_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), 1), "tokens"), path)
+    write_token_files(materialise(encode_tokens(docs, TOKENIZER, 1), "tokens"), path, id_type(TOKENIZER, 1))
     return read_token_files(spark, path).withColumnRenamed("__id", "doc_id")
