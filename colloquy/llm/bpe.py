@@ -9,7 +9,7 @@ their rank comes up. Pretokens never join, so the result is that of merging each
 Distinct pretokens are merged once and remembered by the worker, within a bound.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; special tokens' strings in
-a text become their ids, as the tokenizers library does by default; other columns are ignored; rows
+a text become their ids, as the tokenizers library does by default; bytes that are no UTF-8 are U+FFFD first; other columns are ignored; rows
 with one id are encoded each; an empty table gives an empty result.
 """
 
@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import blocks, prepare, texts_of
+from colloquy.llm.common import blocks, prepare, texts_of, vocabulary
 from colloquy.llm.memo import MOST, Lists, Memo
 
 #: How byte-level tokenizers split text: contractions, letters, numbers, other marks, white space.
@@ -37,6 +37,8 @@ PIECES = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
 UNUSUAL = [b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 #: ASCII punctuation but the apostrophe: behind letters it is a pretoken of its own.
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The query's vocabulary.
+TOKENIZER = "byte_bpe_50k.json"
 _workers: dict[str, "Bpe"] = {}
 
 
@@ -49,7 +51,7 @@ def byte_letters() -> list[str]:
 
 class Bpe:
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
+        with open(vocabulary(path), encoding="utf-8") as f:
             spec = json.load(f)
         vocab, letters = spec["model"]["vocab"], byte_letters()
         self.added = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
@@ -226,7 +228,7 @@ def _digests(bpe: Bpe, texts: list[bytes]) -> dict[str, pa.Array]:
     return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
 
 
-def bpe_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
+def bpe_digests(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, and decoded again from the ids, in one pass."""
     made = bpe_codes(docs, tokenizer, "n_tokens long, ids_sha256 string, decoded_sha256 string", _digests)
     return made.withColumnRenamed("__id", "doc_id")
@@ -234,6 +236,4 @@ def bpe_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    import public_tokenizers
-
-    return bpe_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), TOKENIZER)

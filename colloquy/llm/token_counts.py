@@ -19,6 +19,7 @@ counted each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import blocks, prepare, texts_of
+from colloquy.llm.common import blocks, prepare, texts_of, vocabulary
 from colloquy.llm.memo import Memo
 
 MARK = "▁"
@@ -40,7 +41,7 @@ def read_pieces(path: str) -> tuple[list[tuple[str, float]], int]:
     """((piece, score) by id, id of the unknown piece) of a piece model file."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary(path))
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())], model.unk_id()
 
 
@@ -60,23 +61,28 @@ class UnigramCounter:
 
     def count(self, word: str) -> int:
         """Pieces of the best path through ``word``."""
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(len(word) + 1)]
-        for last, match in self.matches.iter(word):
-            ends[last + 1].append(match)
-        best, pieces, open_run = [0.0] * (len(word) + 1), [0] * (len(word) + 1), [False] * (len(word) + 1)
+        best, pieces, open_run = array("d", [0.0]), array("q", [0]), bytearray(1)
+        matches = self.matches.iter(word)
+        match = next(matches, None)
         for end in range(1, len(word) + 1):
+            here = []
+            while match is not None and match[0] == end - 1:
+                here.append(match[1])
+                match = next(matches, None)
             top, single = None, False
-            for size, score in sorted(ends[end], reverse=True):  # by ascending start
+            for size, score in sorted(here, reverse=True):  # by ascending start
                 single |= size == 1
                 score += best[end - size]
                 if top is None or score > top[0]:
-                    top = score, pieces[end - size] + 1, False
+                    top = score, pieces[end - size] + 1, 0
             if not single:
                 score = self.unknown + best[end - 1]
                 if top is None or score > top[0]:
                     width = len(word[end - 1].encode()) if self.bytes else int(not open_run[end - 1])
-                    top = score, pieces[end - 1] + width, True
-            best[end], pieces[end], open_run[end] = top
+                    top = score, pieces[end - 1] + width, 1
+            best.append(top[0])
+            pieces.append(top[1])
+            open_run.append(top[2])
         return pieces[-1]
 
     def counts_of(self, texts: list[bytes]) -> list[int]:
@@ -110,6 +116,4 @@ def token_counts(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col:
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_tokens."""
-    import public_tokenizers
-
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "piece_bpe_32k.model")

@@ -72,10 +72,26 @@ def test_token_files(spark, docs, rows, empty):
 
     assert got(through(docs), "__id", "start", "n_tokens", "ids_crc32") == brute.token_files(rows, library("word_bpe_49k.json"))
     assert through(empty).count() == 0
+    for kind in ("smallint", "date", "string", "decimal(9,0)"):
+        ids = spark.range(5).select(F.expr("date_add(date'2020-01-01', cast(id AS int))" if kind == "date" else f"cast(id AS {kind})").alias("doc_id"), F.lit("a b").alias("text"))
+        assert sorted((r.start, r.n_tokens) for r in through(ids).collect()) == [(3 * k, 3) for k in range(5)]
     twice = through(frame(spark, [(None, "a"), (1, "b c"), (1, "b c"), (1, "b")])).collect()
     assert sorted((r.start, r.n_tokens) for r in twice) == [(0, 2), (2, 2), (4, 3), (7, 3)]
 
 
+def test_wide_ids_and_small_blocks(spark, docs, rows, monkeypatch):
+    """The 32-bit way, and blocks smaller than documents, give the same."""
+    monkeypatch.setattr(token_files, "id_type", lambda tokenizer, end_id: token_files.WIDE)
+    path = common.new_path(spark, "test-wide")
+    token_files.write_token_files(token_files.encode_tokens(docs, "word_bpe_49k.json", 1), path, token_files.WIDE)
+    assert got(token_files.read_token_files(spark, path), "__id", "start", "n_tokens", "ids_crc32") == brute.token_files(rows, library("word_bpe_49k.json"))
+    big = spark.createDataFrame([(1, bytearray((70_000).to_bytes(4, "little") * 3)), (2, bytearray((99).to_bytes(4, "little")))], "__id long, __ids binary")
+    path = common.new_path(spark, "test-wide")
+    token_files.write_token_files(big, path, token_files.WIDE)
+    assert token_files.rank_table(spark, path).tolist() == [70_000, 99]
+    assert got(token_files.read_token_files(spark, path), "__id", "start", "n_tokens", "ids_crc32") == [(1, 0, 3, zlib.crc32((70_000).to_bytes(4, "little") * 3)), (2, 3, 1, zlib.crc32((99).to_bytes(4, "little")))]
+
+
 def test_codes_round_trip():
     import numpy as np
 
@@ -102,6 +118,28 @@ def test_language_id(spark, empty):
     assert unknown.lang_pred == "und"
 
 
+def test_language_is_calibrated_on_held_out_rows(spark):
+    """Log loss of the rows held out, and how far scores are from the share that is right."""
+    import math
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 30")
+    lang = {r.doc_id: r.lang for r in table.collect()}
+    held = [(r.score, r.lang_pred == lang[r.doc_id]) for r in language_id.identify(table).collect() if r.held_out]
+    loss = sum(-math.log(max(s if right else 1 - s, 1e-9)) for s, right in held) / len(held)
+    assert loss < 0.15 and max(s for s, _ in held) < 1
+    assert abs(sum(s for s, _ in held) / len(held) - sum(right for _, right in held) / len(held)) < 0.05
+
+
+def test_many_languages_and_rare_letters(spark):
+    """More languages than rows of the sample: each is learned; the last letters of Unicode are letters; ties and repeated rows."""
+    many = 2500
+    rows = spark.range(many).select(F.col("id").alias("doc_id"), F.concat(F.lit("zz "), F.col("id").cast("string")).alias("lang"), F.concat(F.lit("abc "), F.translate(F.col("id").cast("string"), "0123456789", "qwertyuiop")).alias("text"))
+    rows = rows.union(spark.createDataFrame([(many, None, chr(0x31350)), (many + 1, None, LONG), (many + 1, None, LONG), (many + 2, None, chr(0x2EBF0) * 3)], "doc_id long, lang string, text string"))
+    out = {r.doc_id: r for r in language_id.identify(rows).collect()}
+    assert len(out) == many + 3 and "und" not in {r.lang_pred for r in out.values()}
+    assert all(0 < r.score <= 1 for r in out.values())
+
+
 # 3
 ITEMS = [(1, "A train leaves Boston at 60 miles per hour and reaches the old station after 3 hours, how far did it travel"), (2, "too short"), (None, "x y z w v u t s"), (3, None), (4, "five words are quite enough")]
 
@@ -252,6 +290,19 @@ def test_bpe(spark, docs, rows, empty):
     assert bpe.bpe_digests(frame(spark, [(1, "a"), (1, "a"), (None, None)]), P.path("byte_bpe_50k.json")).count() == 3
 
 
+def test_bytes_that_are_no_text(spark):
+    """Invalid UTF-8 in a string column: U+FFFD in its place, in every operator."""
+    odd = spark.createDataFrame([(1, bytearray(b"ab \xff\xfe cd")), (2, bytearray(b"end \xc3")), (3, bytearray(b"\xa9 begin of another text"))], "doc_id long, b binary").select("doc_id", F.expr("cast(b AS string)").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+    want = [(1, "ab \ufffd\ufffd cd"), (2, "end \ufffd"), (3, "\ufffd begin of another text")]
+    assert got(bpe.bpe_digests(odd), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == brute.bpe(want, library("byte_bpe_50k.json"))
+    assert got(token_counts.token_counts(odd, "piece_bpe_32k.model"), "doc_id") == [(1,), (2,), (3,)]
+    assert {r["__id"]: r.n_words for r in quality_rules.counted(odd).collect()} == {1: 3, 2: 2, 3: 5}
+    assert language_id.identify(odd).count() == 3
+    path = common.new_path(spark, "test-odd")
+    token_files.write_token_files(token_files.encode_tokens(odd, "word_bpe_49k.json", 1), path)
+    assert got(token_files.read_token_files(spark, path), "__id", "start", "n_tokens", "ids_crc32") == brute.token_files(want, library("word_bpe_49k.json"))
+
+
 # 6
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates(spark, docs, rows, size, empty):
@@ -287,8 +338,9 @@ def test_token_counts(spark, docs, rows, empty):
     t = Tokenizer(models.Unigram(pieces, unknown, True))
     t.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=True)
     out = token_counts.token_counts(docs, P.path("piece_bpe_32k.model"))
-    small = [(i, x) for i, x in rows if x is None or len(x) < 100_000]
-    assert got(out.filter(F.col("doc_id").isin([i for i, _ in small])), "doc_id", "n_tokens") == sorted((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in small)
+    assert got(out, "doc_id", "n_tokens") == sorted((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows)
+    again = token_counts.token_counts(frame(spark, [(None, "a b"), (1, "a b"), (1, "a b"), (1, None)]), "piece_bpe_32k.model")
+    assert sorted((str(r.doc_id), r.n_tokens) for r in again.collect()) == [("1", 0), ("1", 2), ("1", 2), ("None", 2)]
     assert token_counts.token_counts(empty, P.path("piece_bpe_32k.model")).count() == 0
 
 
