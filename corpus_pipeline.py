@@ -40,9 +40,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the text decoded from them."""
-    import public_tokenizers
-
-    return bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe_digests(docs)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("decontaminate", decontaminate), ("encode", encode)]
