@@ -148,13 +148,13 @@ def full_sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFra
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets have 100 * intersection >= percent * union."""
+    """Those of ``pairs`` (a, na, b, nb and more) whose sets have 100 * intersection >= percent * union, without na and nb."""
     one = sets.select(F.col("__id").alias("a"), F.col("shingles").alias("__sa"))
     two = sets.select(F.col("__id").alias("b"), F.col("shingles").alias("__sb"))
     near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     both = F.size(F.array_intersect("__sa", "__sb")).cast("long")
-    joined = pairs.filter(near).select("a", "b").join(one, "a").join(two, "b").withColumn("__both", both)
-    return joined.filter(F.col("__both") * 100 >= (F.size("__sa") + F.size("__sb") - F.col("__both")) * percent).select("a", "b")
+    joined = pairs.filter(near).drop("na", "nb").join(one, "a").join(two, "b").withColumn("__both", both)
+    return joined.filter(F.col("__both") * 100 >= (F.size("__sa") + F.size("__sb") - F.col("__both")) * percent).drop("__sa", "__sb", "__both")
 
 
 def components(links: DataFrame, name: str = "labels") -> DataFrame:
@@ -174,6 +174,16 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
             return step.select("node", "label")
 
 
+def joined_components(labels: DataFrame, ends: DataFrame) -> DataFrame:
+    """``labels`` after links between components, ``ends`` (a, b: their labels; of a node without one, itself)."""
+    roots = components(ends, "joined")
+    moved = labels.join(roots.select(F.col("node").alias("__at"), F.col("label").alias("__to")), F.col("label") == F.col("__at"), "left")
+    fresh = roots.join(labels.select(F.col("node").alias("__known")), F.col("node") == F.col("__known"), "left_anti")
+    out = materialise(moved.select("node", F.coalesce("__to", "label").alias("label")).unionByName(fresh), "labels")
+    discard(roots)
+    return out
+
+
 def ranked(buckets: DataFrame) -> DataFrame:
     """``buckets`` (rep, n, key, low, many) with a number ``rank`` from 1 for each row of a key.
 
@@ -192,19 +202,24 @@ def still_open(rows: DataFrame, labels: DataFrame, low: int) -> DataFrame:
     """The bucket rows from rank ``low`` on, with their component, of buckets that hold more than one component there."""
     rows = rows.filter(F.col("rank") >= low).join(labels, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "rep")).drop("node", "label")
     keys = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-    return materialise(rows.join(keys, "key", "left_semi"), "open")
+    keys = materialise(keys, "open-keys")
+    out = materialise(rows.join(broadcast_if_small(keys), "key", "left_semi"), "open")
+    discard(keys)
+    return out
 
 
 def bounds(sets: DataFrame, rows: DataFrame) -> DataFrame:
     """(__id, shared, rest, core, m0..m3) of the classes in ``rows``, for a bound on what two sets have in common.
 
-    Classes tied by chains of shared buckets are a cluster. shared: shingles of the class that another of its
+    Classes tied by chains of shared buckets or links are a cluster. shared: shingles of the class that another of its
     cluster has too. core: the number of shingles that at least half of the cluster has; m0..m3: the core's
     shingles that the class lacks, each as one of 256 bits; rest: shared ones outside the core.
     """
-    least = rows.groupBy("key").agg(F.min("rep").alias("b"))
-    ties = rows.join(least, "key").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct()
-    some = materialise(sets.join(components(ties, "clusters").select(F.col("node").alias("__id"), "label"), "__id").select("__id", "label", "shingles"), "tied")
+    least = broadcast_if_small(materialise(rows.groupBy("key").agg(F.min("comp").alias("b")), "least"))
+    ties = rows.join(least, "key").select(F.col("comp").alias("a"), "b").filter("a <> b").distinct()
+    clusters = components(ties, "clusters")
+    own = rows.select(F.col("rep").alias("__id"), "comp").distinct().join(clusters, F.col("comp") == F.col("node"), "left").select("__id", F.coalesce("label", "comp").alias("label"))
+    some = materialise(sets.join(own, "__id").select("__id", "label", "shingles"), "tied")
     per_shingle = materialise(some.select("__id", "label", F.explode("shingles").alias("s")).groupBy("label", "s").agg(F.count(F.lit(1)).alias("many"), F.min("__id").alias("__id")), "tied-shingles")
     own = per_shingle.filter("many = 1").groupBy("__id").agg(F.count(F.lit(1)).alias("own"))
     sizes = some.groupBy("label").agg(F.count(F.lit(1)).alias("of"))
@@ -251,12 +266,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         most = F.least("shared", "b_shared", F.col("core") - lacked + F.least("rest", "b_rest"))
         may = most * 100 >= (F.col("n") + F.col("b_n") - most) * percent
         pairs = now.join(pivots, (now["key"] == pivots["key"]) & (now["rank"] > pivots["__p"]) & (now["comp"] != pivots["__c"]) & may)
-        pairs = pairs.select(F.col("rep").alias("a"), F.col("n").alias("na"), "b", F.col("b_n").alias("nb")).distinct()
-        more = materialise(similar(pairs, sets, percent), "links")
+        pairs = pairs.select(F.col("rep").alias("a"), F.col("n").alias("na"), "b", F.col("b_n").alias("nb"), F.col("comp").alias("ca"), F.col("__c").alias("cb")).distinct()
+        more = materialise(similar(pairs, sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
+        done.append(more)
         if not more.isEmpty():
-            links = links.union(more)
             done.append(labels)
-            labels = components(links)
+            labels = joined_components(labels, more)
         low, width = low + width, width * 16
         done.append(now)
         now = still_open(now.drop("comp"), labels, low)
