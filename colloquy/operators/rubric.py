@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The global dimensions of a call (fixed values).
@@ -31,8 +31,8 @@ def weighted_score(dims: DataFrame, *keys: str) -> DataFrame:
     return dims.groupBy(*keys).agg((F.sum(F.col("score") * F.col("weight")) / total).alias("weighted_score"))
 
 
-def resolve_versions(calls: DataFrame, versions: DataFrame) -> DataFrame:
-    """Calls with the version to use: a pinned one, else the product's latest active one."""
-    latest = versions.filter("active").withColumn("__n", F.row_number().over(Window.partitionBy("product_id").orderBy(F.desc("version")))).filter("__n = 1")
-    out = calls.join(latest.select("product_id", F.col("version").alias("__version")), "product_id", "left")
-    return out.withColumn("rubric_version", F.coalesce("pinned_version", "__version")).drop("__version")
+def resolve_versions(calls: DataFrame, versions: DataFrame, what: str = "rubric", key: str = "product_id", pinned: str = "pinned_version") -> DataFrame:
+    """Calls with the version of a rubric, or of a prompt, to use (``<what>_version``): a pinned one, else the latest active one of the call's ``key``."""
+    latest = versions.filter("active").groupBy(F.col(key).alias("__key")).agg(F.max("version").alias("__version"))
+    out = calls.join(latest, F.col(key) == F.col("__key"), "left")
+    return out.withColumn(f"{what}_version", F.coalesce(pinned, "__version")).drop("__key", "__version")

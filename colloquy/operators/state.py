@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: The states of a call (fixed values).
 STATES = ["DISCOVERED", "METADATA_READY", "TRANSCRIPT_READY", "ANALYSIS_QUEUED", "ANALYZING", "ANALYZED", "BLOCKED", "NEEDS_REVIEW", "FAILED_RETRYABLE", "FAILED_PERMANENT"]
 FORWARD = STATES[:6]
 FAILURES = ["BLOCKED", "FAILED_RETRYABLE", "FAILED_PERMANENT"]

@@ -6,33 +6,37 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.keys import artifact_role, mask_pii, meta, period
-from colloquy.operators import analysis, evaluate, ingest, metrics, privacy, rubric, state
+from colloquy.functions.validation import needs_review
+from colloquy.operators import analysis, detail, evaluate, ingest, metrics, privacy, rubric, state
+from colloquy.plans.base import registering
 from colloquy.sources import tables as T
 
 QUERIES, ORACLES = {}, {}
 
 
-def query(sql: str | None = None, prelude: bool = False):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = (T.PRELUDE if prelude else "") + sql
-        return f
-
-    return add
+query = registering(QUERIES, ORACLES)
 
 
 def docs(spark, d):
     return T.table(spark, d, "documents")
 
 
+def line_artifacts(spark, d):
+    """Order lines as artifacts of calls."""
+    role = F.when(F.col("l_returnflag") == "N", "transcript").when(F.col("l_returnflag") == "R", "notes").otherwise("recording")
+    return T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("call_id"), F.col("l_partkey").alias("artifact_id"), role.alias("role"))
+
+
 # --- sources, registration, transcripts
 
 
-@query("SELECT sha256(text) AS version, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+@query("""SELECT sha256(text) AS version, min(doc_id) AS doc_id, count(*) AS copies FROM documents
+  WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id)) GROUP BY text""")
 def register_first_seen(spark, d):
-    rows = docs(spark, d).withColumn("version", F.sha2("text", 256))
-    first = ingest.register_artifacts(rows, rows.select("version").limit(0), ["version"], [F.col("doc_id")])
+    """Versions that the registry, here those of labelled documents, lacks."""
+    rows = docs(spark, d).withColumn("version", F.sha2("text", 256)).select("doc_id", "version")
+    known = rows.join(T.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    first = ingest.register_artifacts(rows, known, ["version"], [F.col("doc_id")])
     return first.select("version", "doc_id").join(rows.groupBy("version").agg(F.count(F.lit(1)).alias("copies")), "version")
 
 
@@ -48,10 +52,10 @@ def union_sources(spark, d):
     return ingest.union_sources(a, b)
 
 
-@query("SELECT source, arg_min(doc_id, (CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 ELSE 3 END) * CAST(1000000000 AS BIGINT) + doc_id) AS doc_id FROM documents GROUP BY source")
+@query("""SELECT l_orderkey AS call_id, l_partkey AS artifact_id, CASE l_returnflag WHEN 'N' THEN 'transcript' WHEN 'R' THEN 'notes' ELSE 'recording' END AS role FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE 3 END, l_partkey) = 1""")
 def pick_by_priority(spark, d):
-    rank = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "de", 2).otherwise(3)
-    return ingest.pick_first(docs(spark, d), ["source"], rank, F.col("doc_id")).select("source", "doc_id")
+    return ingest.pick_transcript(line_artifacts(spark, d)).select("call_id", "artifact_id", "role")
 
 
 @query("""SELECT conv_id AS call_id, count(*) AS n_segments, array_to_string(list_sort(list_distinct(list(role))), ',') AS speakers,
@@ -61,14 +65,24 @@ def transcript_assembly(spark, d):
     return rows.select("call_id", "n_segments", F.array_join("speakers", ",").alias("speakers"), "text_sha256")
 
 
-@query("SELECT doc_id, sha256(text) AS version FROM documents")
+@query("""SELECT doc_id, sha256('{"k0":"' || lower(trim(source)) || '","k1":"' || doc_id || '"}') AS artifact_key,
+  CASE WHEN doc_id % 3 = 0 THEN CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE)::VARCHAR || ' 00:00:00' ELSE sha256(text) END AS version FROM documents""")
 def content_version_key(spark, d):
-    return docs(spark, d).select("doc_id", F.sha2("text", 256).alias("version"))
+    checksum = F.when(F.col("doc_id") % 3 != 0, F.sha2("text", 256))
+    modified = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).cast("timestamp")
+    files = docs(spark, d).select("doc_id", F.concat(F.lit(" "), F.upper("source")).alias("provider"), F.col("doc_id").cast("string").alias("external_file_id"), checksum.alias("checksum"), modified.alias("modified_time"))
+    return ingest.with_keys(files).select("doc_id", "artifact_key", "version")
 
 
-@query("""SELECT CASE WHEN lower(url) LIKE '%transcri%' THEN 'transcript' WHEN lower(url) LIKE '%note%' THEN 'notes' ELSE 'other' END AS role, count(*) AS n FROM pages GROUP BY 1""")
+@query("""WITH f AS (SELECT list_extract(['audio/mp4', 'text/vtt', 'text/html', 'application/vnd.document', NULL, 'video/mp4'], CAST(page_id % 6 + 1 AS INTEGER)) AS mime,
+    CASE WHEN page_id % 5 = 0 THEN 'Transcript of ' WHEN page_id % 5 = 1 THEN 'my NOTES on ' ELSE '' END || url AS name FROM pages)
+  SELECT CASE WHEN mime LIKE 'audio/%' OR mime LIKE 'video/%' THEN 'recording' WHEN lower(name) LIKE '%transcri%' OR mime = 'text/vtt' THEN 'transcript'
+    WHEN lower(name) LIKE '%note%' OR mime LIKE '%document%' THEN 'notes' ELSE 'other' END AS role, count(*) AS n FROM f GROUP BY 1""")
 def artifact_roles(spark, d):
-    return metrics.count_by(T.table(spark, d, "pages").withColumn("role", artifact_role(F.lit(None).cast("string"), F.col("url"))), "role")
+    kinds = F.array(*(F.lit(m) for m in ("audio/mp4", "text/vtt", "text/html", "application/vnd.document", None, "video/mp4")))
+    title = F.when(F.col("page_id") % 5 == 0, "Transcript of ").when(F.col("page_id") % 5 == 1, "my NOTES on ").otherwise("")
+    files = T.table(spark, d, "pages").select(F.get(kinds, (F.col("page_id") % 6).cast("int")).alias("mime"), F.concat(title, "url").alias("name"))
+    return metrics.count_by(files.withColumn("role", artifact_role(F.col("mime"), F.col("name"))), "role")
 
 
 @query("SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS text_sha256 FROM pages")
@@ -89,16 +103,27 @@ def changed_since(spark, d):
     return ingest.changed_since(files, marks, "o_custkey", "o_orderdate").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT p_partkey, lower(trim(p_brand)) AS p_brand, lower(trim(p_name)) AS p_name FROM part")
+@query("SELECT p_partkey, lower(trim(p_brand)) AS p_brand, lower(trim(p_name)) AS p_name, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS size FROM part")
 def normalise_metadata(spark, d):
-    return ingest.normalise_metadata(T.table(spark, d, "part").select("p_partkey", "p_brand", "p_name"), ["p_brand", "p_name"], [])
+    raw = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise("n/a").alias("size")
+    return ingest.normalise_metadata(T.table(spark, d, "part").select("p_partkey", "p_brand", "p_name", raw), ["p_brand", "p_name"], ["size"])
 
 
-@query("SELECT c_custkey AS call_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT l_orderkey AS call_id FROM lineitem GROUP BY 1 HAVING bool_and(l_returnflag = 'A')")
 def needs_transcription(spark, d):
-    recordings = T.table(spark, d, "customer").select(F.col("c_custkey").alias("call_id"), F.lit("recording").alias("role"))
-    texts = T.table(spark, d, "orders").select(F.col("o_custkey").alias("call_id"), F.lit("transcript").alias("role"))
-    return ingest.needs_transcription(recordings.unionByName(texts))
+    return ingest.needs_transcription(line_artifacts(spark, d))
+
+
+@query("SELECT l_orderkey AS call_id, l_partkey AS artifact_id, 'drive://' || l_partkey AS uri FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_and(l_returnflag = 'A'))")
+def transcription_worklist(spark, d):
+    files = line_artifacts(spark, d).withColumn("uri", F.concat(F.lit("drive://"), F.col("artifact_id").cast("string")))
+    return ingest.transcription_worklist(files)
+
+
+@query("""SELECT conv_id AS call_id, min(turn) * 10 AS starts, max(turn) * 10 + 9 AS ends, 'export' AS origin, CASE WHEN conv_id % 4 = 0 THEN 'pt' ELSE 'en' END AS language, 'v' || conv_id % 3 AS version, FALSE AS mixed FROM conversations GROUP BY conv_id""")
+def transcript_headers(spark, d):
+    more = {"start": F.col("turn") * 10, "end": F.col("turn") * 10 + 9, "origin": F.lit("export"), "language": F.when(F.col("call_id") % 4 == 0, "pt").otherwise("en"), "version": F.concat(F.lit("v"), (F.col("call_id") % 3).cast("string"))}
+    return ingest.transcript_headers(T.segments(spark, d).withColumns(more))
 
 
 @query("""WITH f AS (SELECT 'all' AS folder_id, NULL AS parent_id UNION ALL SELECT 'r' || r_regionkey, 'all' FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)
@@ -109,13 +134,57 @@ def walk_folders(spark, d):
     folders = spark.createDataFrame([("all", None)], "folder_id string, parent_id string")
     folders = folders.unionByName(r.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("folder_id"), F.lit("all").alias("parent_id")))
     folders = folders.unionByName(n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("folder_id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent_id")))
-    return ingest.walk_folders(spark, folders, "all")
+    return ingest.walk_folders(folders, "all")
 
 
 # --- filters, current runs, joins
 
 
-@query("SELECT call_id, seller_id, product_id, call_date, value FROM calls WHERE seller_id = 3 AND call_date >= DATE '1995-01-01' AND call_date < DATE '1997-01-01'", True)
+@query("""SELECT call_id, team_id, product_id FROM calls JOIN (SELECT s_suppkey AS seller_id, s_nationkey AS team_id FROM supplier) USING (seller_id) WHERE team_id = 7 AND product_id = 4""", T.PRELUDE)
+def team_filter(spark, d):
+    teams = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("seller_id"), F.col("s_nationkey").alias("team_id"))
+    return metrics.apply_filters(T.calls(spark, d).join(teams, "seller_id"), team=7, product=4).select("call_id", "team_id", "product_id")
+
+
+@query("SELECT call_id, string_agg(dimension || '=' || CAST(score AS VARCHAR), ';' ORDER BY dimension, score) AS dimensions FROM dims GROUP BY 1", T.PRELUDE)
+def nested_dimensions(spark, d):
+    nested = detail.nest_children(T.dims(spark, d), "call_id", "children", "dimension", "score")
+    one = F.transform("children", lambda x: F.concat(x["dimension"], F.lit("="), x["score"].cast("string")))
+    return nested.select("call_id", F.array_join(one, ";").alias("dimensions"))
+
+
+@query("""SELECT p_partkey AS call_id, coalesce(CASE WHEN p_size = 2 THEN 77 END, version) AS prompt_version FROM part
+  LEFT JOIN (SELECT p_type AS t, max(p_size) AS version FROM part WHERE p_size < 30 GROUP BY 1) ON t = p_type""")
+def resolve_prompts(spark, d):
+    part = T.table(spark, d, "part")
+    calls = part.select(F.col("p_partkey").alias("call_id"), F.col("p_type").alias("stage"), F.when(F.col("p_size") == 2, 77).alias("pinned_prompt"))
+    versions = part.select(F.col("p_type").alias("stage"), F.col("p_size").alias("version"), (F.col("p_size") < 30).alias("active"))
+    return rubric.resolve_versions(calls, versions, "prompt", "stage", "pinned_prompt").select("call_id", "prompt_version")
+
+
+@query("""SELECT status AS model_version, quality AS rubric_version, 'prompt-' || call_id % 3 AS prompt_version, count(*) AS n, round(avg(abs(score - human_score)), 9) AS mae, round(avg(score - human_score), 9) AS bias, round(corr(score, human_score), 9) AS corr
+  FROM (SELECT call_id, dimension, avg(score) AS score, max(score) AS human_score FROM dims GROUP BY 1, 2) JOIN calls USING (call_id) GROUP BY 1, 2, 3""", T.PRELUDE)
+def evaluator_by_version(spark, d):
+    by = T.dims(spark, d).groupBy("call_id", "dimension")
+    pairs = evaluate.paired_scores(by.agg(F.avg("score").alias("score")), by.agg(F.max("score").alias("human_score")))
+    runs = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("call_id"), F.col("o_orderstatus").alias("model_version"), F.col("o_orderpriority").alias("rubric_version"), F.concat(F.lit("prompt-"), (F.col("o_orderkey") % 3).cast("string")).alias("prompt_version"))
+    return evaluate.evaluator_quality(pairs.join(runs, "call_id"), "model_version", "rubric_version", "prompt_version")
+
+
+ALLOWED = ", ".join(f"('{a}', '{b}')" for a, b in state.allowed_transitions())
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, ts, list_extract({state.STATES}, CAST((event_id * 7 + user_id) % 10 + 1 AS INTEGER)) AS state FROM events),
+  s AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM e), ok(a, b) AS (VALUES {ALLOWED})
+  SELECT event_id, previous, state FROM s WHERE (previous IS NULL AND state <> 'DISCOVERED') OR (previous IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ok WHERE a = previous AND b = state))""")
+def illegal_steps(spark, d):
+    """Steps that the pipeline's own rules forbid."""
+    names = F.array(*(F.lit(x) for x in state.STATES))
+    e = T.table(spark, d, "events").select("event_id", F.col("user_id").alias("call_id"), "ts", F.col("event_id").alias("seq"), F.get(names, ((F.col("event_id") * 7 + F.col("user_id")) % 10).cast("int")).alias("state"))
+    return state.illegal_transitions(spark, e).select("event_id", "previous", "state")
+
+
+@query("SELECT call_id, seller_id, product_id, call_date, value FROM calls WHERE seller_id = 3 AND call_date >= DATE '1995-01-01' AND call_date < DATE '1997-01-01'", T.PRELUDE)
 def dashboard_filter(spark, d):
     return metrics.apply_filters(T.calls(spark, d), seller=3, start="1995-01-01", end="1997-01-01").select("call_id", "seller_id", "product_id", "call_date", "value")
 
@@ -125,13 +194,13 @@ def current_per_entity(spark, d):
     return analysis.current_runs(T.table(spark, d, "orders"), ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("SELECT call_id, overall_score < 15 AS low FROM scored WHERE quality = '1-URGENT' OR overall_score < 15", True)
+@query("SELECT call_id, overall_score < 15 AS low FROM scored WHERE quality = '1-URGENT' OR overall_score < 15", T.PRELUDE)
 def review_queue(spark, d):
-    rows = T.scored_calls(spark, d)
-    return rows.filter((F.col("quality") == "1-URGENT") | (F.col("overall_score") < 15)).select("call_id", (F.col("overall_score") < 15).alias("low"))
+    rows = T.scored_calls(spark, d).withColumn("confidence", F.col("overall_score") / 25)
+    return rows.filter(needs_review(F.col("quality") == "1-URGENT", F.col("confidence"))).select("call_id", (F.col("overall_score") < 15).alias("low"))
 
 
-@query("SELECT call_id, call_date FROM calls WHERE call_date >= DATE '1996-06-01'", True)
+@query("SELECT call_id, call_date FROM calls WHERE call_date >= DATE '1996-06-01'", T.PRELUDE)
 def retention(spark, d):
     return privacy.apply_retention(T.calls(spark, d), "1996-06-01").select("call_id", "call_date")
 
@@ -141,7 +210,7 @@ def log_safe(spark, d):
     return privacy.log_safe(T.segments(spark, d), ["call_id"])
 
 
-@query("SELECT call_id, seller_id FROM calls WHERE seller_id = 5", True)
+@query("SELECT call_id, seller_id FROM calls WHERE seller_id = 5", T.PRELUDE)
 def visible_to(spark, d):
     return privacy.visible_to(T.calls(spark, d), "seller", 5).select("call_id", "seller_id")
 
@@ -159,7 +228,7 @@ def call_grain(spark, d):
     return metrics.call_grain(T.dims(spark, d))
 
 
-@query("""SELECT call_id, s_name, p_brand, n_name FROM calls LEFT JOIN supplier ON s_suppkey = seller_id LEFT JOIN part ON p_partkey = product_id LEFT JOIN nation ON n_nationkey = s_nationkey""", True)
+@query("""SELECT call_id, s_name, p_brand, n_name FROM calls LEFT JOIN supplier ON s_suppkey = seller_id LEFT JOIN part ON p_partkey = product_id LEFT JOIN nation ON n_nationkey = s_nationkey""", T.PRELUDE)
 def seller_dims_join(spark, d):
     t = lambda n: T.table(spark, d, n)
     return metrics.with_dims(T.calls(spark, d), (t("supplier"), "seller_id", "s_suppkey"), (t("part"), "product_id", "p_partkey"), (t("nation"), "s_nationkey", "n_nationkey")).select("call_id", "s_name", "p_brand", "n_name")
@@ -214,22 +283,22 @@ def locate_evidence(spark, d):
 # --- aggregates
 
 
-@query("SELECT status, count(*) AS n, round(avg(value), 4) AS mean_score FROM calls GROUP BY status", True)
+@query("SELECT status, count(*) AS n, round(avg(value), 4) AS mean_score FROM calls GROUP BY status", T.PRELUDE)
 def mean_score_by_status(spark, d):
     return metrics.mean_score(T.calls(spark, d), "value", "status", digits=4)
 
 
-@query("SELECT quality, count(*) AS n, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS share FROM calls GROUP BY quality", True)
+@query("SELECT quality, count(*) AS n, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS share FROM calls GROUP BY quality", T.PRELUDE)
 def quality_mix(spark, d):
     return metrics.mix(T.calls(spark, d), "quality")
 
 
-@query("SELECT reason, count(*) AS n FROM (SELECT unnest(failures) AS reason FROM results) GROUP BY 1 ORDER BY n DESC, reason LIMIT 3", True)
+@query("SELECT reason, count(*) AS n FROM (SELECT unnest(failures) AS reason FROM results) GROUP BY 1 ORDER BY n DESC, reason LIMIT 3", T.PRELUDE)
 def top_reasons(spark, d):
     return metrics.top_reasons(T.results(spark, d), "failures", 3)
 
 
-@query("SELECT call_id, round(sum(score * weight) / nullif(sum(weight), 0), 9) AS weighted_score FROM dims GROUP BY 1", True)
+@query("SELECT call_id, round(sum(score * weight) / nullif(sum(weight), 0), 9) AS weighted_score FROM dims GROUP BY 1", T.PRELUDE)
 def weighted_score(spark, d):
     return rubric.weighted_score(T.dims(spark, d), "call_id").select("call_id", F.round("weighted_score", 9).alias("weighted_score"))
 
@@ -240,7 +309,7 @@ def cost_totals(spark, d):
     return o.groupBy("model").agg(F.sum("cost").cast("decimal(28,2)").alias("cost"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("runs"))
 
 
-@query("SELECT seller_id, status, date_trunc('year', call_date)::DATE AS year, count(*) AS n, round(avg(overall_score), 9) AS mean_score FROM scored GROUP BY CUBE (seller_id, status, date_trunc('year', call_date)::DATE)", True)
+@query("SELECT seller_id, status, date_trunc('year', call_date)::DATE AS year, count(*) AS n, round(avg(overall_score), 9) AS mean_score FROM scored GROUP BY CUBE (seller_id, status, date_trunc('year', call_date)::DATE)", T.PRELUDE)
 def subtotals(spark, d):
     return metrics.performance_cube(T.scored_calls(spark, d).withColumn("year", period(F.col("call_date"), "year")), "overall_score", "seller_id", "status", "year")
 
@@ -260,7 +329,7 @@ def evaluator_confusion(spark, d):
 
 
 @query("""SELECT dimension, count(*) AS n, round(avg(abs(score - human_score)), 9) AS mae, round(avg(score - human_score), 9) AS bias, round(corr(score, human_score), 9) AS corr
-  FROM (SELECT call_id, dimension, avg(score) AS score, max(score) AS human_score FROM dims GROUP BY 1, 2) GROUP BY 1""", True)
+  FROM (SELECT call_id, dimension, avg(score) AS score, max(score) AS human_score FROM dims GROUP BY 1, 2) GROUP BY 1""", T.PRELUDE)
 def evaluator_quality(spark, d):
     by = T.dims(spark, d).groupBy("call_id", "dimension")
     pairs = evaluate.paired_scores(by.agg(F.avg("score").alias("score")), by.agg(F.max("score").alias("human_score")))
@@ -287,7 +356,7 @@ def rolling_score(spark, d):
     return rows.select("event_id", F.round("rolling", 9).alias("rolling"))
 
 
-@query("SELECT seller_id, round(regr_slope(overall_score, CAST(date_diff('day', DATE '1970-01-01', call_date) AS DOUBLE)), 5) + 0.0 AS slope, count(*) AS n FROM scored GROUP BY 1", True)
+@query("SELECT seller_id, round(regr_slope(overall_score, CAST(date_diff('day', DATE '1970-01-01', call_date) AS DOUBLE)), 5) + 0.0 AS slope, count(*) AS n FROM scored GROUP BY 1", T.PRELUDE)
 def trend_slope(spark, d):
     rows = metrics.slope(T.scored_calls(spark, d), "seller_id", "overall_score", "call_date")
     return rows.select("seller_id", (F.round("slope", 5) + 0.0).alias("slope"), "n")
@@ -298,13 +367,13 @@ def extreme_dims(spark, d):
     return metrics.extremes(T.table(spark, d, "part"), "p_brand", "p_retailprice", 3).select("p_brand", "p_partkey", "best_rank", "worst_rank")
 
 
-@query("SELECT * FROM (SELECT seller_id, call_id, row_number() OVER (PARTITION BY seller_id ORDER BY call_date DESC, call_id DESC) AS recency FROM calls) WHERE recency <= 5", True)
+@query("SELECT * FROM (SELECT seller_id, call_id, row_number() OVER (PARTITION BY seller_id ORDER BY call_date DESC, call_id DESC) AS recency FROM calls) WHERE recency <= 5", T.PRELUDE)
 def recent_calls(spark, d):
     return metrics.recent(T.calls(spark, d), "seller_id", [F.desc("call_date"), F.desc("call_id")], 5).select("seller_id", "call_id", "recency")
 
 
 @query("""SELECT seller_id, reason, count(DISTINCT call_id) AS calls FROM (SELECT seller_id, call_id, unnest(failures) AS reason FROM
-  (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY call_date DESC, call_id DESC) AS n FROM scored) WHERE n <= 10) GROUP BY 1, 2 HAVING count(DISTINCT call_id) >= 3""", True)
+  (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY call_date DESC, call_id DESC) AS n FROM scored) WHERE n <= 10) GROUP BY 1, 2 HAVING count(DISTINCT call_id) >= 3""", T.PRELUDE)
 def recurring_patterns(spark, d):
     return metrics.recurring(T.scored_calls(spark, d), "seller_id", [F.desc("call_date"), F.desc("call_id")], "failures", 10, 3)
 
@@ -345,14 +414,14 @@ def pending(spark, d):
     return state.pending(o, o.filter("o_orderstatus = 'P'")).select("analysis_key")
 
 
-@query("SELECT DISTINCT call_id, 'ANALYSIS_QUEUED' AS state, TIMESTAMP '2024-01-01 00:00:00' AS ts FROM calls WHERE call_id NOT IN (SELECT call_id FROM results)", True)
+@query("SELECT DISTINCT call_id, 'ANALYSIS_QUEUED' AS state, TIMESTAMP '2024-01-01 00:00:00' AS ts FROM calls WHERE call_id NOT IN (SELECT call_id FROM results)", T.PRELUDE)
 def enqueue(spark, d):
     calls = T.calls(spark, d).withColumn("analysis_key", F.col("call_id"))
     runs = T.results(spark, d).select(F.col("call_id").alias("analysis_key"))
     return state.enqueue(calls, runs, "2024-01-01 00:00:00").select("call_id", "state", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@query("SELECT call_id FROM calls EXCEPT SELECT call_id FROM results", True)
+@query("SELECT call_id FROM calls EXCEPT SELECT call_id FROM results", T.PRELUDE)
 def state_gap(spark, d):
     return state.state_gap(T.calls(spark, d), T.results(spark, d))
 
@@ -370,7 +439,7 @@ def mask_email(spark, d):
     return docs(spark, d).select("doc_id", F.sha2(mask_pii(F.col("text")), 256).alias("masked_sha256"))
 
 
-@query("SELECT call_id, overall_score < 12 AS low, status = 'F' AND value > 200000 AS costly FROM scored", True)
+@query("SELECT call_id, overall_score < 12 AS low, status = 'F' AND value > 200000 AS costly FROM scored", T.PRELUDE)
 def qualification_rules(spark, d):
     return analysis.apply_rules(T.scored_calls(spark, d), [("low", "overall_score < 12"), ("costly", "status = 'F' AND value > 200000")]).select("call_id", "low", "costly")
 

@@ -21,9 +21,13 @@ def dims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    who = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("__call")).agg(F.min("l_suppkey").alias("seller_id"), F.min("l_partkey").alias("product_id"))
-    rows = table(spark, sf_dir, "orders").join(who, F.col("o_orderkey") == F.col("__call"), "left")
-    return rows.select(F.col("o_orderkey").alias("call_id"), F.col("o_custkey").alias("customer_id"), "seller_id", "product_id", F.col("o_orderdate").cast("date").alias("call_date"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("quality"), F.col("o_totalprice").alias("value"))
+    who = {"seller_id": F.min("l_suppkey"), "product_id": F.min("l_partkey")}
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("__call")).agg(*(c.alias(n) for n, c in who.items()))
+    return _call_rows(table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("__call"), "left"))
+
+
+def _call_rows(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(F.col("o_orderkey").alias("call_id"), F.col("o_custkey").alias("customer_id"), "seller_id", "product_id", F.col("o_orderdate").cast("date").alias("call_date"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("quality"), F.col("o_totalprice").alias("value"), *more)
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +36,11 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calls(spark, sf_dir).join(results(spark, sf_dir), "call_id")
+    """Analysed calls with their results, from one aggregate over the lines."""
+    kind = F.concat("l_returnflag", "l_linestatus")
+    made = {"seller_id": F.min("l_suppkey"), "product_id": F.min("l_partkey"), "overall_score": F.avg("l_quantity"), "failures": F.array_sort(F.collect_set(F.when(F.col("l_quantity") < 10, kind)))}
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("__call")).agg(*(c.alias(n) for n, c in made.items()))
+    return _call_rows(table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("__call")), "overall_score", "failures")
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

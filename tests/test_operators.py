@@ -2,15 +2,20 @@
 
 import datetime as dt
 import json
+import subprocess
+import sys
 
 from pyspark.sql import functions as F
 
 from colloquy.functions.keys import analysis_key, artifact_key, artifact_role, mask_pii
 from colloquy.functions.validation import evidence_gaps, needs_review, parse_output
 from colloquy.operators import analysis, evaluate, ingest, metrics, privacy, rubric, state
-from colloquy.streaming.poll import MANIFEST, poll_once, registry
+from colloquy.plans import flow
+from colloquy.plans import registry as base
+from colloquy.streaming.poll import MANIFEST, poll_once, register_batch, registry
+from tests.conftest import ROOT
 
-GOOD = {"overall_score": 72.0, "opportunity_quality": "qualified", "call_status": "lost_by_closer", "confidence": 0.88, "strengths": [], "critical_failures": ["x"], "objections": [], "coaching_actions": [], "dimensions": [], "evidence": [], "requires_human_review": False}
+GOOD = {"overall_score": 41.0, "opportunity_quality": "unclear", "call_status": "follow_up", "confidence": 0.7, "strengths": [], "critical_failures": ["x"], "objections": [], "coaching_actions": [], "dimensions": [], "evidence": [], "requires_human_review": False}
 
 
 def values(df, *columns):
@@ -70,6 +75,72 @@ def test_poll_is_replay_safe(spark, tmp_path):
     assert values(registry(spark, args[2]), "external_file_id", "checksum") == [("1", "a"), ("2", "b"), ("2", "new"), ("3", "c")]
 
 
+def polled(spark, tmp_path, batches):
+    """External ids in the registry after polling: each batch is (name, ids, checkpoint)."""
+    t = dt.datetime(2024, 1, 1)
+    for name, ids, checkpoint in batches:
+        spark.createDataFrame([("d", i, t, i, "u", None, "n", "s") for i in ids], MANIFEST).write.parquet(f"{tmp_path}/in/{name}")
+        if checkpoint:
+            poll_once(spark, f"{tmp_path}/in/*", f"{tmp_path}/registry", f"{tmp_path}/{checkpoint}")
+    return [r[0] for r in values(registry(spark, f"{tmp_path}/registry"), "external_file_id")]
+
+
+def test_poll_after_two_batches_and_a_lost_checkpoint(spark, tmp_path):
+    assert polled(spark, tmp_path, [("one", "12", "ck"), ("two", "23", "ck"), ("three", "34", "lost")]) == ["1", "2", "3", "4"]
+
+
+def test_poll_of_new_files_only_with_a_new_checkpoint(spark, tmp_path):
+    assert polled(spark, tmp_path, [("one", "12", "ck"), ("two", "3", "ck")]) == ["1", "2", "3"]
+    spark.createDataFrame([("d", "9", dt.datetime(2024, 1, 1), "9", "u", None, "n", "s")], MANIFEST).write.parquet(f"{tmp_path}/other/new")
+    poll_once(spark, f"{tmp_path}/other/*", f"{tmp_path}/registry", f"{tmp_path}/new")
+    assert [r[0] for r in values(registry(spark, f"{tmp_path}/registry"), "external_file_id")] == ["1", "2", "3", "9"]
+
+
+def test_a_replayed_batch_replaces_itself(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    batch = spark.createDataFrame([("d", i, t, i, "u", None, "n", "s") for i in "12"], MANIFEST)
+    for run, number in (("a", 0), ("a", 0), ("b", 0), ("a", 1)):
+        register_batch(batch, f"{tmp_path}/r", "drive", run, number)
+    assert values(registry(spark, f"{tmp_path}/r"), "external_file_id", "run", "batch") == [("1", "a", 0), ("2", "a", 0)]
+
+
+def test_folders_of_any_depth_and_in_circles(spark):
+    deep = [(f"f{k}", f"f{k - 1}") for k in range(1, 300)]
+    rows = [("f0", None), *deep, ("x", "y"), ("y", "x"), ("z", "x"), ("self", "self"), ("lost", "nowhere"), ("f2", "f0")]
+    out = {(r.folder_id, r.depth): r.path for r in ingest.walk_folders(spark.createDataFrame(rows, "folder_id string, parent_id string"), "f0").collect()}
+    assert out["f0", 0] == "f0" and out["f299", 299].count("/") == 299 and out["f299", 298].count("/") == 298 and out["f2", 1] == "f0/f2"
+    assert {i for i, _ in out} == {f"f{k}" for k in range(300)}
+
+
+def test_artifacts_by_reference(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"12345")
+    [r] = ingest.artifact_reference(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    assert r.uri.endswith("a.bin") and r["size"] == 5 and r.modified_time and len(r) == 3
+
+
+def test_transcript_headers(spark):
+    rows = spark.createDataFrame([(1, 0, 5, "drive", "pt", "v1"), (1, 5, 9, "drive", "pt", "v2"), (2, None, None, None, None, None)], "call_id int, start int, end int, origin string, language string, version string")
+    assert values(ingest.transcript_headers(rows), "call_id", "starts", "ends", "language", "version", "mixed") == [(1, 0, 9, "pt", "v2", True), (2, None, None, None, None, False)]
+
+
+def test_flow_analyses_once_for_each_set_of_versions(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, "user", "hello, you?"), (1, 1, "assistant", "yes"), (2, 0, "user", None)], "call_id long, turn long, speaker string, text string")
+    count = lambda t: spark.read.parquet(f"{tmp_path}/{t}").count()
+    args = (str(tmp_path), "rubric-1", "prompt-1")
+    assert flow.analyse_new(spark, rows.filter("call_id = 1"), *args, "job-1", "2024-01-01").count() == 1
+    assert flow.analyse_new(spark, rows.filter("call_id = 1"), *args, "job-1", "2024-01-01").count() == 0
+    assert flow.analyse_new(spark, rows, *args, "job-2", "2024-01-02").count() == 1
+    assert (count("runs"), count("dimensions"), count("state_events"), count("evidence")) == (2, 20, 6, 3)
+    assert flow.analyse_new(spark, rows, str(tmp_path), "rubric-2", "prompt-1", "job-3", "2024-01-03").count() == 2
+    assert count("runs") == 4 and {r[0] for r in spark.read.parquet(f"{tmp_path}/state_events").select("state").collect()} == {"ANALYSIS_QUEUED", "ANALYZING", "NEEDS_REVIEW"}
+
+
+def test_entry_without_a_package_that_the_corpus_operators_need():
+    code = "import sys, warnings; warnings.simplefilter('ignore'); sys.modules['ahocorasick'] = None; import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op1') for k in e.queries()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert said.stdout.split() == [str(len(base.QUERIES)), "False"]
+
+
 def test_transcript_choice(spark):
     a = spark.createDataFrame([(1, "r", "recording", "u"), (1, "n", "notes", "u"), (2, "r", "recording", "u"), (3, "o", "other", "u"), (4, "t2", "transcript", "u"), (4, "t1", "transcript", "u")], "call_id int, artifact_id string, role string, uri string")
     assert values(ingest.pick_transcript(a), "call_id", "artifact_id") == [(1, "n"), (2, "r"), (4, "t1")]
