@@ -6,8 +6,6 @@ gives, so a text is never decoded just to find its words.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -17,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.sources.store import materialise, new_path, shared_dir  # noqa: F401
+
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Text bytes that are worked on at once inside a task; only a single longer text exceeds it.
 BLOCK_BYTES = 1 << 20
@@ -26,30 +26,6 @@ ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 BROADCAST_BYTES = 32 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a new temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="colloquy-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors. AQE sizes the files."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Delete the files behind a materialised table that nothing reads any more."""
     spark, folders = df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from colloquy.llm import bpe, chat, cotraining, decontaminate, language_id, line_dedup, near_dedup, quality_rules, token_counts, token_files
 
 QUERIES = {
@@ -16,11 +15,8 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_cotraining": cotraining.op10_cotraining,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op8_chat": chat.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 import corpus_pipeline
 from colloquy.llm import bpe, chat, common, cotraining, decontaminate, language_id, line_dedup, near_dedup, quality_rules, registry, token_counts, token_files
 from tests.llm import brute
@@ -480,4 +481,5 @@ def test_pipeline_on_empty_documents(spark, tmp_path):
 
 def test_registered():
     assert set(registry.ORACLES) <= set(registry.QUERIES) and all(isinstance(s, str) for s in registry.ORACLES.values())
-    assert {k.split("_")[0] for k in registry.QUERIES} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+    assert {k.split("_")[0] for k in registry.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {*registry.QUERIES, "pipeline"} <= set(entry.queries()) and set(registry.ORACLES) <= set(entry.oracle_sql())
