@@ -36,7 +36,7 @@ from colloquy.llm.memo import Memo
 
 WINDOW, COVER, SHORTEST = 8, 13, 5
 #: Bits of the table: for each benchmark window, and in all (powers of two; a full table takes 32 MB).
-BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 28
+BITS_EACH, LEAST_BITS, MOST_BITS = 1024, 1 << 23, 1 << 28
 #: Units of measure, time and money that become a placeholder (fixed values).
 UNITS = set("""mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams kilogram kilograms oz ounce ounces lb lbs
 pound pounds ton tons ml l liter liters litre litres gallon gallons cup cups s sec second seconds min minute minutes h hr hour hours day days
