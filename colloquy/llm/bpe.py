@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import blocks, prepare, texts_of, vocabulary
-from colloquy.llm.memo import MOST, Lists, Memo
+from colloquy.llm.memo import MOST, Lists, Memo, held
 
 #: How byte-level tokenizers split text: contractions, letters, numbers, other marks, white space.
 PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -39,7 +39,6 @@ UNUSUAL = [b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\xc2\x85", b
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The query's vocabulary.
 TOKENIZER = "byte_bpe_50k.json"
-_workers: dict[str, "Bpe"] = {}
 
 
 def byte_letters() -> list[str]:
@@ -192,7 +191,7 @@ def bpe_codes(docs: DataFrame, tokenizer: str, columns: str, make, id_col: str =
     schema = f"__id {docs.schema[id_col].dataType.simpleString()}, {columns}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _workers.get(tokenizer) or _workers.setdefault(tokenizer, Bpe(tokenizer))
+        bpe = held(f"bpe {tokenizer}", lambda: Bpe(tokenizer))
         for rows, raw, at in blocks(batches, "__text"):
             made = make(bpe, texts_of(raw, at))
             yield pa.RecordBatch.from_arrays([rows.column("__id"), *made.values()], ["__id", *made])
@@ -210,7 +209,7 @@ def bpe_decode(codes: DataFrame, tokenizer: str, id_col: str = "__id", ids_col:
     prepare(codes.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _workers.get(tokenizer) or _workers.setdefault(tokenizer, Bpe(tokenizer))
+        bpe = held(f"bpe {tokenizer}", lambda: Bpe(tokenizer))
         for batch in batches:
             texts = [bpe.decode(np.array(ids or [], np.int64)) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(texts, pa.string())], ["__id", "text"])

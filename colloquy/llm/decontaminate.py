@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from colloquy.llm.common import blocks, is_small, materialise, prepare, texts_of, window_hashes
-from colloquy.llm.memo import Memo
+from colloquy.llm.memo import MOST_WORDS, Memo, held
 
 WINDOW, COVER, SHORTEST = 8, 13, 5
 #: Bits of the table: for each benchmark window, and in all (powers of two; a full table takes 32 MB).
@@ -49,7 +49,6 @@ PLACEHOLDERS = {"number": "<number>", "unit": "<unit>", "name": "<name>"}
 AROUND = "!\"#&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LINE_START = b"\x01"
 PLAIN, NAME_IF_INSIDE, SLOT, NOTHING = 0, 1, 2, 3
-_workers: dict[str, "Canon"] = {}
 
 
 def canonical(word: str) -> tuple[str, int, str]:
@@ -94,9 +93,12 @@ class Canon:
     """Hashes and kinds of distinct words, remembered by the worker."""
 
     def __init__(self):
+        self.name = np.uint64(xxh64_intdigest(PLACEHOLDERS["name"]))
+        self.forget()
+
+    def forget(self) -> None:
         self.words, self.code, self.plain = Memo(), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.kind, self.stop = np.zeros(0, np.int8), np.zeros(0, bool)
-        self.name = np.uint64(xxh64_intdigest(PLACEHOLDERS["name"]))
 
     def scan(self, texts: list[bytes]) -> Scan:
         split = [(b"\x01 " + t.replace(b"\n", b" \x01 ")).split() for t in texts]
@@ -153,12 +155,12 @@ def windows(table: DataFrame, lengths: list[int] | None, bits: np.ndarray | None
     kind = table.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon = _workers.get("canon") or _workers.setdefault("canon", Canon())
+        canon = held("canon", Canon)
         layout, table_of = None, shared.value if shared else None
         mask = np.uint64(8 * len(table_of) - 1) if shared else None
         for part, raw, at in blocks(batches, "__text"):
-            if canon.words.full():
-                canon = _workers["canon"] = Canon()
+            if canon.words.full(MOST_WORDS):
+                canon.forget()
             layout = layout or pa.schema([("__id", part.schema.field("__id").type), ("length", pa.int64()), ("size", pa.int32()), ("pos", pa.int64()), ("form", pa.string()), ("h", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string())), ("exact", pa.bool_())])
             out = []
             scan = canon.scan(texts_of(raw, at))

@@ -8,6 +8,17 @@ import numpy as np
 
 #: Distinct strings, and their bytes, kept at once; beyond either the memory starts afresh, so a worker's memory is bounded.
 MOST, MOST_BYTES = 600_000, 32 << 20
+#: Words alone, where little is saved by remembering one.
+MOST_WORDS = 200_000
+_held: dict = {}
+
+
+def held(name: str, make):
+    """What this worker remembers for one operator, made anew when it turns to another: one operator's memory at a time."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
 
 
 class Memo(dict):
@@ -23,8 +34,12 @@ class Memo(dict):
         self.bytes += len(key)
         return n
 
-    def full(self) -> bool:
-        return len(self) > MOST or self.bytes > MOST_BYTES
+    def forget(self) -> None:
+        self.clear()
+        self.new, self.bytes = [], 0
+
+    def full(self, most: int = MOST) -> bool:
+        return len(self) > most or self.bytes > MOST_BYTES
 
     def rows(self, keys: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
@@ -37,7 +52,7 @@ class WordHashes:
         self.words, self.hashes = Memo(), np.zeros(0, np.uint64)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if self.words.full():
+        if self.words.full(MOST_WORDS):
             self.__init__()
         rows = self.words.rows(words)
         if new := self.words.new:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import GOLDEN, MIX_A, blocks, broadcast_if_small, discard, materialise, mix64, prepare, sized_semi_join, texts_of
-from colloquy.llm.memo import WordHashes
+from colloquy.llm.memo import WordHashes, held
 
 BANDS, ROWS = 42, 6
 #: Rows of a bucket that are numbered in one task.
@@ -49,12 +49,11 @@ PI_A, PI_B = np.uint32(0x7FEB352D), np.uint32(0x846CA68B)
 CACHED = 1 << 13
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
-_workers: dict[str, WordHashes] = {}
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(ascending distinct shingle hashes of each text, one after another; where each text's begin and the end)."""
-    known = _workers.get("words") or _workers.setdefault("words", WordHashes())
+    known = held("shingles", WordHashes)
     split = [t.split() for t in texts_of(FOLD[raw], at)]
     first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
     words = known.of([w for own in split for w in own])

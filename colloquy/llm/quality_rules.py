@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import GOLDEN, SPACE, blocks, materialise, mix64, prepare, texts_of, window_hashes
-from colloquy.llm.memo import Memo
+from colloquy.llm.memo import MOST_WORDS, Memo, held
 
 #: The forest's bounds: rows of the sample, trees a statistic, rows a tree, and levels (log2 of the latter).
 SAMPLE, TREES, TREE_ROWS, LEVELS = 8192, 64, 256, 8
@@ -38,7 +38,6 @@ MARKS = np.isin(np.arange(256), list(b"!?"))
 #: Code points begin at bytes that are no UTF-8 continuation.
 LEADS = (np.arange(256) & 0xC0) != 0x80
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_doubled"]
-_workers: dict[str, Memo] = {}
 
 
 def per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -93,9 +92,9 @@ def rule_counts(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     texts = texts_of(raw, at)
     split = [t.split() for t in texts]
     first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
-    known = _workers.get("words")
-    if known is None or known.full():
-        known = _workers["words"] = Memo()
+    known = held("rules", Memo)
+    if known.full(MOST_WORDS):
+        known.forget()
     words = known.rows([w for own in split for w in own])
     known.new.clear()
     solid = ~SPACE[raw]

@@ -29,12 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import blocks, prepare, texts_of, vocabulary
-from colloquy.llm.memo import Memo
+from colloquy.llm.memo import Memo, held
 
 MARK = "▁"
 #: What an unknown character costs below the lowest score (a fixed value of the library).
 UNKNOWN_PENALTY = 10.0
-_workers: dict[str, "UnigramCounter"] = {}
 
 
 def read_pieces(path: str) -> tuple[list[tuple[str, float]], int]:
@@ -106,7 +105,7 @@ def token_counts(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _workers.get(pieces) or _workers.setdefault(pieces, UnigramCounter(read_pieces(pieces)[0]))
+        counter = held(f"counts {pieces}", lambda: UnigramCounter(read_pieces(pieces)[0]))
         for rows, raw, at in blocks(batches, "__text"):
             yield pa.RecordBatch.from_arrays([rows.column("__id"), pa.array(counter.counts_of(texts_of(raw, at)), pa.int64())], ["__id", "n_tokens"])
 

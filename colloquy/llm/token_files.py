@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from colloquy.llm.common import blocks, materialise, new_path, prepare, texts_of, vocabulary
-from colloquy.llm.memo import MOST, Lists, Memo
+from colloquy.llm.memo import MOST, Lists, Memo, held
 
 #: Tokens of a block, unless one document has more.
 BLOCK_TOKENS = 1 << 18
@@ -44,7 +44,6 @@ TOGETHER = 64
 TOKENIZER = "word_bpe_49k.json"
 #: Ids between the two passes: 16 bits where they suffice, else 32.
 NARROW, WIDE = np.dtype("<u2"), np.dtype("<u4")
-_workers: dict[str, "Encoder"] = {}
 
 
 class Encoder:
@@ -123,7 +122,7 @@ def encode_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "d
     dtype = id_type(tokenizer, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _workers.get(tokenizer) or _workers.setdefault(tokenizer, Encoder(tokenizer))
+        encoder = held(f"ids {tokenizer}", lambda: Encoder(tokenizer))
         for rows, raw, at in blocks(batches, "__text"):
             ids, bounds = encoder.encode(texts_of(raw, at))
             out = [np.append(ids[a:b], dtype.type(end_id)).astype(dtype).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
