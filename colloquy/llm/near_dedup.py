@@ -210,15 +210,13 @@ def still_open(rows: DataFrame, labels: DataFrame, low: int) -> DataFrame:
 def bounds(sets: DataFrame, rows: DataFrame) -> DataFrame:
     """(__id, shared, rest, core, m0..m3) of the classes in ``rows``, for a bound on what two sets have in common.
 
-    Classes tied by chains of shared buckets or links are a cluster. shared: shingles of the class that another of its
+    Classes tied by chains of shared buckets are a cluster. shared: shingles of the class that another of its
     cluster has too. core: the number of shingles that at least half of the cluster has; m0..m3: the core's
     shingles that the class lacks, each as one of 256 bits; rest: shared ones outside the core.
     """
-    least = broadcast_if_small(materialise(rows.groupBy("key").agg(F.min("comp").alias("b")), "least"))
-    ties = rows.join(least, "key").select(F.col("comp").alias("a"), "b").filter("a <> b").distinct()
-    clusters = components(ties, "clusters")
-    own = rows.select(F.col("rep").alias("__id"), "comp").distinct().join(clusters, F.col("comp") == F.col("node"), "left").select("__id", F.coalesce("label", "comp").alias("label"))
-    some = materialise(sets.join(own, "__id").select("__id", "label", "shingles"), "tied")
+    least = broadcast_if_small(materialise(rows.groupBy("key").agg(F.min("rep").alias("b")), "least"))
+    ties = rows.join(least, "key").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct()
+    some = materialise(sets.join(components(ties, "clusters").select(F.col("node").alias("__id"), "label"), "__id").select("__id", "label", "shingles"), "tied")
     per_shingle = materialise(some.select("__id", "label", F.explode("shingles").alias("s")).groupBy("label", "s").agg(F.count(F.lit(1)).alias("many"), F.min("__id").alias("__id")), "tied-shingles")
     own = per_shingle.filter("many = 1").groupBy("__id").agg(F.count(F.lit(1)).alias("own"))
     sizes = some.groupBy("label").agg(F.count(F.lit(1)).alias("of"))
