@@ -479,6 +479,25 @@ def test_pipeline_on_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_pipeline_with_repeated_ids_and_nothing_to_learn_from(spark, tmp_path):
+    """Without labels and benchmark; rows of one id stay or go together, a null id stays, further columns pass."""
+    one, other = (" ".join(f"{w}{k}" for k in range(40)) for w in ("first", "second"))
+    rows = [(1, one), (1, one), (1, "short"), (2, f"{one} more"), (2, f"{one} more"), (None, one), (3, other), (4, None), (5, "")]
+    docs = frame(spark, rows).withColumns({c: F.lit(c) for c in ("__id", "row", "body", "shingles")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    marks(spark, []).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        assert now.columns == docs.columns
+    want = [(1, one), (1, one), (3, other), (None, one)]
+    assert sorted(((r.doc_id, r.text) for r in now.collect()), key=str) == sorted(want, key=str)
+    out = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(brute.bpe(want[:3], library("byte_bpe_50k.json")) + brute.bpe(want[3:], library("byte_bpe_50k.json")), key=str)
+
+
 def test_registered():
     assert set(registry.ORACLES) <= set(registry.QUERIES) and all(isinstance(s, str) for s in registry.ORACLES.values())
     assert {k.split("_")[0] for k in registry.QUERIES} == {f"op{n}" for n in range(1, 11)}
