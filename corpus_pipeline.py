@@ -1,4 +1,11 @@
-"""The corpus pipeline: named stages, each written as Parquet and read again for the next."""
+"""The corpus pipeline: named stages, each written as Parquet and read again for the next.
+
+Defined cases, each as in the stage's operator. A null text is empty; ``quality`` drops it, as it has no words.
+Rows that share an id are judged each by ``quality``, and are one document for ``lines``, ``near`` and ``decontaminate``: the
+latter two keep or drop them together. A null id is a document of its own that ``near`` and ``decontaminate`` keep. Equal texts of different ids
+leave the smallest id. Without labels only the base rules reject; without benchmark items nothing is contaminated; an
+empty table of documents gives no rows. Further columns, of any name, pass through all stages but the last, which has its own.
+"""
 
 from __future__ import annotations
 
