@@ -158,7 +158,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(links: DataFrame, name: str = "labels") -> DataFrame:
     """(node, label): the smallest node reachable over ``links`` (a, b), for nodes that have any."""
-    ways = materialise(links.union(links.select("b", "a")).distinct(), f"{name}-ways")
+    ways = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-ways")
     step = materialise(ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), name)
     while True:
         labels = step.select("node", "label")
