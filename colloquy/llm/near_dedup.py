@@ -8,8 +8,8 @@ of 6, a pair at similarity 0.8 shares no bucket with probability 3e-6.
 Classes. Documents with equal sets (a 128-bit sum over the set, and its size) are one class, stood for by
 its smallest id; only classes go on, so copies never meet in pairs.
 
-Links. Round 0 tests each class against the smallest class it shares a bucket with: one pair a class.
-What is linked becomes components. Then, while a bucket still holds classes of different components that
+Links. Round 0 tests each class against that of its buckets' smallest classes which it shares most buckets
+with: one pair a class. What is linked becomes components. Then, while a bucket still holds classes of different components that
 were not tested against each other, 4, 64, 1024, ... further classes of each such bucket are tested against
 those of other components. A bucket is left when all untested pairs in it lie within one component, so
 no link that a bucket shows is lost, and a group of near copies costs a few pairs for each member
@@ -246,7 +246,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     stands = classes.select(F.col("rep").alias("__id"), "f", "g")
     sets = materialise(sets.join(stands, ["__id", "f", "g"], "left_semi").dropDuplicates(["__id"]) if repeated else sets, "sets")
 
-    nearest = buckets.groupBy("rep").agg(F.min("low").alias("b"), F.min("n").alias("na")).filter("b < rep").withColumnRenamed("rep", "a")
+    lower = buckets.filter("low < rep").repartition("rep")  # a class has ``bands`` rows at most; both aggregates keep this partitioning
+    nearest = lower.groupBy("rep", "low").agg(F.count(F.lit(1)).alias("shares"), F.min("n").alias("na")).groupBy("rep").agg(F.max(F.struct("shares", "low", "na")).alias("x"))
+    nearest = nearest.select(F.col("rep").alias("a"), F.col("x.low").alias("b"), "x.na")
     nearest = nearest.join(classes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
     links = materialise(similar(nearest, sets, percent), "links")
     labels = components(links)

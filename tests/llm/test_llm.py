@@ -311,6 +311,11 @@ def test_near_duplicates(spark, docs, rows, size, empty):
     assert near_dedup.near_duplicates(empty, size).count() == 0
 
 
+def test_components_take_links_by_name(spark):
+    links = spark.createDataFrame([(2, 1), (3, 2), (9, 7)], "b long, a long")
+    assert {tuple(r) for r in near_dedup.components(links).select("node", "label").collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)}
+
+
 def test_near_duplicates_of_an_absent_text(spark):
     """A group whose members are tied by chains or only look alike: the bounds may not lose a link."""
     draw, text = random.Random(5), [f"w{k}" for k in range(120)]
