@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import bpe, chat, cotraining, decontaminate, language_id, line_dedup, near_dedup, quality_rules, token_counts, token_files
+from colloquy.llm import bpe, chat, cotraining, decontaminate, fill_middle, language_id, line_dedup, near_dedup, quality_rules, token_counts, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_cotraining": cotraining.op10_cotraining,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
 }
 ORACLES = {
     "op8_chat": chat.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op11_fill_middle": fill_middle.ORACLE,
 }
