@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import bpe, chat, cotraining, decontaminate, fill_middle, language_id, line_dedup, near_dedup, quality_rules, token_counts, token_files
+from colloquy.llm import bpe, centroid_clusters, chat, cotraining, decontaminate, fill_middle, language_id, line_dedup, near_dedup, quality_rules, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -16,9 +16,12 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_cotraining": cotraining.op10_cotraining,
     "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_toxicity": toxicity.op12_toxicity,
+    "op13_centroid_clusters": centroid_clusters.op13_centroid_clusters,
 }
 ORACLES = {
     "op8_chat": chat.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op11_fill_middle": fill_middle.ORACLE,
+    "op13_centroid_clusters": centroid_clusters.ORACLE,
 }
