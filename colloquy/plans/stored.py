@@ -8,6 +8,7 @@ from colloquy.plans.base import registering
 from colloquy.sources import tables as T
 from colloquy.sources.commits import CommitLog, new_keys
 from colloquy.sources.store import new_path
+from colloquy.streaming import changes
 
 QUERIES, ORACLES = {}, {}
 query = registering(QUERIES, ORACLES)
@@ -48,3 +49,19 @@ def retention_deletes(spark, d):
     log.expire({"calls": F.col("call_date") < F.lit("1996-06-01").cast("date")}, "retention")
     left = spark.read.schema(log.schemas["calls"]).option("recursiveFileLookup", "true").parquet(f"{path}/calls")  # all that storage holds
     return left.select("call_id", "call_date", "status")
+
+
+@query("""SELECT source, file_id, checksum FROM (SELECT c_nationkey AS source, o_custkey AS file_id, 'v' || max(o_orderkey) FILTER (WHERE n = 1) AS checksum, bool_or(o_orderstatus = 'P') FILTER (WHERE n = 1) AS gone FROM
+  (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders JOIN customer ON c_custkey = o_custkey) GROUP BY 1, 2) WHERE NOT gone""")
+def change_cursors(spark, d):
+    """A feed of pages (an order changes its customer's file; one in state P removes it), a source a nation, followed in two goes; what it leaves."""
+    root, log, checkpoint = (new_path(spark, name) for name in ("feed", "change-log", "feed-offsets"))
+    rows = T.table(spark, d, "orders").join(T.table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey"))
+    place = F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")).cast("long") * 10**10 + F.col("o_orderkey")
+    change = F.struct(F.col("o_custkey").cast("string").alias("file_id"), (F.col("o_orderstatus") == "P").alias("removed"), F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("checksum"), place.alias("position"))
+    pages = rows.select(F.col("c_nationkey").cast("string").alias("source"), F.year("o_orderdate").cast("string").alias("cursor"), F.to_json(change).alias("value")).repartition("source", "cursor")
+    for part in ("cursor < '1995'", "cursor >= '1995'"):
+        pages.filter(part).write.mode("append").partitionBy("source", "cursor").text(root)
+        changes.follow_changes(spark, root, log, checkpoint)
+    files = changes.current_files(changes.change_log(spark, log).read("changes"))
+    return files.select(F.col("source").cast("int").alias("source"), F.col("file_id").cast("long").alias("file_id"), "checksum")
