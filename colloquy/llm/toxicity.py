@@ -23,8 +23,10 @@ each learns the label of that id; equal texts count once, as toxic if one is; a
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,10 @@ INNER = "*@$'’"
 QUOTES = '"“”„«»'
 REPORT = "said says say saying called calls call calling named quote quoted quotes wrote writes word words term terms phrase slur insult insults reported according sagte sagt nannte genannt wort wörter zitat schrieb dit disait appelé mot mots terme citation écrit dijo dice llamó palabra palabras término cita escribió".split()
 ADDRESS = "you your yours youre u ur yourself du dich dir dein deine ihr euch tu toi te ton ta tes vous votre tú ti tus usted ustedes eres".split()
-FEATURES = 7
+FEATURES = 8
+#: Kinds of matches are uses with 0, 1 and 2 errors, and mentions; what each counts beside an exact use, before the fit has seen how far it can be trusted.
+MENTION = 3
+DISCOUNTS = np.array([1.0, 0.8, 0.6, 1.0])
 
 
 def character_table() -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +236,9 @@ class Scorer:
         self.sides = np.array([1] * len(REPORT) + [-1] * len(ADDRESS) + [0], np.int64)
 
     def features(self, words: Words) -> np.ndarray:
-        """For each text: summed weights of distinct terms used with 0, 1 and 2 errors and of those mentioned, distinct terms used, density of exact ones, terms with errors."""
+        """For each text the logs of summed weights of distinct terms, their number, and all matches a hundred words (uses, with errors at a discount); how much
+        of each is due to matches with errors, and of the weights to those with two; and the weights of mentions.
+        """
         n = len(words.first) - 1
         out = np.zeros((n, FEATURES))
         if not len(self.weights) or not len(words.starts):
@@ -241,16 +248,22 @@ class Scorer:
         if not len(hits):
             return out
         cues = self.sides[self.cues.match(words)[0]]
-        kind = np.where(mentions(words, hits, cues), 3, errors[hits])
+        kind = np.where(mentions(words, hits, cues), MENTION, errors[hits])
         text = np.searchsorted(words.first, hits, "right") - 1
         keys = np.unique((text * 4 + kind) * len(self.weights) + term[hits])  # a term counts once for each kind
         own, group = keys % len(self.weights), keys // len(self.weights)
-        np.add.at(out, (group // 4, group % 4), self.weights[own])
-        np.add.at(out[:, 4], group[group % 4 == 0] // 4, 1)
-        np.add.at(out[:, 5], text[kind == 0], 1)
-        np.add.at(out[:, 6], group[(group % 4 == 1) | (group % 4 == 2)] // 4, 1)
-        out[:, 5] *= 100 / np.maximum(np.diff(words.first), 1)
-        return np.log1p(out)
+        sums = np.zeros((3, n, 4))  # weights, distinct terms and matches, by kind
+        np.add.at(sums[0], (group // 4, group % 4), self.weights[own])
+        np.add.at(sums[1], (group // 4, group % 4), 1)
+        np.add.at(sums[2], (text, kind), 1)
+        sums[2] *= 100 / np.maximum(np.diff(words.first), 1)[:, None]
+        sums *= DISCOUNTS
+        with_errors = np.log1p(np.cumsum(sums, axis=2))[:, :, :3]  # exact ones, then those with up to 1 and 2 errors too
+        out[:, :3] = with_errors[:, :, 2].T
+        out[:, 3:6] = (with_errors[:, :, 2] - with_errors[:, :, 0]).T
+        out[:, 6] = with_errors[0, :, 2] - with_errors[0, :, 1]
+        out[:, 7] = np.log1p(sums[0, :, MENTION])
+        return out
 
 
 @dataclass
@@ -261,6 +274,11 @@ class Model:
     share: float
 
 
+def own_name(model: object) -> str:
+    """What a worker remembers this model's automata by: another model, in a later job of the same worker, has another name."""
+    return f"toxicity-{sha256(pickle.dumps(model)).hexdigest()}"
+
+
 def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -301,14 +319,22 @@ def word_counts(sample: DataFrame) -> DataFrame:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last coefficient is the intercept."""
+    """Ridge logistic regression by Newton steps, each halved until the loss falls; the last coefficient is the intercept."""
     x = np.column_stack([x, np.ones(len(x))])
     beta, keep = np.zeros(x.shape[1]), np.array([RIDGE] * (x.shape[1] - 1) + [1e-6])
-    for _ in range(50):
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + (keep * b * b).sum() / 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (weight * (p - y)) + keep * beta)
-        beta = beta - step
-        if np.abs(step).max() < 1e-8:
+        share, before = 1.0, loss(beta)
+        while share > 1e-6 and loss(beta - share * step) > before:
+            share /= 2
+        beta = beta - share * step
+        if np.abs(share * step).max() < 1e-8 or share <= 1e-6:
             break
     return beta
 
@@ -337,8 +363,10 @@ def fit(rows: DataFrame, labels: DataFrame) -> Model:
         weights = term_weights(held1.sum(1) - held1[:, f], held0.sum(1) - held0[:, f], n1.sum() - n1[f], n0.sum() - n0[f])
         lexicons.append(([w for w, x in zip(words, weights, strict=True) if x > 0], weights[weights > 0]))
 
+    name = own_name(lexicons)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers = held("toxicity-folds", lambda: [Scorer(*own) for own in lexicons])
+        scorers = held(name, lambda: [Scorer(*own) for own in lexicons])
         for part, raw, at in blocks(batches, "__text"):
             read, fold = words_of(raw, at), part.column("fold").to_numpy()
             x = np.zeros((len(part), FEATURES))
@@ -360,9 +388,10 @@ def fit(rows: DataFrame, labels: DataFrame) -> Model:
 
 def scored(rows: DataFrame, model: Model) -> DataFrame:
     """(__id, score) of each row of ``rows`` (__id, __text)."""
+    name = own_name(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = held(f"toxicity-{hash(tuple(model.terms))}", lambda: Scorer(model.terms, np.array(model.weights)))
+        scorer = held(name, lambda: Scorer(model.terms, np.array(model.weights)))
         for part, raw, at in blocks(batches, "__text"):
             if model.coefficients:
                 x = scorer.features(words_of(raw, at)) @ np.array(model.coefficients[:-1]) + model.coefficients[-1]

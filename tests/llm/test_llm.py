@@ -505,5 +505,5 @@ def test_pipeline_with_repeated_ids_and_nothing_to_learn_from(spark, tmp_path):
 
 def test_registered():
     assert set(registry.ORACLES) <= set(registry.QUERIES) and all(isinstance(s, str) for s in registry.ORACLES.values())
-    assert {k.split("_")[0] for k in registry.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {k.split("_")[0] for k in registry.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert {*registry.QUERIES, "pipeline"} <= set(entry.queries()) and set(registry.ORACLES) <= set(entry.oracle_sql())
