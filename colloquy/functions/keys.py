@@ -25,6 +25,12 @@ def analysis_key(call_id: Column, transcript: Column, rubric: Column, prompt: Co
     return stable_key(call_id, transcript, rubric, prompt, model, F.lit(0) if again is None else again)
 
 
+def natural_order(version: Column) -> Column:
+    """What versions sort by when the numbers in them count as numbers: v9 before v10."""
+    pieces = F.regexp_extract_all(version.cast("string"), F.lit(r"\d+|\D+"), F.lit(0))
+    return F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.ltrim(p, F.lit("0")), 40, "0")).otherwise(p))
+
+
 def period(ts: Column, unit: str = "month") -> Column:
     return F.date_trunc(unit, ts).cast("date")
 

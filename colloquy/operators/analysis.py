@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.ranges import windowed
 from colloquy.operators.ingest import spoken
 from colloquy.operators.rubric import CORE_DIMENSIONS
 
@@ -129,9 +130,9 @@ def current_runs(runs: DataFrame, keys: list[str], *latest: Column) -> DataFrame
 
 
 def run_history(runs: DataFrame, keys: list[str], order: list[Column], score: str) -> DataFrame:
-    """All runs with their number and the change of the score from the run before."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return runs.withColumn("run_number", F.row_number().over(w).cast("long")).withColumn("delta", F.col(score) - F.lag(score).over(w))
+    """All runs with their number and the change of the score from the run before; ``order`` must be total."""
+    out = windowed(runs, keys, order, {"delta": lambda w: F.col(score) - F.lag(score).over(w)}, before=1, number="run_number")
+    return out.select(*runs.columns, F.col("run_number").cast("long").alias("run_number"), "delta")
 
 
 def json_history(runs: DataFrame) -> DataFrame:

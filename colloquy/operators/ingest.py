@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.keys import artifact_key, artifact_version
-from colloquy.sources.store import materialise
+from colloquy.functions.keys import artifact_key, artifact_version, natural_order
+from colloquy.operators.folders import walk_folders  # noqa: F401
 
 PRIORITY = {"transcript": 1, "notes": 2, "recording": 3}
 
@@ -95,12 +95,15 @@ def transcript_counts(segments: DataFrame, call: str = "call_id") -> DataFrame:
 def transcript_headers(segments: DataFrame, call: str = "call_id") -> DataFrame:
     """One row a call: from when to when it was spoken, and the transcript's origin, language and version, as far as segments have them.
 
-    Where segments of a call differ in one of these, the last of them in order stands, and ``mixed`` says so.
+    Where segments of a call differ in one of these, that of the last one in order (start, turn, then version as numbers) stands, and ``mixed`` says so.
+    Segments without a start or turn come first; a null stands only where no segment has a value.
     """
     there = [c for c in ("origin", "language", "version") if c in segments.columns]
     times = [f.alias(n) for n, f, c in (("starts", F.min("start"), "start"), ("ends", F.max("end"), "end")) if c in segments.columns]
     mixed = reduce(lambda a, b: a | b, (~F.min(c).eqNullSafe(F.max(c)) for c in there), F.lit(False))
-    return segments.groupBy(call).agg(*times, *(F.max(c).alias(c) for c in there), mixed.alias("mixed"))
+    order = [F.col(c) for c in ("start", "turn") if c in segments.columns] + [natural_order(F.col("version"))] * ("version" in there)
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c)))).alias(c)
+    return segments.groupBy(call).agg(*times, *(last(c) for c in there), mixed.alias("mixed"))
 
 
 def transcript_digests(segments: DataFrame, call: str = "call_id") -> DataFrame:
@@ -149,27 +152,6 @@ def export_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
-def walk_folders(folders: DataFrame, root: str) -> DataFrame:
-    """(folder_id, depth, path) of ``root`` and all below it, over (folder_id, parent_id).
-
-    Every folder holds a way up and its length; in each round the way doubles, so a tree of any depth takes a number of
-    rounds in its logarithm. A way that is not at the root after that goes in a circle, or leads to another top, and is left out. A
-    folder with several parents has a row for each path.
-    """
-    top = F.col("folder_id") == root
-    below = folders.filter(~top & F.col("parent_id").isNotNull()).select("folder_id", F.col("parent_id").alias("up"), F.lit(1).alias("depth"), F.col("folder_id").cast("string").alias("path")).distinct()
-    ways = materialise(folders.filter(top).select("folder_id").distinct().withColumns({"up": F.lit(None).cast(below.schema["up"].dataType), "depth": F.lit(0), "path": F.col("folder_id").cast("string")}).unionByName(below), "folders")
-    for _ in range(ways.count().bit_length() + 1):
-        open_ = ways.filter("up IS NOT NULL")
-        if open_.isEmpty():
-            break
-        higher = ways.select(F.col("folder_id").alias("__at"), F.col("up").alias("__up"), F.col("depth").alias("__depth"), F.col("path").alias("__path"))
-        longer = open_.join(higher, F.col("up") == F.col("__at")).select("folder_id", F.col("__up").alias("up"), (F.col("depth") + F.col("__depth")).alias("depth"), F.concat("__path", F.lit("/"), "path").alias("path"))
-        circle = F.col("up").isNotNull() & (F.col("up") == F.col("folder_id"))
-        ways = materialise(ways.filter("up IS NULL").unionByName(longer.filter(~circle)), "folders")
-    return ways.filter("up IS NULL").select("folder_id", "depth", "path")
-
-
 def resolve_seller(calls: DataFrame, aliases: DataFrame, alias: str = "alias") -> DataFrame:
     """``seller_id`` of the location, else of a known alias that means one seller; ``needs_review`` where neither is."""
     clean = F.lower(F.trim(F.col(alias)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.ranges import windowed
+
 
 def apply_filters(df: DataFrame, seller=None, product=None, team=None, start=None, end=None) -> DataFrame:
     """Those of the filters that are given; the period is from ``start`` to before ``end``."""
@@ -45,9 +47,8 @@ def top_reasons(df: DataFrame, reason: str, k: int) -> DataFrame:
 
 
 def trend(df: DataFrame, key: str, order: list[Column], score: str, rows: int = 5) -> DataFrame:
-    """Rolling mean of the last ``rows`` scores."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - rows, 0)
-    return df.withColumn("rolling", F.avg(score).over(w))
+    """Rolling mean of the last ``rows`` scores; ``order`` must be total."""
+    return windowed(df, [key], order, {"rolling": lambda w: F.avg(score).over(w.rowsBetween(1 - rows, 0))}, before=rows - 1)
 
 
 def slope(df: DataFrame, key: str, score: str, day: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions.keys import natural_order
+
 #: The global dimensions of a call (fixed values).
 CORE_DIMENSIONS = ["opening", "discovery", "qualification", "diagnosis", "value", "offer", "objections", "closing", "next_steps", "process"]
 
@@ -32,7 +34,7 @@ def weighted_score(dims: DataFrame, *keys: str) -> DataFrame:
 
 
 def resolve_versions(calls: DataFrame, versions: DataFrame, what: str = "rubric", key: str = "product_id", pinned: str = "pinned_version") -> DataFrame:
-    """Calls with the version of a rubric, or of a prompt, to use (``<what>_version``): a pinned one, else the latest active one of the call's ``key``."""
-    latest = versions.filter("active").groupBy(F.col(key).alias("__key")).agg(F.max("version").alias("__version"))
+    """Calls with the version of a rubric, or of a prompt, to use (``<what>_version``): a pinned one, else the latest active one of the call's ``key`` (v10 is later than v9)."""
+    latest = versions.filter("active").groupBy(F.col(key).alias("__key")).agg(F.max_by("version", natural_order(F.col("version"))).alias("__version"))
     out = calls.join(latest, F.col(key) == F.col("__key"), "left")
     return out.withColumn(f"{what}_version", F.coalesce(pinned, "__version")).drop("__key", "__version")

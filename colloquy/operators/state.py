@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.functions.ranges import windowed
+
 #: The states of a call (fixed values).
 STATES = ["DISCOVERED", "METADATA_READY", "TRANSCRIPT_READY", "ANALYSIS_QUEUED", "ANALYZING", "ANALYZED", "BLOCKED", "NEEDS_REVIEW", "FAILED_RETRYABLE", "FAILED_PERMANENT"]
 FORWARD = STATES[:6]
@@ -24,7 +26,7 @@ def current_state(events: DataFrame, key: str = "call_id", state: str = "state",
 
 
 def with_previous(events: DataFrame, key: str = "call_id", state: str = "state", ts: str = "ts", seq: str = "seq") -> DataFrame:
-    return events.withColumn("previous", F.lag(state).over(Window.partitionBy(key).orderBy(ts, seq)))
+    return windowed(events, [key], [F.col(ts), F.col(seq)], {"previous": lambda w: F.lag(state).over(w)}, before=1)
 
 
 def illegal_transitions(spark: SparkSession, events: DataFrame, allowed: list[tuple[str, str]] | None = None, first: str = "DISCOVERED", **cols) -> DataFrame:
@@ -39,9 +41,9 @@ def illegal_transitions(spark: SparkSession, events: DataFrame, allowed: list[tu
 
 def dwell(events: DataFrame, key: str = "call_id", state: str = "state", ts: str = "ts", seq: str = "seq") -> DataFrame:
     """Seconds in each state that has ended."""
-    after = F.lead(ts).over(Window.partitionBy(key).orderBy(ts, seq))
-    seconds = F.unix_micros(after.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
-    return events.withColumn("seconds", seconds / 1e6).filter("seconds IS NOT NULL")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    seconds = lambda w: (micros(F.lead(ts).over(w)) - micros(F.col(ts))) / 1e6
+    return windowed(events, [key], [F.col(ts), F.col(seq)], {"seconds": seconds}, after=1).filter("seconds IS NOT NULL")
 
 
 def requeue(events: DataFrame, max_attempts: int = 3) -> DataFrame:
