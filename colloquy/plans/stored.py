@@ -1,9 +1,10 @@
-"""Queries on what jobs have stored: written and read through the commit log, the change feed and the registry."""
+"""Queries on what jobs store and look up again: the commit log, change feeds, folders, revised transcripts."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from colloquy.operators import excerpts, folders, revisions
 from colloquy.plans.base import registering
 from colloquy.sources import tables as T
 from colloquy.sources.commits import CommitLog, new_keys
@@ -65,3 +66,68 @@ def change_cursors(spark, d):
         changes.follow_changes(spark, root, log, checkpoint)
     files = changes.current_files(changes.change_log(spark, log).read("changes"))
     return files.select(F.col("source").cast("int").alias("source"), F.col("file_id").cast("long").alias("file_id"), "checksum")
+
+
+@query("""WITH place AS (SELECT n_nationkey AS n, n_regionkey AS r FROM nation),
+  tree AS (
+    SELECT 'all' AS folder_id, CAST(NULL AS VARCHAR) AS parent_id, ['all'] AS way
+    UNION ALL SELECT 'r' || r_regionkey, 'all', ['all', 'r' || r_regionkey] FROM region
+    UNION ALL SELECT 'n' || n, 'r' || r, ['all', 'r' || r, 'n' || n] FROM place
+    UNION ALL SELECT 's' || s_suppkey, 'r' || r, ['all', 'r' || r, 's' || s_suppkey] FROM supplier JOIN place ON n = s_nationkey
+    UNION ALL SELECT 'c' || c_custkey, 'n' || n, ['all', 'r' || r, 'n' || n, 'c' || c_custkey] FROM customer JOIN place ON n = c_nationkey),
+  labelled AS (SELECT *, row_number() OVER (ORDER BY way) - 1 AS pre FROM tree),
+  sizes AS (SELECT f, count(*) AS n FROM (SELECT unnest(way) AS f FROM tree) GROUP BY 1)
+  SELECT folder_id, parent_id, CAST(len(way) - 1 AS INTEGER) AS depth, pre, pre + n - 1 AS last FROM labelled JOIN sizes ON f = folder_id""")
+def folder_intervals(spark, d):
+    """Regions, nations and customers as folders; a supplier lies in its nation and its region, and each nation in its suppliers too, which makes circles."""
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    t = lambda n: T.table(spark, d, n)
+    placed = t("supplier").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
+    pairs = [
+        t("region").select(name("r", "r_regionkey"), F.lit("all")), t("nation").select(name("n", "n_nationkey"), name("r", "n_regionkey")), t("customer").select(name("c", "c_custkey"), name("n", "c_nationkey")),
+        placed.select(name("s", "s_suppkey"), name("n", "n_nationkey")), placed.select(name("s", "s_suppkey"), name("r", "n_regionkey")), placed.select(name("n", "n_nationkey"), name("s", "s_suppkey")),
+    ]
+    edges = pairs[0].toDF("folder_id", "parent_id")
+    for more in pairs[1:]:
+        edges = edges.union(more)
+    return folders.folder_tree(edges, "all")
+
+
+REVISED = """WITH rows AS (
+    SELECT conv_id AS call_id, turn, turn * 10 AS s, turn * 10 + 12 AS e, 9 AS v FROM conversations
+    UNION ALL SELECT conv_id, turn, turn * 10 + 4, turn * 10 + 7, 10 FROM conversations WHERE length(text) > 120
+    UNION ALL SELECT conv_id, turn, turn * 10 + 2, turn * 10 + 6, 2 FROM conversations WHERE role = 'user'
+    UNION ALL SELECT conv_id, turn, NULL, turn * 10 + 6, 10 FROM conversations WHERE length(text) < 60),
+  newest AS (SELECT call_id, max(v) AS v FROM rows GROUP BY 1),
+  ats AS (SELECT DISTINCT call_id, m FROM (SELECT call_id, unnest([s, e]) AS m FROM rows WHERE s < e)),
+  stands AS (SELECT a.call_id, a.m, max({'v': v, 's': s, 'e': e, 'turn': turn}) AS x FROM ats a LEFT JOIN rows r ON r.call_id = a.call_id AND r.s <= a.m AND a.m < r.e AND r.s < r.e GROUP BY 1, 2),
+  turns AS (SELECT call_id, m, x, lag(x) OVER w AS b FROM stands WINDOW w AS (PARTITION BY call_id ORDER BY m)),
+  pieces AS (SELECT call_id, m, x, lead(m) OVER (PARTITION BY call_id ORDER BY m) AS until FROM turns WHERE x.turn IS DISTINCT FROM b.turn OR x.v IS DISTINCT FROM b.v)
+"""
+
+
+@query(REVISED + """SELECT call_id, x.turn AS turn, 'v' || x.v AS version, m AS start, until AS end, x.s = m AND x.e = until AS whole FROM pieces WHERE x.turn IS NOT NULL
+  UNION ALL SELECT DISTINCT r.call_id, turn, 'v10', NULL, e, FALSE FROM rows r JOIN newest n ON n.call_id = r.call_id AND n.v = 10 WHERE s IS NULL""")
+def revised_transcript(spark, d):
+    """Turns as segments of revision v9 that overlap; v10 covers the middle of long ones, v2 is covered, and some of v10 have no start."""
+    c = T.table(spark, d, "conversations").select(F.col("conv_id").alias("call_id"), "turn", "role", "text")
+    ten = F.col("turn") * 10
+    part = lambda where, s, e, v: c.filter(where).select("call_id", "turn", (ten + s).alias("start"), (ten + e).alias("end"), F.lit(v).alias("version"))
+    rows = part("TRUE", 0, 12, "v9").unionByName(part("length(text) > 120", 4, 7, "v10")).unionByName(part("role = 'user'", 2, 6, "v2")).unionByName(part("length(text) < 60", F.lit(None).cast("int"), 6, "v10"))
+    return revisions.effective_segments(rows)
+
+
+@query("""WITH said AS (SELECT conv_id, turn, text, trim(regexp_replace(lower(substr(text, 3, 48)), '\\s+', ' ', 'g')) AS part, turn % 3 AS kind FROM conversations WHERE length(text) >= 60),
+  folded AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM conversations)
+  SELECT s.conv_id AS call_id, s.turn, kind, CASE WHEN kind < 2 THEN min(f.turn) END AS segment, CASE WHEN kind < 2 THEN CAST(kind AS INTEGER) END AS edits
+  FROM said s LEFT JOIN folded f ON f.conv_id = s.conv_id AND contains(f.t, s.part) GROUP BY s.conv_id, s.turn, kind""")
+def excerpts_located(spark, d):
+    """Excerpts without times: as they were said, with one letter changed, and backwards, which is found nowhere."""
+    c = T.segments(spark, d)
+    part = excerpts.folded(F.substring("text", 3, 48))
+    changed = F.concat(F.substring(part, 1, 20), F.lit("#"), F.substring(part, 22, 60))
+    kind = F.col("turn") % 3
+    evidence = c.filter("length(text) >= 60").select("call_id", "turn", kind.alias("kind"), F.when(kind == 0, part).when(kind == 1, changed).otherwise(F.reverse(part)).alias("excerpt"))
+    evidence = evidence.withColumn("evidence_id", F.col("call_id") * 1000000 + F.col("turn"))
+    out = excerpts.locate_excerpts(evidence, c)
+    return out.select("call_id", "turn", "kind", "segment", "edits")
