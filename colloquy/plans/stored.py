@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.operators import excerpts, folders, revisions
+from colloquy.operators import excerpts, folders, golden, revisions
 from colloquy.plans.base import registering
 from colloquy.sources import tables as T
 from colloquy.sources.commits import CommitLog, new_keys
-from colloquy.sources.store import new_path
+from colloquy.sources.store import materialise, new_path
 from colloquy.streaming import changes
 
 QUERIES, ORACLES = {}, {}
@@ -131,3 +131,29 @@ def excerpts_located(spark, d):
     evidence = evidence.withColumn("evidence_id", F.col("call_id") * 1000000 + F.col("turn"))
     out = excerpts.locate_excerpts(evidence, c)
     return out.select("call_id", "turn", "kind", "segment", "edits")
+
+
+@query(""", m AS (SELECT call_id, unnest([{'margin': 'seller', 'value': CAST(seller_id AS VARCHAR)}, {'margin': 'status', 'value': status}, {'margin': 'quality', 'value': quality}, {'margin': 'product', 'value': CAST(product_id AS VARCHAR)},
+    {'margin': 'clarity', 'value': CASE WHEN overall_score > 22 AND overall_score < 28 THEN 'ambiguous' ELSE 'clear' END}]) AS x FROM scored)
+  SELECT x.margin AS margin, x.value AS value, count(*) AS available, least(count(*), 3) AS wanted, TRUE AS met FROM m WHERE x.value IS NOT NULL GROUP BY 1, 2""", T.PRELUDE)
+def golden_margins(spark, d):
+    """How a golden set over closers, outcomes, opportunities, products and clear or ambiguous calls fills each of their values."""
+    calls = materialise(T.scored_calls(spark, d), "golden-calls")
+    clarity = F.when((F.col("overall_score") > 22) & (F.col("overall_score") < 28), "ambiguous").otherwise("clear")
+    strata = {"seller": F.col("seller_id"), "status": F.col("status"), "quality": F.col("quality"), "product": F.col("product_id"), "clarity": clarity}
+    return golden.margins_met(calls, "call_id", strata, 3, golden.golden_cover(calls, "call_id", strata, 3))
+
+
+@query(f""", each AS (
+    SELECT status, call_id, dimension, CAST(count(*) AS DOUBLE) AS m, sum(CAST(score AS DOUBLE)) AS s1, sum(CAST(score AS DOUBLE) * score) AS s2 FROM dims JOIN (SELECT call_id, status FROM calls) USING (call_id) GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+  drawn AS (SELECT *, 2 * (m * s2 - s1 * s1) / (m - 1) AS d, CASE WHEN r = 0 THEN 1 ELSE {" + ".join(f"(u >= {x})::INT" for x in golden.POISSON)} END AS w
+    FROM (SELECT *, CAST('0x' || md5('agreement|' || r || '|' || call_id || '|' || dimension)[1:8] AS BIGINT) AS u FROM each, (SELECT unnest(range(0, 41)) AS r))),
+  sums AS (SELECT status, r, count(*) AS units, sum(w * m) AS n, sum(w * s1) AS s1, sum(w * s2) AS s2, sum(w * d) AS d FROM drawn GROUP BY 1, 2),
+  alphas AS (SELECT status, r, units, n, 1 - (d / n) / (2 * (n * s2 - s1 * s1) / (n * (n - 1))) AS alpha FROM sums)
+  SELECT status, max(units) FILTER (WHERE r = 0) AS units, CAST(max(n) FILTER (WHERE r = 0) AS BIGINT) AS ratings, round(max(alpha) FILTER (WHERE r = 0), 6) + 0.0 AS alpha,
+    round(quantile_cont(alpha, 0.025) FILTER (WHERE r > 0), 6) + 0.0 AS low, round(quantile_cont(alpha, 0.975) FILTER (WHERE r > 0), 6) + 0.0 AS high FROM alphas GROUP BY 1""", T.PRELUDE)
+def agreement_with_uncertainty(spark, d):
+    """Lines of one call and dimension as scores of several raters, by the call's status: alpha and its bootstrap interval."""
+    ratings = T.dims(spark, d).join(T.calls(spark, d).select("call_id", "status"), "call_id")
+    out = golden.agreement_interval(ratings, ["call_id", "dimension"], "score", ["status"], replicates=40)
+    return out.withColumns({c: F.round(c, 6) + 0.0 for c in ("alpha", "low", "high")})
