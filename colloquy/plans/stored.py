@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.operators import excerpts, folders, golden, revisions
+from colloquy.operators import excerpts, folders, golden, patterns, revisions
 from colloquy.plans.base import registering
 from colloquy.sources import tables as T
 from colloquy.sources.commits import CommitLog, new_keys
@@ -157,3 +157,15 @@ def agreement_with_uncertainty(spark, d):
     ratings = T.dims(spark, d).join(T.calls(spark, d).select("call_id", "status"), "call_id")
     out = golden.agreement_interval(ratings, ["call_id", "dimension"], "score", ["status"], replicates=40)
     return out.withColumns({c: F.round(c, 6) + 0.0 for c in ("alpha", "low", "high")})
+
+
+@query(""", runs AS (SELECT seller_id, year(call_date) AS y, date_diff('day', DATE '1970-01-01', call_date) AS t, unnest(failures) AS f FROM scored),
+  p1 AS (SELECT seller_id, y, f AS pattern, min(t) AS at1 FROM runs GROUP BY 1, 2, 3),
+  p2 AS (SELECT p.seller_id, p.y, pattern || '>' || f AS pattern, min(t) AS at1 FROM p1 p JOIN runs r ON r.seller_id = p.seller_id AND r.y = p.y AND r.t > p.at1 GROUP BY 1, 2, 3),
+  p3 AS (SELECT p.seller_id, p.y, pattern || '>' || f AS pattern, min(t) AS at1 FROM p2 p JOIN runs r ON r.seller_id = p.seller_id AND r.y = p.y AND r.t > p.at1 GROUP BY 1, 2, 3)
+  SELECT seller_id, pattern, count(*) AS support FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) GROUP BY 1, 2 HAVING count(*) >= 4""", T.PRELUDE)
+def ordered_patterns(spark, d):
+    """Failures that follow one another in at least four of a seller's years."""
+    calls = T.scored_calls(spark, d).withColumn("year", F.year("call_date"))
+    out = patterns.frequent_patterns(calls, "seller_id", "year", F.datediff("call_date", F.lit("1970-01-01").cast("date")), "failures", 4)
+    return out.select("seller_id", F.array_join("pattern", ">").alias("pattern"), "support")
