@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.operators import excerpts, folders, golden, patterns, revisions
+from colloquy.operators import excerpts, folders, golden, names, patterns, revisions
 from colloquy.plans.base import registering
 from colloquy.sources import tables as T
 from colloquy.sources.commits import CommitLog, new_keys
@@ -169,3 +169,15 @@ def ordered_patterns(spark, d):
     calls = T.scored_calls(spark, d).withColumn("year", F.year("call_date"))
     out = patterns.frequent_patterns(calls, "seller_id", "year", F.datediff("call_date", F.lit("1970-01-01").cast("date")), "failures", 4)
     return out.select("seller_id", F.array_join("pattern", ">").alias("pattern"), "support")
+
+
+@query("""SELECT o_orderkey AS call_id, 'Call ' || o_orderkey || ': person-' || substr(sha256('key:s' || s_suppkey), 1, 10) || ' (' || c_nationkey || ') spoke to' || chr(10) || 'person-' || substr(sha256('key:c' || c_custkey), 1, 10) || ', twice.' AS text
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_nationkey = c_nationkey AND s_suppkey = (SELECT min(s_suppkey) FROM supplier x WHERE x.s_nationkey = c_nationkey)""")
+def masked_names(spark, d):
+    """Notes on calls that name a seller and a customer, whom the tables know."""
+    s, c = T.table(spark, d, "supplier"), T.table(spark, d, "customer")
+    first = s.groupBy(F.col("s_nationkey").alias("n")).agg(F.min_by(F.struct("s_name"), "s_suppkey").alias("s")).select("n", "s.*")
+    calls = T.table(spark, d, "orders").join(c, F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(first), F.col("n") == F.col("c_nationkey"))  # 25 nations
+    note = F.concat(F.lit("Call "), F.col("o_orderkey").cast("string"), F.lit(": "), F.upper("s_name"), F.lit(" ("), F.col("c_nationkey").cast("string"), F.lit(") spoke to\n"), "c_name", F.lit(", twice."))
+    people = s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("seller_id"), F.col("s_name").alias("name")).union(c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), "c_name"))
+    return names.mask_names(calls.select(F.col("o_orderkey").alias("call_id"), note.alias("text")), people, salt="key")

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,3 +42,19 @@ def read_or_empty(spark: SparkSession, path: str, schema: str, kind: str = "parq
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.range(0).selectExpr(*(f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in spark.createDataFrame([], schema).schema.fields))
+
+
+#: What a table may have at most to be broadcast, as counted by ``is_small``.
+BROADCAST_BYTES = 32 << 20
+
+
+def is_small(stored: DataFrame, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored table, counted in rows and the bytes of their strings and arrays (16 an item of an array), may be broadcast."""
+    wide = {"string": F.octet_length, "binary": F.octet_length}
+    sizes = [F.coalesce(wide[kind](c), F.lit(0)) if kind in wide else (64 if "struct" in kind or "string" in kind else 16) * F.greatest(F.size(c), F.lit(0)) if kind.startswith("array") else F.lit(16) for c, kind in stored.dtypes]
+    row = stored.agg(F.sum(sum(sizes, F.lit(16)).cast("long"))).first()
+    return (row[0] or 0) <= most_bytes
+
+
+def broadcast_if_small(stored: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    return F.broadcast(stored) if is_small(stored, most_bytes) else stored
