@@ -183,6 +183,16 @@ def joined_components(labels: DataFrame, ends: DataFrame) -> DataFrame:
     return out
 
 
+def clusters(ties: DataFrame) -> DataFrame:
+    """(node, label) over ``ties`` (a, b), of which a node has many: components of one tie a node first, then of what joins these."""
+    labels = components(ties.groupBy("a").agg(F.min("b").alias("b")), "clusters")
+    known = [labels.select(F.col("node").alias(f"__{c}"), F.col("label").alias(f"__l{c}")) for c in "ab"]
+    ends = ties.join(known[0], F.col("a") == F.col("__a"), "left").join(known[1], F.col("b") == F.col("__b"), "left")
+    ends = ends.select(F.coalesce("__la", "a").alias("a"), F.coalesce("__lb", "b").alias("b")).filter("a <> b").distinct()
+    ends = materialise(ends, "cluster-ends")
+    return labels if ends.isEmpty() else joined_components(labels, ends)
+
+
 def ranked(buckets: DataFrame) -> DataFrame:
     """``buckets`` (rep, n, key, low, many) with a number ``rank`` from 1 for each row of a key.
 
@@ -215,8 +225,9 @@ def bounds(sets: DataFrame, rows: DataFrame) -> DataFrame:
     shingles that the class lacks, each as one of 256 bits; rest: shared ones outside the core.
     """
     least = broadcast_if_small(materialise(rows.groupBy("key").agg(F.min("rep").alias("b")), "least"))
-    ties = rows.join(least, "key").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct()
-    some = materialise(sets.join(components(ties, "clusters").select(F.col("node").alias("__id"), "label"), "__id").select("__id", "label", "shingles"), "tied")
+    ties = materialise(rows.join(least, "key").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct(), "ties")
+    labels = clusters(ties)
+    some = materialise(sets.join(labels.select(F.col("node").alias("__id"), "label"), "__id").select("__id", "label", "shingles"), "tied")
     per_shingle = materialise(some.select("__id", "label", F.explode("shingles").alias("s")).groupBy("label", "s").agg(F.count(F.lit(1)).alias("many"), F.min("__id").alias("__id")), "tied-shingles")
     own = per_shingle.filter("many = 1").groupBy("__id").agg(F.count(F.lit(1)).alias("own"))
     sizes = some.groupBy("label").agg(F.count(F.lit(1)).alias("of"))

@@ -316,6 +316,13 @@ def test_components_take_links_by_name(spark):
     assert {tuple(r) for r in near_dedup.components(links).select("node", "label").collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)}
 
 
+def test_clusters_equal_components(spark):
+    draw = random.Random(12)
+    ties = [(a, draw.randrange(a)) for a in (draw.randrange(1, 400) for _ in range(260))] + [(500, 1), (500, 2), (501, 2), (501, 499)]
+    df = spark.createDataFrame(ties, "a long, b long").distinct()
+    assert got(near_dedup.clusters(df), "node", "label") == got(near_dedup.components(df), "node", "label")
+
+
 def test_near_duplicates_of_an_absent_text(spark):
     """A group whose members are tied by chains or only look alike: the bounds may not lose a link."""
     draw, text = random.Random(5), [f"w{k}" for k in range(120)]
