@@ -4,9 +4,11 @@ The text view sees the text's bytes alone: shares of hashed byte trigrams. The p
 source, language (or what columns are named) and the power of two of the length. Each is a naive Bayes model, whose
 weights follow from counts of fixed size, so every pass over the corpus adds to it whatever it is sure of.
 
-Both start from labelled rows. In each round the whole corpus is scored by both views; a document that one
-view is sure of, by its calibrated odds, is counted with that label in the other view, for as many documents
-as there are. Labelled rows set aside calibrate each view (Platt); a document's log odds are those of both views
+Both start from labelled rows. In each round both views score the whole corpus, and each teaches the other the unlabelled documents that it is
+surest of: of each class the share ``TAUGHT``, in proportion to the classes, with all that score as the last of these; where it begins is read from a
+histogram over all rows. What is taught weighs as much as the view is sure of it (its calibrated balanced odds, in ``LEVELS`` steps; a labelled row is one of full weight), so a view that
+knows little teaches, and does little harm. Labelled rows set aside calibrate each view (Platt), and a view that has learned something takes it on only if its loss on these rows falls; without that a view
+that knows little would spoil the other. It ends when neither view has learned anything. A document's log odds are those of both views
 less the prior's, which both contain. The threshold for ``kept`` is the score that best separates all labelled rows,
 over a histogram, at ``GOOD_COST`` (see quality_rules).
 
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import blocks, materialise, prepare
 from colloquy.llm.quality_rules import BINS, GOOD_COST, best_threshold
 
-LABELLED, ROUNDS, SURE = 4096, 3, 0.95
+LABELLED, ROUNDS, TAUGHT = 4096, 3, 0.05
+#: Steps of a pseudo-label's weight; bins of the balanced log odds, and where they end.
+LEVELS, ODDS_BINS, ODDS_END = 64, 1600, 8.0
 #: Weights of the views: hashed trigrams, hashed metadata values.
 TRIGRAMS, PAGE = 1 << 13, 1 << 18
 #: Trigram shares are counted in these units, so that their sums are exact.
@@ -97,6 +101,12 @@ class Model:
         self.text, self.page = text, page
         self.sure = self.odds = ((0.0, 0.0), (0.0, 0.0))
         self.prior = 0.0
+        #: By view, the bins from which on (up, or down) its documents are taught to the other, as good and as bad ones.
+        self.good_from, self.bad_to = [ODDS_BINS, ODDS_BINS], [-1, -1]
+        #: By view, the log loss of its calibrated odds on the rows set aside.
+        self.loss = [np.inf, np.inf]
+        #: By round, what the text view and the page view have taught: (good, bad).
+        self.taught: list[list[tuple[int, int]]] = []
 
     def scores(self, h: np.ndarray, ends: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Raw scores of the text view (mean weight of the trigrams) and of the page view (sum of its weights)."""
@@ -110,52 +120,91 @@ class Model:
     def of(counts: np.ndarray) -> "Model":
         """From counts (label, feature): trigram shares, metadata values, and at the end the documents of each view."""
         made = []
-        for part, n, usual in ((counts[:, :TRIGRAMS], counts[:, -2] * UNITS, UNITS / TRIGRAMS), (counts[:, TRIGRAMS:-2], counts[:, -1], 1.0)):
-            share = (part + usual) / (n + (UNITS if usual != 1.0 else 2))[:, None]
+        for part, n, usual, whole in ((counts[:, :TRIGRAMS], counts[:, -2] * (UNITS // LEVELS), UNITS / TRIGRAMS, UNITS), (counts[:, TRIGRAMS:-2], counts[:, -1], LEVELS, 2 * LEVELS)):
+            share = (part + usual) / (n + whole)[:, None]
             made.append(np.log(share[1]) - np.log(share[0]))
         return Model(*made)
 
+    def said(self, h: np.ndarray, ends: np.ndarray, page: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By view, (label, weight) of each document: -1 and 0 where the view does not teach it."""
+        out = []
+        for k, (score, (a, b)) in enumerate(zip(self.scores(h, ends, page), self.sure, strict=True)):
+            odds = score * a + b
+            bins = odds_bins(odds)
+            label = np.where((bins >= self.good_from[k]) & (odds > 0), 1, np.where((bins <= self.bad_to[k]) & (odds < 0), 0, -1))
+            weight = np.where(label >= 0, np.rint(LEVELS * np.abs(2 * sigmoid(odds) - 1)), 0).astype(np.int64)
+            out.append((np.where(weight > 0, label, -1), weight))
+        return out
+
+
+def odds_bins(odds: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((odds + ODDS_END) * (ODDS_BINS / (2 * ODDS_END))), 0, ODDS_BINS - 1).astype(np.int64)
+
+
+def set_limits(model: Model, rows: DataFrame, share_good: float) -> None:
+    """Where each view's surest documents begin, from a histogram over all unlabelled ``rows``."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, now = np.zeros(2 * ODDS_BINS, np.int64), shared.value
+        for part, raw, at in blocks(batches, "__text"):
+            for k, (score, (a, b)) in enumerate(zip(now.scores(*trigrams(raw, at), page_rows(part)), now.sure, strict=True)):
+                total += np.bincount(k * ODDS_BINS + odds_bins(score * a + b), minlength=2 * ODDS_BINS)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there])], ["bin", "n"])
+
+    histogram = np.zeros(2 * ODDS_BINS, np.int64)
+    for r in rows.filter("__good IS NULL").select("__text", "__page").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # two histograms
+        histogram[r["bin"]] = r["n"]
+    for k, own in enumerate(histogram.reshape(2, -1)):
+        most = TAUGHT * own.sum()
+        above, below = np.cumsum(own[::-1])[::-1], np.cumsum(own)
+        model.good_from[k] = int(np.flatnonzero(above >= most * share_good).max(initial=0)) if most else ODDS_BINS
+        model.bad_to[k] = int(np.flatnonzero(below >= most * (1 - share_good)).min(initial=ODDS_BINS)) if most else -1
+
 
 def page_rows(batch: pa.RecordBatch) -> np.ndarray:
     column = batch.column("__page")
     return column.flatten().to_numpy().reshape(len(batch), -1)
 
 
-def counted(rows: DataFrame, model: Model | None) -> np.ndarray:
-    """Counts (see Model.of) over ``rows`` (rows_of, and __good: 1, 0, null for unlabelled ones, which ``model`` judges)."""
+def counted(rows: DataFrame, model: Model | None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(counts (see Model.of) over ``rows`` (rows_of, and __good: 1, 0, null for unlabelled ones, which ``model`` judges), what each view taught)."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # TRIGRAMS + PAGE weights
     width = TRIGRAMS + PAGE + 2
-    limit = float(np.log(SURE / (1 - SURE)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, now = np.zeros((2, width), np.int64), shared.value
+        total, now = np.zeros((2, width + 2), np.int64), shared.value
         for part, raw, at in blocks(batches, "__text"):
             h, ends = trigrams(raw, at)
             page = page_rows(part)
-            good = part.column("__good").fill_null(-1).to_numpy()
-            labels = [good, good]  # what each view learns
+            good = part.column("__good").fill_null(-1).to_numpy().astype(np.int64)
+            full = np.where(good >= 0, LEVELS, 0)
+            learns = [(good, full), (good, full)]
             if now is not None:
-                judged = [a * s + b for (a, b), s in zip(now.sure, now.scores(h, ends, page), strict=True)]
-                said = [np.where(x >= limit, 1, np.where(x <= -limit, 0, -1)) for x in judged]
-                labels = [np.where(good >= 0, good, said[1]), np.where(good >= 0, good, said[0])]
+                said = now.said(h, ends, page)
+                learns = [(np.where(good >= 0, good, label), np.where(good >= 0, full, weight)) for label, weight in reversed(said)]  # each view learns what the other says
+                for k, (label, _) in enumerate(said):
+                    for x in (0, 1):
+                        total[x, width + k] += ((label == x) & (good < 0)).sum()
             sizes = np.diff(ends)
-            for k in (0, 1):
-                for label in (0, 1):
-                    took = np.flatnonzero(labels[k] == label)
-                    total[label, width - 2 + k] += len(took)
+            for k, (label, weight) in enumerate(learns):
+                for x in (0, 1):
+                    took = np.flatnonzero(label == x)
+                    total[x, width - 2 + k] += weight[took].sum()
                     if k:
-                        total[label, TRIGRAMS : width - 2] += np.bincount(page[took].reshape(-1), minlength=PAGE)
+                        total[x, TRIGRAMS : width - 2] += np.bincount(page[took].reshape(-1), np.repeat(weight[took], page.shape[1]), PAGE).astype(np.int64)
                     elif len(took):
-                        inside = np.repeat(labels[k] == label, sizes)
-                        units = np.repeat(np.rint(UNITS / np.maximum(sizes, 1)), sizes)
-                        total[label, :TRIGRAMS] += np.bincount(h[inside], units[inside], TRIGRAMS).astype(np.int64)
+                        inside = np.repeat(label == x, sizes)
+                        units = np.repeat(np.rint(UNITS // LEVELS * weight / np.maximum(sizes, 1)), sizes)
+                        total[x, :TRIGRAMS] += np.bincount(h[inside], units[inside], TRIGRAMS).astype(np.int64)
         label, feature = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.int64()), pa.array(feature, pa.int64()), pa.array(total[label, feature])], ["label", "feature", "n"])
 
-    out = np.zeros((2, width), np.int64)
+    out = np.zeros((2, width + 2), np.int64)
     got = rows.select("__text", "__page", "__good").mapInArrow(run, "label long, feature long, n long").groupBy("label", "feature").agg(F.sum("n").alias("n")).toArrow()
     out[got.column("label").to_numpy(), got.column("feature").to_numpy()] = got.column("n").to_numpy()
-    return out
+    return out[:, :width], [(int(good), int(bad)) for bad, good in out[:, width:].T]
 
 
 def raw_scores(rows: DataFrame, model: Model) -> DataFrame:
@@ -187,10 +236,22 @@ def calibrate(model: Model, apart: DataFrame) -> None:
     model.odds = tuple(platt(s, y) for s in views)
     share = (y.sum() + 1) / (len(y) + 2)
     model.prior = float(np.log(share / (1 - share)))
+    model.loss = [float(np.mean(np.logaddexp(0, np.where(y > 0.5, -1, 1) * (s * a + b)))) for s, (a, b) in zip(views, model.odds, strict=True)]
+
+
+def better(now: Model, new: Model) -> Model:
+    """Of each view the one with the smaller loss, with its calibration; ``now`` itself where both are its own."""
+    if new.loss[0] >= now.loss[0] and new.loss[1] >= now.loss[1]:
+        return now
+    from_new = [b < a for a, b in zip(now.loss, new.loss, strict=True)]
+    pick = lambda a, b: tuple(y if new_one else x for x, y, new_one in zip(a, b, from_new, strict=True))
+    out = Model(*pick((now.text, now.page), (new.text, new.page)))
+    out.sure, out.odds, out.loss, out.prior = pick(now.sure, new.sure), pick(now.odds, new.odds), list(pick(now.loss, new.loss)), now.prior
+    return out
 
 
-def fit(rows: DataFrame, marks: DataFrame) -> Model | None:
-    """The calibrated model after all rounds, from ``rows`` (see rows_of) and ``marks`` (__id, good)."""
+def fit(rows: DataFrame, marks: DataFrame, rounds: int = ROUNDS) -> Model | None:
+    """The calibrated model after ``rounds`` rounds, from ``rows`` (see rows_of) and ``marks`` (__id, good)."""
     ids = rows.select("__id").filter("__id IS NOT NULL").distinct()
     few = materialise(drawn(marks.join(ids, "__id", "left_semi"), LABELLED), "labelled")
     if few.agg(F.count_distinct("good").alias("n")).first()["n"] < 2:
@@ -202,13 +263,20 @@ def fit(rows: DataFrame, marks: DataFrame) -> Model | None:
     if min(t.agg(F.count_distinct("__good").alias("n")).first()["n"] for t in (teach, apart)) < 2:
         teach = apart = known
     everything = rows.join(label, same, "left").filter("__apart IS NULL OR NOT __apart") if apart is not known else rows.join(label, same, "left")
-    model = Model.of(counted(teach, None))
+    model = Model.of(counted(teach, None)[0])
     calibrate(model, apart)
-    for _ in range(ROUNDS):
-        model, last = Model.of(counted(everything, model)), model
-        calibrate(model, apart)
-        if np.array_equal(model.text, last.text) and np.array_equal(model.page, last.page):
+    share_good = float(few.agg(F.avg("good")).first()[0])
+    taught = []
+    for _ in range(rounds):
+        set_limits(model, everything, share_good)
+        counts, said = counted(everything, model)
+        taught.append(said)
+        new, last = Model.of(counts), model
+        calibrate(new, apart)
+        model = better(model, new)
+        if model is last:
             break
+    model.taught = taught
     return model
 
 
