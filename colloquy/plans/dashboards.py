@@ -8,9 +8,10 @@ from colloquy.functions.keys import analysis_key, period
 from colloquy.functions.validation import OUTPUT, evidence_gaps, needs_review, parse_output
 from colloquy.operators import analysis, detail, ingest, metrics, state
 from colloquy.operators.rubric import CORE_DIMENSIONS
+from colloquy.plans import flow
 from colloquy.plans.base import registering
 from colloquy.sources import tables as T
-from colloquy.sources.store import materialise
+from colloquy.sources.store import materialise, new_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -281,3 +282,32 @@ def da6_status(spark, d):
 def da7_errors(spark, d):
     now = state.current_state(T.table(spark, d, "events"), "user_id", "event_type", "ts", "event_id")
     return now.filter(F.col("state").isin("error")).select("user_id", "since")
+
+
+@query(""", now AS (SELECT a.call_id, o_orderstatus = 'F' AS again, o_orderkey IS NOT NULL AS known FROM answers a LEFT JOIN orders ON o_orderkey = a.call_id)
+  SELECT n.call_id, seller_id, product_id, call_date, CASE WHEN coalesce(again, FALSE) THEN 'rubric-2' ELSE 'rubric-1' END AS rubric_version, 'prompt-1' AS prompt_version, model_version, CASE WHEN coalesce(again, FALSE) THEN 2 ELSE 1 END AS runs,
+    overall_score, e.n AS evidence, o.n AS stored_objections, 10 AS dimensions, quality AS human_quality
+  FROM now n JOIN answers a ON a.call_id = n.call_id LEFT JOIN (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS call_date, s.seller_id, s.product_id FROM orders LEFT JOIN (SELECT l_orderkey, min(l_suppkey) AS seller_id, min(l_partkey) AS product_id FROM lineitem GROUP BY 1) s ON l_orderkey = o_orderkey) c ON c.o_orderkey = n.call_id
+  LEFT JOIN (SELECT call_id, count(*) AS n FROM evidence GROUP BY 1) e ON e.call_id = n.call_id LEFT JOIN (SELECT call_id, count(*) AS n FROM evidence WHERE claim = 'objection' GROUP BY 1) o ON o.call_id = n.call_id
+  LEFT JOIN labels ON doc_id = n.call_id""", RULES)
+def call_page(spark, d):
+    """The page of each call from what the flow has stored: its metadata, the current run's versions, evidence and dimensions of that run, and a person's verdict.
+
+    Calls of orders in state F are analysed again under a second rubric; the first run stays.
+    """
+    path, parts = new_path(spark, "call-page"), T.segments(spark, d)
+    again = T.table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("call_id"))
+    flow.analyse_new(spark, parts, path, "rubric-1", "prompt-1", "nightly", "2024-01-01")
+    flow.analyse_new(spark, parts.join(again, "call_id", "left_semi"), path, "rubric-2", "prompt-1", "nightly", "2024-02-01")
+    log = flow.stored(spark, path)
+    now = log.snapshot()
+    runs = log.read("runs", now)
+    current = analysis.current_runs(runs, ["call_id"], F.desc("rubric_version"), F.col("analysis_key"))
+    current = parse_output(current).select("call_id", "analysis_key", "rubric_version", "prompt_version", "model_version", "result.overall_score")
+    tied = log.read("evidence", now).groupBy("analysis_key").agg(F.count(F.lit(1)).alias("evidence"), F.count_if(F.col("claim") == "objection").alias("o"))
+    dims = log.read("dimensions", now).groupBy("analysis_key").agg(F.count(F.lit(1)).cast("int").alias("dimensions"))
+    history = runs.groupBy("call_id").agg(F.count(F.lit(1)).cast("int").alias("runs"))
+    reviews = T.table(spark, d, "labels").select(F.col("doc_id").alias("call_id"), F.col("quality").alias("human_quality"))
+    page = current.join(history, "call_id").join(tied, "analysis_key", "left").join(dims, "analysis_key", "left")
+    page = page.join(T.calls(spark, d).select("call_id", "seller_id", "product_id", "call_date"), "call_id", "left").join(reviews, "call_id", "left")
+    return page.withColumn("stored_objections", F.nullif("o", F.lit(0))).drop("o", "analysis_key")
