@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import blocks, prepare, texts_of, vocabulary
-from colloquy.llm.memo import MOST, Lists, Memo, held
+from colloquy.llm.memo import Lists, Memo, held
 
 #: How byte-level tokenizers split text: contractions, letters, numbers, other marks, white space.
 PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -46,6 +46,8 @@ def byte_letters() -> list[str]:
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     other = iter(range(0x100, 0x200))
     return [chr(b if b in plain else next(other)) for b in range(256)]
+#: Pieces of a kind that a worker remembers with their ids; beyond it starts afresh.
+HELD = 250_000
 
 
 class Bpe:
@@ -146,7 +148,7 @@ class Bpe:
 
     def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, bytes]]:
         """(ids, the ids in decimal joined by commas) of each text."""
-        if self.spaced.full() or self.raw.full() or len(self.known) > MOST:
+        if self.spaced.full(HELD) or self.raw.full(HELD) or len(self.known) > HELD:
             self.forget()
         plan = []
         for text in texts:
