@@ -8,11 +8,26 @@ from pyspark.sql import functions as F
 from colloquy.sources.store import materialise
 
 
-def margins(calls: DataFrame, key: str, strata: dict[str, Column], salt: str = "golden") -> DataFrame:
-    """(id, h, margin, value): each call once for every stratum that it has a value in; ``h`` orders calls alike on every run."""
-    order = F.sha2(F.concat(F.lit(salt), F.col(key).cast("string")), 256)
+def valued(calls: DataFrame, key: str, strata: dict[str, Column]) -> DataFrame:
+    """(id, each): each row's call, and its (margin, value) in every stratum."""
     each = F.array(*(F.struct(F.lit(name).alias("margin"), c.cast("string").alias("value")) for name, c in strata.items()))
-    return calls.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), order.alias("h"), F.inline(each)).filter("value IS NOT NULL").distinct()
+    return calls.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), each.alias("each"))
+
+
+def spread(rows: DataFrame, repeated: bool) -> DataFrame:
+    """``rows`` of ``valued``, once for every stratum that a call has a value in; only calls of several rows can say the same twice."""
+    out = rows.select(*(c for c in rows.columns if c != "each"), F.inline("each")).filter("value IS NOT NULL")
+    return out.distinct() if repeated else out
+
+
+def has_repeated(rows: DataFrame) -> bool:
+    return not rows.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty()
+
+
+def hashed(rows: DataFrame, salt: str = "golden") -> DataFrame:
+    """``rows`` with ``h``, which orders calls alike on every run: the first 60 bits of a hash; calls that share them are ordered by id."""
+    digest = F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
+    return rows.withColumn("h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
 
 
 def bottom(rows: DataFrame, n: int) -> DataFrame:
@@ -25,29 +40,27 @@ def golden_cover(calls: DataFrame, key: str, strata: dict[str, Column], n: int)
     """(id, gain, round): a set of calls in which every value of every stratum has ``n`` calls, or all it has.
 
     A call counts in all its strata, so calls that fill most come first. Candidates are each value's ``n`` calls of smallest hash, which
-    alone could fill it. In each round the calls that fill at least ``gain`` unfilled values are ranked by hash within these, and those
-    are taken that come within the need of all of them; of the others the first is always among these, so every round takes some. When none is left that
-    fills so many, ``gain`` falls by one. All is decided in DataFrames, whatever the number of values; a call without a key is left out.
+    alone could fill it. In each round the calls that fill most unfilled values are ranked by hash within these, and those
+    are taken that come within the need of all of them; the first is always among these, so every round takes some.
+    Only unfilled values are kept from round to round, a number for each, with a row for each candidate. All is decided in DataFrames,
+    whatever the number of values; a call without a key is left out.
     """
-    every = margins(calls, key, strata)
-    chosen = bottom(every, n).select("id").distinct()
-    rows = materialise(every.join(chosen, "id", "left_semi"), "golden-candidates")
-    need = materialise(every.groupBy("margin", "value").agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("need")), "golden-need")
-    taken, gain, number = [], len(strata), 0
-    while gain:
-        left = rows.join(need.filter("need > 0"), ["margin", "value"])
-        able = left.withColumn("gain", F.count(F.lit(1)).over(Window.partitionBy("id"))).filter(F.col("gain") >= gain)  # a row for each stratum
-        ranked = able.withColumn("rank", F.row_number().over(Window.partitionBy("margin", "value").orderBy("h", "id")))
-        now = ranked.groupBy("id", "gain").agg(F.bool_and(F.col("rank") <= F.col("need")).alias("fits")).filter("fits")
-        now = materialise(now.select("id", F.col("gain").cast("int").alias("gain"), F.lit(number).alias("round")), "golden-round")
-        if now.isEmpty():
-            gain -= 1
-            continue
-        number += 1
+    rows = valued(calls, key, strata)
+    repeated = has_repeated(rows)
+    need = spread(rows, repeated).groupBy("margin", "value").agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("need"))
+    need = materialise(need.withColumn("k", F.monotonically_increasing_id()), "golden-need")
+    chosen = bottom(spread(hashed(rows), repeated), n).select("id").distinct()
+    rows = spread(hashed(rows.join(chosen, "id", "left_semi")), repeated).join(need, ["margin", "value"]).select("id", "h", "k", "need")
+    gain = F.count(F.lit(1)).over(Window.partitionBy("id")).cast("int")  # a row for each stratum
+    rows, taken = materialise(rows.withColumn("gain", gain), "golden-candidates"), []
+    while most := rows.agg(F.max("gain")).first()[0]:
+        ranked = rows.filter(F.col("gain") == most).withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("h", "id")))
+        now = ranked.groupBy("id").agg(F.bool_and(F.col("rank") <= F.col("need")).alias("fits")).filter("fits")
+        now = materialise(now.select("id", F.lit(most).cast("int").alias("gain"), F.lit(len(taken)).alias("round")), "golden-round")
         taken.append(now)
-        filled = rows.join(now.select("id"), "id", "left_semi").groupBy("margin", "value").agg(F.count(F.lit(1)).alias("more"))
-        need = materialise(need.join(filled, ["margin", "value"], "left").select("margin", "value", F.greatest(F.col("need") - F.coalesce("more", F.lit(0)), F.lit(0)).alias("need")), "golden-need")
-        rows = materialise(rows.join(now.select("id"), "id", "left_anti"), "golden-candidates")
+        filled = rows.join(now.select("id"), "id", "left_semi").groupBy("k").agg(F.count(F.lit(1)).alias("more"))
+        rows = rows.drop("gain").join(now.select("id"), "id", "left_anti").join(filled, "k", "left").withColumn("need", F.col("need") - F.coalesce("more", F.lit(0)))
+        rows = materialise(rows.filter("need > 0").select("id", "h", "k", "need", gain.alias("gain")), "golden-candidates")
     out = rows.select("id", F.lit(0).alias("gain"), F.lit(0).alias("round")).limit(0)
     for now in taken:
         out = out.unionByName(now)
@@ -56,11 +69,12 @@ def golden_cover(calls: DataFrame, key: str, strata: dict[str, Column], n: int)
 
 def margins_met(calls: DataFrame, key: str, strata: dict[str, Column], n: int, golden: DataFrame) -> DataFrame:
     """(margin, value, available, wanted, met) of a golden set (id)."""
-    every = margins(calls, key, strata)
-    have = every.join(golden.select("id").distinct(), "id", "left_semi").groupBy("margin", "value").agg(F.count(F.lit(1)).alias("have"))
-    out = every.groupBy("margin", "value").agg(F.count(F.lit(1)).alias("available")).join(have, ["margin", "value"], "left")
+    rows = valued(calls, key, strata)
+    picked = golden.select(F.col("id").alias("__picked")).distinct()
+    each = spread(rows.join(picked, F.col("id") == F.col("__picked"), "left").withColumn("in", F.col("__picked").isNotNull()).drop("__picked"), has_repeated(rows))
+    out = each.groupBy("margin", "value").agg(F.count(F.lit(1)).alias("available"), F.count_if("in").alias("have"))
     wanted = F.least("available", F.lit(n).cast("long"))
-    return out.select("margin", "value", "available", wanted.alias("wanted"), (F.coalesce("have", F.lit(0)) >= wanted).alias("met"))
+    return out.select("margin", "value", "available", wanted.alias("wanted"), (F.col("have") >= wanted).alias("met"))
 
 
 #: Where the distribution function of Poisson(1) is passed, as shares of 2**32: how often a unit is drawn (fixed values, cut at 8).

@@ -138,7 +138,7 @@ def excerpts_located(spark, d):
   SELECT x.margin AS margin, x.value AS value, count(*) AS available, least(count(*), 3) AS wanted, TRUE AS met FROM m WHERE x.value IS NOT NULL GROUP BY 1, 2""", T.PRELUDE)
 def golden_margins(spark, d):
     """How a golden set over closers, outcomes, opportunities, products and clear or ambiguous calls fills each of their values."""
-    calls = materialise(T.scored_calls(spark, d), "golden-calls")
+    calls = materialise(T.scored_calls(spark, d).select("call_id", "seller_id", "status", "quality", "product_id", "overall_score"), "golden-calls")
     clarity = F.when((F.col("overall_score") > 22) & (F.col("overall_score") < 28), "ambiguous").otherwise("clear")
     strata = {"seller": F.col("seller_id"), "status": F.col("status"), "quality": F.col("quality"), "product": F.col("product_id"), "clarity": clarity}
     return golden.margins_met(calls, "call_id", strata, 3, golden.golden_cover(calls, "call_id", strata, 3))

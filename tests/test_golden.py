@@ -52,6 +52,35 @@ def test_every_margin_is_met(spark):
     assert G.golden_cover(calls.limit(0), "call_id", strata, 4).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_calls_are_shuffled_as_few_bytes(spark):
+    calls = spark.range(40_000).selectExpr("id AS call_id", "id % 200 AS seller", "id % 3 AS status", "id % 5 AS quality", "id % 7919 AS product", "id % 2 AS clarity")
+    strata = {c: F.col(c) for c in calls.columns[1:]}
+    before = shuffled(spark)
+    out = G.golden_cover(calls, "call_id", strata, 3)
+    assert all(r.met for r in G.margins_met(calls, "call_id", strata, 3, out).collect())
+    assert shuffled(spark) - before < 40_000 * 500
+
+
+def test_a_call_of_several_rows_counts_once_a_value(spark):
+    rows = [(k % 40, "abc"[k % 3], k % 7) for k in range(100)]
+    calls = spark.createDataFrame(rows, "call_id long, seller string, product int").repartition(3)
+    strata = {c: F.col(c) for c in calls.columns[1:]}
+    own = [(k, sorted({(c, str(v)) for r in rows if r[0] == k for c, v in zip(calls.columns[1:], r[1:], strict=True)})) for k in range(40)]
+    out, of = G.golden_cover(calls, "call_id", strata, 2), {}
+    for k, values in own:
+        for v in values:
+            of[v] = of.get(v, 0) + 1
+    met = {(r.margin, r.value): (r.available, r.wanted, r.met) for r in G.margins_met(calls, "call_id", strata, 2, out).collect()}
+    assert met == {v: (c, min(c, 2), True) for v, c in of.items()} and out.count() == out.select("id").distinct().count()
+
+
 def plain_alpha(units):
     """By all pairs of scores, units given as (weight, scores)."""
     units = [(w, x) for w, x in units if len(x) >= 2 and w]
