@@ -81,10 +81,21 @@ def margins_met(calls: DataFrame, key: str, strata: dict[str, Column], n: int, g
 POISSON = [1580030169, 3160060337, 3950075422, 4213413783, 4279248374, 4292415292, 4294609778, 4294923276, 4294962463]
 
 
+def drawn_hash(unit: Column, replicate: Column, salt: str) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(salt), replicate.cast("string"), unit).cast("binary"))
+
+
+def times(digest: Column) -> Column:
+    """How often the first 32 bits of a digest in lowercase hex draw a unit; digits are compared as they stand, most often once or twice."""
+    out = F.when(digest < f"{POISSON[0]:08x}", 0)
+    for k, limit in enumerate(POISSON[1:], 1):
+        out = out.when(digest < f"{limit:08x}", k)
+    return out.otherwise(len(POISSON))
+
+
 def draws(unit: Column, replicate: Column, salt: str) -> Column:
     """How often a replicate draws a unit: Poisson(1) by hash, so every task and every run draws alike."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), replicate.cast("string"), unit).cast("binary")), 1, 8), 16, 10).cast("long")
-    return sum((F.when(u >= limit, 1).otherwise(0) for limit in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0))
+    return times(drawn_hash(unit, replicate, salt))
 
 
 def alpha(n: Column, s1: Column, s2: Column, d: Column) -> Column:
@@ -105,7 +116,8 @@ def agreement_interval(ratings: DataFrame, unit: list[str], score: str, by: list
     each = each.withColumn("d", 2 * (F.col("m") * F.col("s2") - F.col("s1") * F.col("s1")) / (F.col("m") - 1))
     key = F.concat_ws("|", *(F.coalesce(F.col(u).cast("string"), F.lit("")) for u in unit))
     drawn = each.withColumn("unit", key).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    drawn = drawn.withColumn("w", F.when(F.col("r") == 0, 1).otherwise(draws(F.col("unit"), F.col("r"), salt)).cast("double"))  # replicate 0 is the data
+    drawn = drawn.withColumn("u", drawn_hash(F.col("unit"), F.col("r"), salt))  # a column of its own, so that it is made once
+    drawn = drawn.withColumn("w", F.when(F.col("r") == 0, 1).otherwise(times(F.col("u"))).cast("double"))  # replicate 0 is the data
     sums = drawn.groupBy(*by, "r").agg(F.count(F.lit(1)).alias("units"), *(F.sum(F.col("w") * F.col(c)).alias(c) for c in ("m", "s1", "s2", "d")))
     each = sums.select(*by, "r", "units", "m", alpha(F.col("m"), F.col("s1"), F.col("s2"), F.col("d")).alias("alpha"))
     own, others = F.col("r") == 0, F.when(F.col("r") > 0, F.col("alpha"))

@@ -154,7 +154,7 @@ def golden_margins(spark, d):
     round(quantile_cont(alpha, 0.025) FILTER (WHERE r > 0), 6) + 0.0 AS low, round(quantile_cont(alpha, 0.975) FILTER (WHERE r > 0), 6) + 0.0 AS high FROM alphas GROUP BY 1""", T.PRELUDE)
 def agreement_with_uncertainty(spark, d):
     """Lines of one call and dimension as scores of several raters, by the call's status: alpha and its bootstrap interval."""
-    ratings = T.dims(spark, d).join(T.calls(spark, d).select("call_id", "status"), "call_id")
+    ratings = T.dims(spark, d).join(T.table(spark, d, "orders").select(F.col("o_orderkey").alias("call_id"), F.col("o_orderstatus").alias("status")), "call_id")  # a call is an order
     out = golden.agreement_interval(ratings, ["call_id", "dimension"], "score", ["status"], replicates=40)
     return out.withColumns({c: F.round(c, 6) + 0.0 for c in ("alpha", "low", "high")})
 

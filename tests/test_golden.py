@@ -122,3 +122,12 @@ def test_draws_are_poisson(spark):
     many = spark.range(100_000).select(G.draws(F.col("id").cast("string"), F.lit(1), "x").alias("w")).groupBy("w").count().collect()
     shares = {r.w: r["count"] / 100_000 for r in many}
     assert all(abs(shares[k] - p) < 0.006 for k, p in enumerate([0.3679, 0.3679, 0.1839, 0.0613]))
+
+
+def test_a_digest_is_made_once_a_draw(spark):
+    ratings = spark.range(20).selectExpr("id % 5 AS unit", "id % 3 AS score", "'m' AS model")
+    plan = G.agreement_interval(ratings, ["unit"], "score", ["model"], replicates=3)._jdf.queryExecution().executedPlan()
+    assert plan.toString().count("md5(") == 1
+    edges = [(f"{x:08x}{end}", k + more) for k, limit in enumerate(G.POISSON) for x, end, more in ((limit - 1, "f" * 24, 0), (limit, "0" * 24, 1))]
+    rows = spark.createDataFrame(edges, "digest string, want int").withColumn("got", G.times(F.col("digest"))).collect()
+    assert all(r.got == r.want for r in rows) and len(rows) == 18
