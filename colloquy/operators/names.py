@@ -42,21 +42,29 @@ def mask_names(df: DataFrame, names: DataFrame, text: str = "text", entity: str
     firsts = broadcast_if_small(materialise(known.groupBy("first").agg(F.array_sort(F.collect_set("size")).alias("sizes")), "first-words"))
     phrases = broadcast_if_small(known.drop("first"))
     texts = df.select(F.col(text).alias("t")).filter("t IS NOT NULL").distinct().withColumn("w", words_of(F.col("t")))
-    texts = materialise(texts.filter("size(w) > 0").select(F.sha2("t", 256).alias("h"), "w"), "name-words")
+    texts = materialise(texts.filter("size(w) > 0").select(digest("t").alias("h"), "w"), "name-words")
     places = texts.select("h", F.explode(F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("first"), F.slice("w", i + 1, longest).alias("ahead")))).alias("x")).select("h", "x.*")
     begun = places.join(firsts, "first").withColumn("size", F.explode("sizes")).filter(F.size("ahead") >= F.col("size"))
     begun = begun.select("h", "at", "size", F.array_join(F.slice("ahead", 1, F.col("size")), " ").alias("phrase"))
     met = begun.join(phrases, ["phrase", "size"])
     longest_first = F.array_sort(F.collect_list(F.struct("at", (-F.col("size")).alias("less"), "stands")))  # no more than the text's words times name lengths
     met = materialise(met.groupBy("h").agg(longest_first.alias("__found")), "names-met")
-    out = df.withColumn("__h", F.sha2(text, 256)).join(broadcast_if_small(met).withColumnRenamed("h", "__met"), F.col("__h") == F.col("__met"), "left")
-    return out.withColumn(text, F.when(F.col("__found").isNotNull(), replaced(F.col(text), F.col("__found"))).otherwise(F.col(text))).select(*df.columns)
+    out = df.withColumn("__h", digest(text)).join(broadcast_if_small(met).withColumnRenamed("h", "__met"), F.col("__h") == F.col("__met"), "left")
+    return replaced(out, text, "__found").select(*df.columns)
 
 
-def replaced(text: Column, found: Column) -> Column:
-    """The text with the words of each name in ``found`` (sorted by place) replaced, unless an earlier name has taken them."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?s){PIECES}"), F.lit(0))
-    lead = F.when(F.get(pieces, F.lit(0)).rlike(rf"^{WORD}"), 0).otherwise(1)  # words and what is between them take turns
+def digest(text: str) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def replaced(df: DataFrame, text: str, found: str) -> DataFrame:
+    """``df`` with the words of each name in ``found`` (sorted by place; null: none) replaced in ``text``, unless an earlier name has taken them.
+
+    The pieces of a text and the walk over its names are columns of their own, since Spark makes what stands inside a lambda anew for each item.
+    """
+    some, pieces, lead = F.col(found).isNotNull(), F.col("__pieces"), F.col("__lead")
+    df = df.withColumn("__pieces", F.when(some, F.regexp_extract_all(F.col(text), F.lit(rf"(?s){PIECES}"), F.lit(0))))
+    df = df.withColumn("__lead", F.when(F.get(pieces, F.lit(0)).rlike(rf"^{WORD}"), 0).otherwise(1))  # words and what is between them take turns
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("next"))
 
     def step(done: Column, one: Column) -> Column:
@@ -65,5 +73,6 @@ def replaced(text: Column, found: Column) -> Column:
         taken = F.struct(F.concat(done["out"], text_before, one["stands"]).alias("out"), (at - 2 * one["less"] - 1).alias("next"))
         return F.when(at >= done["next"], taken).otherwise(done)
 
-    end = F.aggregate(found, start, step)
-    return F.concat(end["out"], F.array_join(F.slice(pieces, end["next"] + 1, F.size(pieces)), ""))
+    df = df.withColumn("__end", F.aggregate(found, start, step))
+    end = F.col("__end")
+    return df.withColumn(text, F.when(some, F.concat(end["out"], F.array_join(F.slice(pieces, end["next"] + 1, F.size(pieces)), ""))).otherwise(F.col(text)))

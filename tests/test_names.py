@@ -49,3 +49,9 @@ def test_names_equal_the_plain_walk(spark, monkeypatch):
         assert out.columns == table.columns and sorted((tuple(r) for r in out.collect()), key=str) == want
     assert sum("person-" in (t or "") for _, t, _ in want) > 60
     assert N.mask_names(table, people.limit(0)).count() == len(rows) and N.mask_names(table.limit(0), people).count() == 0
+
+
+def test_a_text_is_cut_into_pieces_once(spark):
+    table, people = spark.createDataFrame([(1, "Ana, Lima"), (2, None)], "call_id long, text string"), spark.createDataFrame(NAMES, "seller_id long, name string")
+    out = N.mask_names(table, people)
+    assert out._jdf.queryExecution().executedPlan().toString().count("(?s)") == 1
