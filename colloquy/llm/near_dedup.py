@@ -10,7 +10,7 @@ its smallest id; only classes go on, so copies never meet in pairs.
 
 Links. Round 0 tests each class against that of its buckets' smallest classes which it shares most buckets
 with: one pair a class. What is linked becomes components. Then, while a bucket still holds classes of different components that
-were not tested against each other, 4, 64, 1024, ... further classes of each such bucket are tested against
+were not tested against each other, 4, 1024, 262144, ... further classes of each such bucket are tested against
 those of other components. A bucket is left when all untested pairs in it lie within one component, so
 no link that a bucket shows is lost, and a group of near copies costs a few pairs for each member
 instead of all pairs. Links are confirmed on the full sets. There is no cap on a bucket's size.
@@ -45,6 +45,8 @@ BANDS, ROWS = 42, 6
 PART = 1 << 16
 #: Odd multipliers of the second permutation (fixed values).
 PI_A, PI_B = np.uint32(0x7FEB352D), np.uint32(0x846CA68B)
+#: How many times more classes of a bucket each round tests than the one before: what stays open is read and stored anew each round.
+STEP = 256
 #: Shingles that are permuted at once, so that the work stays in a core's cache.
 CACHED = 1 << 13
 FOLD = np.arange(256, dtype=np.uint8)
@@ -282,7 +284,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         if not more.isEmpty():
             done.append(labels)
             labels = joined_components(labels, more)
-        low, width = low + width, width * 16
+        low, width = low + width, width * STEP
         done.append(now)
         now = still_open(now.drop("comp"), labels, low)
     for table in [*done, now, buckets, links]:

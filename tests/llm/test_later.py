@@ -263,3 +263,31 @@ def test_clusters_match_sql(spark):
     want = sql(registry.ORACLES["op13_centroid_clusters"], "embeddings")
     assert sorted(out.columns) == sorted(want.columns)
     assert sorted(tuple(r) for r in out.select(*want.columns).collect()) == sorted(want.fetchall())
+
+
+def test_near_dedup_stores_open_buckets_in_few_rounds(spark, monkeypatch):
+    import random
+
+    from colloquy.llm import near_dedup as N
+
+    draw, head = random.Random(4), " ".join(f"h{k}" for k in range(75))
+    stock = [" ".join(f"s{k}x{j}" for j in range(5)) for k in range(100)]
+    texts = [" ".join([head, *draw.sample(stock, 5)]) for _ in range(600)]
+    rounds, plain = [], N.still_open
+
+    def counted(*args):
+        out = plain(*args)
+        rounds.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "still_open", counted)
+    out = N.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=2)
+    got = {r["__id"]: r.component_id for r in out.collect()}
+    sets, low = [{*zip(w, w[1:], strict=False)} for w in map(str.split, texts)], list(range(600))
+    for a in range(600):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both * 100 >= (len(sets[a]) + len(sets[b]) - both) * 80 and low[a] != low[b]:
+                x, y = sorted((low[a], low[b]))
+                low = [x if v == y else v for v in low]
+    assert got == dict(enumerate(low)) and sum(n > 0 for n in rounds) == 2
